@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import duplicate_classes
+from .quality import quality_scores
 from .url_filter import filter_urls
 
 
@@ -16,12 +17,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op10_url_filter": op10_url_filter,
 }
 
