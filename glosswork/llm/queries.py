@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_chunks import encode_documents
 from .exact_dedup import duplicate_classes
+from .minhash import near_classes
 from .mixing import sampled_rows
 from .quality import quality_scores
 from .url_filter import filter_urls
@@ -27,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op5_minhash": op5_minhash,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
