@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_chunks import encode_documents
 from .exact_dedup import duplicate_classes
+from .html_extract import extract_pages
 from .minhash import near_classes
 from .mixing import sampled_rows
 from .quality import quality_scores
@@ -32,6 +33,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
     "op5_minhash": op5_minhash,
+    "op6_html_extract": op6_html_extract,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
