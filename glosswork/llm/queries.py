@@ -10,6 +10,7 @@ from .html_extract import extract_pages
 from .minhash import near_classes
 from .mixing import sampled_rows
 from .quality import quality_scores
+from .sanitize import personal_data
 from .url_filter import filter_urls
 
 
@@ -37,6 +38,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_minhash": op5_minhash,
     "op6_html_extract": op6_html_extract,
+    "op7_pii": op7_pii,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
