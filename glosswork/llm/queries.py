@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_chunks import encode_documents
 from .exact_dedup import duplicate_classes
 from .html_extract import extract_pages
+from .line_runs import removed_lines
 from .minhash import near_classes
 from .mixing import sampled_rows
 from .quality import quality_scores
@@ -42,6 +43,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_html_extract": op6_html_extract,
     "op7_pii": op7_pii,
+    "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
