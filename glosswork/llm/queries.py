@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann_partitions import nearest_vectors
 from .bpe_chunks import encode_documents
 from .exact_dedup import duplicate_classes
 from .html_extract import extract_pages
@@ -31,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op4_ann": op4_ann,
     "op5_minhash": op5_minhash,
     "op6_html_extract": op6_html_extract,
     "op7_pii": op7_pii,
