@@ -2,6 +2,319 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glosswork.functions import lang, quality, text
+from glosswork.operators import phrase_table as pt
+from glosswork.operators import translate as tr
+from glosswork.plans import fixtures as fx
+from glosswork.plans.oracle import ORACLE_SQL
+from glosswork.sources import moses
+
 ENTRY_QUERY = "translate_text"
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def joined(array: Column) -> Column:
+    return F.array_join(array, "|")
+
+
+def text_query(name: str, **columns):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fx.texts(spark, sf_dir).select("id", "pos", *[make(F.col("text")).alias(c) for c, make in columns.items()])
+
+    QUERIES[name] = run
+
+
+# Scalar text functions over all sentences and the literal texts.
+text_query("norm_whitespace", norm=lambda x: text.normalize_whitespace(F.concat(F.lit(" \t"), x, F.lit("\n "))))
+text_query("norm_lookup", norm=text.normalize_for_lookup)
+text_query("words", words=lambda x: joined(text.words(x)), n=lambda x: F.size(text.words(x)).cast("bigint"))
+text_query("lookup_candidates", candidates=lambda x: joined(text.lookup_candidates(text.words(x))))
+text_query("split_sentences", sentences=lambda x: joined(text.split_sentences(x)))
+text_query("case_class", letters=text.has_letters, caps=text.is_all_caps, upper_start=text.starts_upper)
+text_query("capitalize", capital=text.uppercase_first, applied=lambda x: text.apply_capitalization(x, F.lit("xyz abc")))
+text_query("word_tokens", tokens=lambda x: joined(text.word_tokens(x)))
+text_query("inline_marks", marks=lambda x: joined(text.inline_marks(x)))
+text_query("reapply_marks", marked=lambda x: text.reapply_marks(x, F.lit("um dois  três, quatro")))
+text_query("wrappers", leading=text.leading_wrappers, trailing=text.trailing_wrappers)
+
+
+@query
+def import_key(spark, sf_dir):
+    return fx.table(spark, sf_dir, "pages").select("page_id", text.import_key(F.col("url"), F.concat(F.col("url"), F.lit(".b")), F.lit("en"), F.lit("pt_BR")).alias("import_key"))
+
+
+@query
+def lang_normalize(spark, sf_dir):
+    return fx.literal(spark, fx.CODES, "code string").select("i", lang.normalize_language(F.col("code")).alias("canonical"))
+
+
+@query
+def lang_variants(spark, sf_dir):
+    return fx.literal(spark, fx.CODES, "code string").select("i", joined(lang.lookup_variants(F.col("code"))).alias("variants"))
+
+
+@query
+def lang_token_valid(spark, sf_dir):
+    return fx.literal(spark, fx.CODES, "code string").select("i", lang.is_language_token(F.col("code")).alias("valid"))
+
+
+# Sources.
+def listing(spark: SparkSession) -> DataFrame:
+    return fx.literal(spark, fx.FILES, "file_name string, size bigint, first_line string").withColumn("file_path", F.concat(F.lit("/d/"), "file_name"))
+
+
+@query
+def dataset_parse_name(spark, sf_dir):
+    return listing(spark).withColumns(moses.parse_name(F.col("file_name"))).where("valid").select("i", "corpus_name", "lang_pair", "language")
+
+
+@query
+def dataset_readable(spark, sf_dir):
+    return listing(spark).select("i", moses.is_readable(F.col("size"), F.col("first_line")).alias("readable"))
+
+
+@query
+def dataset_coherent(spark, sf_dir):
+    a = listing(spark).select(F.col("i").alias("a"), F.col("size").alias("a_size"))
+    b = listing(spark).select((F.col("i") + 1).alias("a"), F.col("size").alias("b_size"))
+    return a.join(b, "a").select("a", moses.is_coherent(F.col("a_size"), F.col("b_size")).alias("coherent"))
+
+
+@query
+def dataset_scan(spark, sf_dir):
+    return moses.datasets(listing(spark))
+
+
+def zip_sides(spark: SparkSession) -> list[DataFrame]:
+    return [spark.createDataFrame(list(enumerate(x)), "line_no bigint, value string") for x in (fx.ZIP_LEFT, fx.ZIP_RIGHT)]
+
+
+@query
+def moses_zip(spark, sf_dir):
+    return moses.zip_lines(*zip_sides(spark))
+
+
+@query
+def moses_misaligned(spark, sf_dir):
+    return moses.misalignment(*zip_sides(spark))
+
+
+@query
+def bidirectional_pairs(spark, sf_dir):
+    return fx.raw_pairs(spark, sf_dir)
+
+
+# Filters, each rule by itself over document lines, pages and literal pairs.
+def filter_query(name: str, rule):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fx.filter_inputs(spark, sf_dir).select("kind", "id", "pos", rule(F.col("text")).alias("hit"))
+
+    QUERIES[f"filter_{name}"] = run
+
+
+filter_query("len", lambda x: (x == "") | quality.bad_length(x))
+for _name, _pattern in quality.TECHNICAL.items():
+    filter_query(_name, quality.matches(_pattern))
+filter_query("symbols", quality.too_many_symbols)
+filter_query("strange", quality.strange)
+
+
+def stored_query(name: str, rule):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stored = fx.literal(spark, fx.STORED, "source string, target string").select(F.lit("lit").alias("kind"), F.col("i").cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("pos"), F.col("source").alias("text"))
+        return fx.filter_inputs(spark, sf_dir).union(stored).select("kind", "id", "pos", rule(F.col("text")).alias("hit"))
+
+    QUERIES[f"cleanup_{name}"] = run
+
+
+stored_query("control", quality.control_noise)
+stored_query("junk", lambda x: quality.any_of({n: x.rlike(p) for n, p in quality.STORED_JUNK.items()}))
+stored_query("symbols", quality.too_many_stored_symbols)
+stored_query("broken", quality.broken)
+
+
+@query
+def filter_same(spark, sf_dir):
+    lines = fx.parallel_lines(spark, sf_dir).select("target_lang", "line_no", quality.same_text(F.col("source_raw"), F.col("target_raw")).alias("hit"))
+    pairs = fx.literal(spark, fx.PAIRS, "source string, target string").select(F.lit("lit").alias("target_lang"), F.col("i").cast("bigint").alias("line_no"), quality.same_text(F.col("source"), F.col("target")).alias("hit"))
+    return lines.union(pairs)
+
+
+@query
+def import_pair_rules(spark, sf_dir):
+    pairs = fx.literal(spark, fx.PAIRS, "source string, target string")
+    clean = pairs.select("i", text.normalize_whitespace("source").alias("s"), text.normalize_whitespace("target").alias("t"))
+    return clean.select("i", quality.is_valid_pair(F.col("s"), F.col("t")).alias("valid"))
+
+
+@query
+def cleanup_pair_rules(spark, sf_dir):
+    return fx.literal(spark, fx.STORED, "source string, target string").select("i", quality.is_invalid_stored_pair(F.col("source"), F.col("target")).alias("invalid"))
+
+
+# The phrase table.
+@query
+def import_pipeline(spark, sf_dir):
+    return fx.imported(spark, sf_dir)
+
+
+@query
+def import_stats(spark, sf_dir):
+    return pt.import_stats(fx.raw_pairs(spark, sf_dir))
+
+
+@query
+def phrase_table_build(spark, sf_dir):
+    return pt.build(fx.imported(spark, sf_dir))
+
+
+@query
+def best_translation(spark, sf_dir):
+    return pt.best_translations(pt.build(fx.imported(spark, sf_dir)))
+
+
+@query
+def find_translation(spark, sf_dir):
+    wanted = fx.segments(spark, sf_dir).where("lang = 'en'").select(F.col("seg").alias("text"))
+    return pt.find_translations(pt.build(fx.imported(spark, sf_dir)), wanted, "en", "de")
+
+
+@query
+def duplicate_rows(spark, sf_dir):
+    return pt.duplicate_rows(fx.imported(spark, sf_dir))
+
+
+@query
+def merge_duplicates(spark, sf_dir):
+    return pt.merge_duplicates(fx.imported(spark, sf_dir).withColumn("frequency", F.lit(2)))
+
+
+def legacy(spark: SparkSession) -> DataFrame:
+    return fx.literal(spark, fx.LEGACY, "source_text string, translated_text string, source_lang string, target_lang string")
+
+
+@query
+def legacy_frequency(spark, sf_dir):
+    return pt.merge_duplicates(legacy(spark))
+
+
+@query
+def normalize_stored_langs(spark, sf_dir):
+    return pt.normalize_languages(legacy(spark))
+
+
+@query
+def cleanup_invalid(spark, sf_dir):
+    return pt.cleanup(pt.build(fx.imported(spark, sf_dir)))
+
+
+@query
+def cleanup_stats(spark, sf_dir):
+    return pt.cleanup_stats(fx.imported(spark, sf_dir))
+
+
+@query
+def table_summary(spark, sf_dir):
+    return pt.table_summary(pt.merge_duplicates(fx.imported(spark, sf_dir)))
+
+
+@query
+def pair_summary(spark, sf_dir):
+    return pt.pair_summary(pt.merge_duplicates(fx.imported(spark, sf_dir)))
+
+
+@query
+def available_languages(spark, sf_dir):
+    return pt.available_languages(fx.imported(spark, sf_dir))
+
+
+@query
+def available_pairs(spark, sf_dir):
+    return pt.available_pairs(pt.merge_duplicates(fx.imported(spark, sf_dir)))
+
+
+@query
+def has_pair(spark, sf_dir):
+    table = fx.imported(spark, sf_dir)
+    asked = [("en", "de"), ("EN-gb", "fr"), ("de", "fr"), ("", "en")]
+    return spark.createDataFrame([(a, b, pt.has_pair(table, a, b)) for a, b in asked], "source_lang string, target_lang string, found boolean")
+
+
+@query
+def import_progress(spark, sf_dir):
+    pages = fx.table(spark, sf_dir, "pages")
+    manifest = pages.select(text.import_key(F.col("url"), F.col("url"), F.lit("en"), F.lit("de")).alias("import_key"), F.col("page_id").alias("processed_lines"), (F.col("page_id") % 2 == 0).alias("completed"))
+    asked = pages.where("page_id % 7 = 0").select(text.import_key(F.col("url"), F.col("url"), F.lit("en"), F.lit("de")).alias("import_key")).distinct()
+    return manifest.join(asked, "import_key", "left_semi")
+
+
+# Matching and translation.
+@query
+def line_split(spark, sf_dir):
+    lit = fx.literal(spark, fx.LINES, "text string").select((-F.col("i") - 1).cast("bigint").alias("id"), "text")
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").union(lit)
+    return tr.split_lines(docs, ["id"]).drop("line")
+
+
+@query
+def sentence_segments(spark, sf_dir):
+    lit = fx.literal(spark, fx.SEGMENTS, "text string").select((-F.col("i") - 1).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
+    both = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", "text").union(lit)
+    return both.select("id", "turn", F.posexplode(tr.sentence_segments(F.col("text"))).alias("seg_no", "s")).select("id", "turn", "seg_no", "s.text", "s.delimiter")
+
+
+def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.literal(spark, fx.INPUTS, "text string").select((-F.col("i") - 1).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("pos"), "text")
+    items = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "text"))
+    return rows.union(items.select("id", F.col("pos").cast("bigint"), "text")).withColumn("words", text.words(F.col("text")))
+
+
+@query
+def ngram_candidates(spark, sf_dir):
+    return segment_words(spark, sf_dir).select("id", F.col("pos").alias("seg"), F.explode(tr.ngram_candidates(F.col("words"))).alias("c")).select("id", "seg", "c.*")
+
+
+def small_segments(spark: SparkSession) -> DataFrame:
+    return fx.literal(spark, fx.INPUTS, "text string").select("i", F.lit("en").alias("source_lang"), F.lit("pt_BR").alias("target_lang"), "text", F.lit("").alias("delimiter"), text.words(F.col("text")).alias("words"))
+
+
+@query
+def best_match_at_pos(spark, sf_dir):
+    return tr.match_trace(small_segments(spark), ["i"], tr.lookup_table(fx.small_table(spark)))
+
+
+@query
+def match_type(spark, sf_dir):
+    trace = tr.match_trace(small_segments(spark), ["i"], tr.lookup_table(fx.small_table(spark)))
+    totals = small_segments(spark).select("i", F.size("words").alias("total"))
+    return trace.join(totals, "i").select("i", "pos", "len", tr.match_type(F.col("pos"), F.col("len"), F.col("total"), F.col("variant")).alias("match_type"))
+
+
+@query
+def translate_segments(spark, sf_dir):
+    return tr.translate_segments(small_segments(spark).drop("words"), ["i"], fx.small_table(spark)).drop("text", "delimiter")
+
+
+@query
+def translate_literals(spark, sf_dir):
+    return tr.translate(small_segments(spark).drop("words", "delimiter"), fx.small_table(spark), ["i"])
+
+
+@query
+def match_trace(spark, sf_dir):
+    table = pt.build(fx.imported(spark, sf_dir))
+    worded = fx.inputs(spark, sf_dir).withColumn("words", text.words(F.col("text")))
+    return tr.match_trace(worded, ["id", "turn"], tr.lookup_table(table))
+
+
+@query
+def translate_text(spark, sf_dir):
+    return tr.translate(fx.inputs(spark, sf_dir), pt.build(fx.imported(spark, sf_dir)), ["id", "turn"])
