@@ -9,11 +9,14 @@ coordinate with the probability of their weighted Jaccard similarity.  Documents
 leave a coordinate empty throw again with twice the theta.
 
 Bands of the signature give buckets.  Texts with equal word sequences are one
-representative first.  In a bucket every member is compared with its smallest member,
-by the exact weighted Jaccard similarity of whole texts; those that fail go on among
-themselves with their smallest, until none is left.  So no bucket is expanded into
-pairs, none is capped, and hot buckets only meet partial aggregation and joins whose
-skewed partitions split.  Verified links are closed into classes.
+representative first.  In a bucket every member is compared with its smallest member;
+that settles buckets of near copies, however hot, by partial aggregation and joins
+whose skewed partitions split.  The members that fail (mixed buckets) are compared with all
+members of their bucket by their signatures, in tiles of bounded size, and only pairs
+whose signatures agree in at least ``LEAST_AGREEMENT`` of the coordinates are emitted: a pair at the
+threshold stays below that with a probability of about 1e-5.  No bucket is capped.
+Every link is verified by the exact weighted Jaccard similarity of whole texts.
+Verified links are closed into classes.
 
 Words are runs of ASCII letters, digits, ``_`` and of all characters beyond ASCII, in
 lower case.  Defined results: a text of one to four words has one shingle, all of it; a
@@ -31,11 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import build_filter, components, drop_saved, mix64, one_row_each, save
+from ._common import build_filter, components, mix64, one_row_each, save
 
 WORDS = 5
 SIMILARITY = 0.8
 COORDINATES, ROWS = 125, 5  # 25 bands of 5
+LEAST_AGREEMENT = 0.65
+TILE_QUERIES, TILE_MEMBERS = 1_024, 4_096
 SLICE = 1_000_000  # characters handled at once
 
 WORD_BYTES = np.zeros(256, dtype=bool)
@@ -181,7 +186,7 @@ def similarities(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS) -> DataFrame:
-    """doc_id, same (digest of the word sequence) and bands (keys) of every row."""
+    """doc_id, same (digest of the word sequence), bands (keys) and marks (16 bits a coordinate) of every row."""
 
     def run(batches):
         for batch in batches:
@@ -189,19 +194,35 @@ def sketch(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS) -> DataFrame
             for start, part in slices(texts):
                 words, doc = word_hashes(part)
                 first = np.searchsorted(doc, np.arange(len(part) + 1))
-                bands = [None] * len(part)
+                bands, marks = [None] * len(part), [None] * len(part)
                 numbers, signature = dart_minhash(*weighted_set(part), k)
-                for number, keys in zip(numbers, band_keys(signature, rows).view(np.int64), strict=True):
-                    bands[number] = keys
+                short = (mix64(signature) & np.uint64(0xFFFF)).astype("<u2")
+                for number, keys, own in zip(numbers, band_keys(signature, rows).view(np.int64), short, strict=True):
+                    bands[number], marks[number] = keys, own.tobytes()
                 same = [hashlib.blake2b(words[a:b].tobytes() if b > a else b"text:" + t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                         for a, b, t in zip(first, first[1:], part, strict=False)]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:start + len(part)].to_numpy(), "same": same, "bands": bands})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:start + len(part)].to_numpy(), "same": same, "bands": bands, "marks": marks})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInPandas(run, "doc_id long, same binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInPandas(run, "doc_id long, same binary, bands array<long>, marks binary")
+
+
+def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of coordinates on which two signatures agree."""
+    if not len(a):
+        return pd.Series([], dtype=float)
+    left, right = (np.frombuffer(b"".join(x), dtype="<u2").reshape(len(x), -1) for x in (a, b))
+    return pd.Series((left == right).mean(axis=1))
+
+
+def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough to be verified."""
+    share = F.pandas_udf(agreement, "double")
+    both = pairs.join(marks.select(F.col("doc_id").alias("b"), F.col("marks").alias("b_marks")), "b").join(marks.select(F.col("doc_id").alias("a"), F.col("marks").alias("a_marks")), "a")
+    return both.where(share("a_marks", "b_marks") >= LEAST_AGREEMENT).select("a", "b")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, ok): ok where the texts of a and b reach the similarity."""
+    """Those of the pairs (a, b) whose texts reach the similarity."""
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
 
@@ -212,44 +233,89 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             for start, part in slices(joined):
                 end = start + len(part)
                 ok = similarities(a[start:end], b[start:end]) >= least
-                yield pd.DataFrame({"a": batch["a"].iloc[start:end].to_numpy(), "b": batch["b"].iloc[start:end].to_numpy(), "ok": ok})
+                yield pd.DataFrame({"a": batch["a"].iloc[start:end].to_numpy()[ok], "b": batch["b"].iloc[start:end].to_numpy()[ok]})
+
+    return both.mapInPandas(run, "a long, b long")
+
+
+def tile_pairs(ids: np.ndarray, marks: np.ndarray, asks: np.ndarray, least: int):
+    """Pairs (smaller id, larger id) of a tile's queries and members that agree in at least ``least`` coordinates."""
+    members, member_ids = marks[~asks], ids[~asks]
+    queries, query_ids = marks[asks], ids[asks]
+    step = max(1, 8_000_000 // max(1, members.size))
+    for start in range(0, len(queries), step):
+        part = queries[start:start + step]
+        q, m = np.nonzero((part[:, None, :] == members[None, :, :]).sum(axis=2) >= least)
+        x, y = query_ids[start + q], member_ids[m]
+        yield np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+
+
+def mixed_pairs(members: DataFrame, failed: DataFrame, marks: DataFrame, k: int = COORDINATES) -> DataFrame:
+    """Pairs (a, b) of each failed member with members of its bucket that agree enough, by tiles."""
+    sizes = failed.groupBy("bucket").agg(F.count("*").alias("q"))
+    inside = members.join(sizes.select("bucket"), "bucket", "left_semi")
+    sizes = sizes.join(inside.groupBy("bucket").agg(F.count("*").alias("m")), "bucket").select(
+        "bucket", F.ceil(F.col("q") / TILE_QUERIES).cast("int").alias("lines"), F.ceil(F.col("m") / TILE_MEMBERS).cast("int").alias("columns"))
+    number = lambda size: F.pmod(F.xxhash64("doc_id"), F.col(size)).cast("int")
+    spread = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    asking = failed.join(sizes, "bucket").select("bucket", number("lines").alias("line"), spread("columns").alias("column"), "doc_id", F.lit(True).alias("asks"))
+    asked = inside.join(sizes, "bucket").select("bucket", spread("lines").alias("line"), number("columns").alias("column"), "doc_id", F.lit(False).alias("asks"))
+    rows = asking.union(asked).join(marks.select("doc_id", "marks"), "doc_id").select("bucket", "line", "column", "doc_id", "asks", "marks")
+    key, least = ["bucket", "line", "column"], int(np.ceil(LEAST_AGREEMENT * k))
 
-    return both.mapInPandas(run, "a long, b long, ok boolean")
-
-
-def near_links(sketches: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    def run(batches):
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            at = batch[key].to_numpy()
+            ends = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+            yield from tiles(batch.iloc[:ends[-1]] if len(ends) else batch.iloc[:0], ends)
+            rest = batch.iloc[ends[-1]:] if len(ends) else batch
+        if rest is not None and len(rest):
+            yield from tiles(rest, np.array([len(rest)]))
+
+    def tiles(part, ends):
+        if not len(part):
+            return
+        ids, asks = part["doc_id"].to_numpy(), part["asks"].to_numpy(dtype=bool)
+        own = np.frombuffer(b"".join(part["marks"]), dtype="<u2").reshape(len(part), -1)
+        found = [p for a, b in zip([0, *ends[:-1]], ends, strict=True) if asks[a:b].any() for p in tile_pairs(ids[a:b], own[a:b], asks[a:b], least)]
+        if found:
+            got = np.unique(np.column_stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])]), axis=0)
+            yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long").distinct()
+
+
+def near_links(sketches: DataFrame, docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATES) -> DataFrame:
     """Verified links (a, b) between representatives of different word sequences."""
     spark = docs.sparkSession
-    reps = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
-    buckets = reps.where("bands is not null").select("doc_id", F.explode("bands").alias("bucket"))
-    active = save(buckets, "near-buckets")
-    crowded = active.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    open_ = save(active.join(crowded, "bucket").where("doc_id <> a").select("bucket", "doc_id", "a"), "near-open")
-    drop_saved(active)
-    wanted = spark.sparkContext.broadcast(build_filter(open_.select("doc_id").union(open_.select("a")).distinct()))
+    owners = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    reps = sketches.where("bands is not null").join(owners, ["same", "doc_id"]).select("doc_id", "bands", "marks")
+    repeated = sketches.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    reps = save(reps.groupBy("doc_id").agg(F.min("bands").alias("bands"), F.min("marks").alias("marks")) if repeated else reps, "near-reps")
+    marks = reps.select("doc_id", "marks")
+    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
+    members = save(buckets.join(crowded, "bucket").select("bucket", "doc_id", "a"), "near-members")
+    wanted = spark.sparkContext.broadcast(build_filter(members.select("doc_id").distinct()))
     seen = F.pandas_udf(lambda ids: pd.Series(wanted.value.test(ids.to_numpy(dtype=np.int64).view(np.uint64))), "boolean")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").where(seen("doc_id"))
     texts = save(some, "near-texts")
-    repeated = texts.groupBy("doc_id").count().where("count > 1").limit(1).count()
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else texts
-    links = None
-    while True:
-        judged = save(verify(open_.select("a", F.col("doc_id").alias("b")).distinct(), texts, least), "near-judged")
-        good = judged.where("ok").select("a", "b")
-        links = good if links is None else links.union(good)
-        failed = open_.join(judged.where("not ok").select("a", F.col("b").alias("doc_id")), ["a", "doc_id"]).select("bucket", "doc_id")
-        nearest = failed.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-        rest = save(failed.join(nearest, "bucket").where("doc_id <> a").select("bucket", "doc_id", "a"), "near-open")
-        drop_saved(open_)
-        open_ = rest
-        if not open_.limit(1).count():
-            return links.distinct()
+    spokes = members.where("doc_id <> a")
+    stars = save(verify(likely(spokes.select("a", F.col("doc_id").alias("b")).distinct(), marks), texts, least), "near-stars")
+    failed = save(spokes.join(stars.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("bucket", "doc_id"), "near-failed")
+    if not failed.limit(1).count():
+        return stars
+    mixed = save(mixed_pairs(members.select("bucket", "doc_id"), failed, marks, k).join(stars, ["a", "b"], "left_anti"), "near-mixed")
+    return stars.union(verify(mixed, texts, least)).distinct()
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATES, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), kept."""
     sketches = save(sketch(docs, k, rows), "near-sketch")
-    found = save(components(near_links(sketches, docs, least)), "near-classes")
+    found = save(components(near_links(sketches, docs, least, k)), "near-classes")
     owners = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"))
     members = sketches.select("doc_id", "same").join(owners, "same").select("doc_id", "rep")
     known = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
