@@ -12,11 +12,12 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_FILTER_BITS = 1 << 28  # 32 MiB, the most that a broadcast filter may take
 FILTER_HASHES = 4
+NULL_ID = (1 << 63) - 1
 BROADCAST_ROWS = 200_000  # a table of counted rows above this is joined by a shuffle
 
 
@@ -60,6 +61,16 @@ def small_join(df: DataFrame, side: DataFrame, on: list[str], how: str, rows: in
     return df.join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, on, how)
 
 
+def id_or_last(name: str = "doc_id") -> Column:
+    """The id as a long; null becomes the largest one, so that no id passes Python as a float."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID)).alias(name)
+
+
+def null_again(df: DataFrame, *names: str) -> DataFrame:
+    """Undo :func:`id_or_last`."""
+    return df.withColumns({n: F.nullif(F.col(n), F.lit(NULL_ID)) for n in names})
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser with full avalanche on 64-bit words (splitmix constants)."""
     x = x.astype(np.uint64, copy=True)

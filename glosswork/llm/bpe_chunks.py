@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import build_filter, mix64, save
+from ._common import build_filter, id_or_last, mix64, null_again, save
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 WINDOW = 32  # characters that the rolling hash sees
@@ -185,7 +185,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, with_ids: b
     spark = docs.sparkSession
     with open(ranks_path or vocabulary_file(), "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(id_or_last(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
         c = codec(ranks.value)
@@ -219,7 +219,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, with_ids: b
                     out.append((row, doc_id, None, None, *digests(ids, c), ids if with_ids else None))
                 row += 1
             got = pd.DataFrame(out, columns=["row", "doc_id", "text", "marks", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            yield got.astype({"doc_id": "Int64", "n_tokens": "Int64"})
+            yield got.astype({"n_tokens": "Int64"})
 
     marks = "array<struct<start:int,end:int,k1:long,k2:long>>"
     rows = save(texts.mapInPandas(first_pass, f"row long, doc_id long, text string, marks {marks}, {final}"), "bpe-rows")
@@ -250,8 +250,9 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, with_ids: b
                 known = {m["start"]: (m["end"], np.frombuffer(m["code"], dtype=WIDTH).tolist()) for m in own}
                 ids = encode_text(text, known, c)
                 out.append((doc_id, *digests(ids, c), ids if with_ids else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     assembled = open_rows.select("row", "doc_id", "text").join(located, "row").select("doc_id", "text", "known").mapInPandas(assemble, f"doc_id long, {final}")
     every = rows.where("text is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids").union(assembled)
+    every = null_again(every, "doc_id")
     return every if with_ids else every.drop("ids")

@@ -26,14 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import build_filter, one_row_each, save
+from ._common import build_filter, id_or_last, null_again, one_row_each, save
 
 BLANKS = dict.fromkeys([0x20, *range(0x09, 0x0E)])
 MEMTABLE_ROWS = 50_000
-LARGEST_ID = (1 << 63) - 1
 
-RUN_SCHEMA = "digest binary, copies long, neg_length long, id_order long, doc_id long, run string"
-ROW_SCHEMA = "doc_id long, digest binary, sha string, n_points long, id_order long, body string"
+RUN_SCHEMA = "digest binary, copies long, neg_length long, doc_id long, run string"
+ROW_SCHEMA = "doc_id long, digest binary, sha string, n_points long, body string"
 
 
 def normalised(text: str | None) -> str:
@@ -41,7 +40,7 @@ def normalised(text: str | None) -> str:
 
 
 def best_first() -> Column:
-    return F.struct("neg_length", "id_order", "doc_id")
+    return F.struct("neg_length", "doc_id")
 
 
 def digest_of(body: str, size: int) -> tuple[bytes, str]:
@@ -54,8 +53,8 @@ def head(digest: bytes) -> int:
     return int.from_bytes(digest[:8].ljust(8, b"\0"), "little")
 
 
-def ids_of(batch: pd.DataFrame) -> list:
-    return [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(id_or_last(), F.col("text").cast("string"))
 
 
 def flush_runs(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
@@ -67,13 +66,13 @@ def flush_runs(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = MEM
         task, table, flushed = TaskContext.get().partitionId(), {}, 0
 
         def flush():
-            rows = [(d, n, *best, best[1] if best[1] < LARGEST_ID else None, f"{task}-{flushed}") for d, (n, best) in sorted(table.items())]
-            return pd.DataFrame(rows, columns=["digest", "copies", "neg_length", "id_order", "doc_id", "run"]).astype({"doc_id": "Int64"})
+            rows = [(d, n, *best, f"{task}-{flushed}") for d, (n, best) in sorted(table.items())]
+            return pd.DataFrame(rows, columns=["digest", "copies", "neg_length", "doc_id", "run"])
 
         for batch in batches:
-            for doc_id, text in zip(ids_of(batch), batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
                 digest, _ = digest_of(normalised(text), digest_bytes)
-                row = (-len(text or ""), LARGEST_ID if doc_id is None else doc_id)
+                row = (-len(text or ""), doc_id)
                 old = table.get(digest)
                 table[digest] = (old[0] + 1, min(old[1], row)) if old else (1, row)
                 if len(table) >= memtable_rows:
@@ -82,7 +81,7 @@ def flush_runs(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = MEM
         if table:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, RUN_SCHEMA)
+    return texts_of(docs).mapInPandas(run, RUN_SCHEMA)
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -106,29 +105,29 @@ def duplicate_classes(docs: DataFrame, digest_bytes: int = 32, memtable_rows: in
     def rows(batches):
         for batch in batches:
             out = []
-            for doc_id, text in zip(ids_of(batch), batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
                 body = normalised(text)
                 digest, sha = digest_of(body, digest_bytes)
-                out.append((doc_id, digest, sha, len(text or ""), LARGEST_ID if doc_id is None else doc_id, body))
-            got = pd.DataFrame(out, columns=["doc_id", "digest", "sha", "n_points", "id_order", "body"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, digest, sha, len(text or ""), body))
+            got = pd.DataFrame(out, columns=["doc_id", "digest", "sha", "n_points", "body"])
             known = hits.value.test(np.array([head(d) for d in got["digest"]], dtype=np.uint64))
             got["body"] = got["body"].where(known, None)
             yield got
 
-    every = save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(rows, ROW_SCHEMA), "dedup-rows")
+    every = save(texts_of(docs).mapInPandas(rows, ROW_SCHEMA), "dedup-rows")
     maybe = every.where("body is not null")
-    keepers = maybe.join(repeated, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("body").alias("keep_body"))
+    keepers = maybe.join(repeated, "digest").where("doc_id = keep_id").select("digest", F.col("body").alias("keep_body"))
     keepers = keepers.groupBy("digest").agg(F.min("keep_body").alias("keep_body"))
     # Byte verification: `other` is null when the bytes are those of the row that stays.
     same = F.col("keep_body").isNull() | (F.col("body") == F.col("keep_body"))
     checked = save(
         maybe.join(keepers, "digest", "left").select(
-            "doc_id", "digest", "sha", "id_order", (-F.col("n_points")).alias("neg_length"),
+            "doc_id", "digest", "sha", (-F.col("n_points")).alias("neg_length"),
             F.when(same, "").otherwise(F.concat(F.lit("x"), "body")).alias("other")), "dedup-verified")
     groups = checked.groupBy("digest", "other").agg(F.count("*").alias("group_size"), F.min(best_first()).alias("best"))
     copies = checked.join(groups, ["digest", "other"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", "sha")
     single = every.where("body is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    return copies.union(single).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return null_again(copies.union(single), "doc_id", "keep_id").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -156,7 +155,8 @@ class LsmIndex:
     def probe(self, docs: DataFrame) -> DataFrame:
         """Rows of ``docs`` whose digest the index holds: doc_id, digest, keep_id (to be verified by their bytes)."""
         best = compact(self.runs).select("digest", F.col("doc_id").alias("keep_id"))
-        return flush_runs(docs, self.digest_bytes, 1).select("doc_id", "digest").join(best, "digest").select("doc_id", "digest", "keep_id")
+        asked = flush_runs(docs, self.digest_bytes, 1).select("doc_id", "digest").join(best, "digest")
+        return null_again(asked, "doc_id", "keep_id").select("doc_id", "digest", "keep_id")
 
 
 __all__ = ["LsmIndex", "compact", "deduplicate", "duplicate_classes", "flush_runs"]

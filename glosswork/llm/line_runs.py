@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import build_filter, save
+from ._common import build_filter, id_or_last, null_again, save
 
 MIN_LINES, MIN_WORDS = 3, 10
 
@@ -53,7 +53,7 @@ def lines_of(text: str) -> list[tuple[int, str]]:
 def line_sequence(docs: DataFrame) -> DataFrame:
     """The repeated lines in corpus order: pos, stop (end of the document), h1, h2, words, and its document."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(id_or_last(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -76,13 +76,13 @@ def line_sequence(docs: DataFrame) -> DataFrame:
                 hit = repeated.value.test(np.array([k for k, _ in keys], dtype=np.int64).view(np.uint64))
                 marks = [(at, number, *key, len(line.split())) for at, ((number, line), key, h) in enumerate(zip(own, keys, hit, strict=True)) if h]
                 out.append((doc_id, text_key(text), text.count("\n") + 1 if text else 0, len(own), marks))
-            yield pd.DataFrame(out, columns=["doc_id", "digest", "n_lines", "n_full", "marks"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "digest", "n_lines", "n_full", "marks"])
 
     mark_type = "array<struct<at:int,number:int,h1:long,h2:long,words:int>>"
     marked = texts.mapInPandas(mark, f"doc_id long, digest binary, n_lines long, n_full long, marks {mark_type}")
     marked = marked.groupBy("doc_id", "digest").agg(*[F.min(c).alias(c) for c in ("n_lines", "n_full", "marks")])
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = marked.withColumn("last", F.col("doc_id").isNull()).repartitionByRange(parts, "last", "doc_id", "digest").sortWithinPartitions("last", "doc_id", "digest")
+    ordered = marked.repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
 
     def place(batches):
         from pyspark import TaskContext
@@ -91,7 +91,7 @@ def line_sequence(docs: DataFrame) -> DataFrame:
         for batch in batches:
             before = base + np.concatenate([[0], np.cumsum(batch["n_full"].to_numpy())])
             base = int(before[-1])
-            yield batch.drop(columns="last").assign(part=part, base=before[:-1])
+            yield batch.assign(part=part, base=before[:-1])
 
     return save(ordered.mapInPandas(place, f"doc_id long, digest binary, n_lines long, n_full long, marks {mark_type}, part int, base long"), "line-documents")
 
@@ -148,12 +148,13 @@ def dedup_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     located = save(positions(placed), "line-positions")
     gone, longest = repeated_runs(located, min_lines, min_words)
     lines = located.join(gone.withColumn("gone", F.lit(True)), "pos", "left").join(longest.groupBy("pos").agg(F.max("run").alias("run")), "pos", "left")
-    key = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("digest") == F.col("_digest")]
+    key = [F.col("doc_id") == F.col("_id"), F.col("digest") == F.col("_digest")]
     found = lines.where("gone or run is not null").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
         F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("removed"), F.max("run").alias("longest"))
-    return placed.select("doc_id", "digest", "n_lines").join(found, key[0] & key[1], "left").select(
+    every = placed.select("doc_id", "digest", "n_lines").join(found, key[0] & key[1], "left").select(
         "doc_id", "digest", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("longest", F.lit(0)).alias("longest"))
+    return null_again(every, "doc_id")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

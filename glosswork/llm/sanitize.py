@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import build_filter, save, small_join
+from ._common import build_filter, id_or_last, null_again, save, small_join
 from .minhash import slices, word_hashes
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -118,12 +118,12 @@ def disclosures(texts: DataFrame) -> DataFrame:
                     rows += [(entity, key, window, 0) for key in set(term_keys(terms))]
                     if entity not in seen:
                         seen.add(entity)
-                        rows.append((entity, None, None, 1))
-            yield pd.DataFrame(rows, columns=["entity", "term", "window", "docs"]).astype({"term": "Int64", "window": "Int64"})
+                        rows.append((entity, 0, 0, 1))
+            yield pd.DataFrame(rows, columns=["entity", "term", "window", "docs"], dtype="int64")
 
     found = save(texts.select("text").mapInPandas(near, "entity long, term long, window long, docs long"), "pii-contexts")
-    entities = found.where("term is null").groupBy("entity").agg(F.sum("docs").alias("n_entity"))
-    pairs = found.where("term is not null").select("entity", "term", "window").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    entities = found.where("docs = 1").groupBy("entity").agg(F.sum("docs").alias("n_entity"))
+    pairs = found.where("docs = 0").select("entity", "term", "window").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     pairs = save(pairs, "pii-pairs")
     wanted = spark.sparkContext.broadcast(build_filter(pairs.select("term").distinct()))
 
@@ -149,7 +149,7 @@ def disclosures(texts: DataFrame) -> DataFrame:
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans (array of start, rank, end, kind)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(id_or_last(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     told = save(disclosures(texts), "pii-terms")
     n_told = told.count()
     marked = spark.sparkContext.broadcast(build_filter(told.select("term")))
@@ -178,7 +178,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                             if ok and not any(a < m.end() and m.start() < b for a, _, b in spans)]
                 out.append((row, doc_id, *n, hashlib.sha256(line.encode()).hexdigest(), [(a, k, b, KINDS[k]) for a, k, b in spans], hits))
                 row += 1
-            yield pd.DataFrame(out, columns=["row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "hits"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "hits"])
 
     span = "struct<start:int,rank:int,end:int,kind:string>"
     schema = f"row long, doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<{span}>, hits array<struct<start:int,end:int,term:long>>"
@@ -190,7 +190,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     both = rows.drop("hits").join(extra, "row", "left")
     none = F.array().cast(f"array<{span}>")
     every = F.array_sort(F.concat("base", F.coalesce("extra", none)))
-    return both.select("doc_id", *[f"n_{k}" for k in KINDS], F.size(F.coalesce("extra", none)).cast("long").alias("n_term"), "base_sha256", every.alias("spans"))
+    return null_again(both, "doc_id").select("doc_id", *[f"n_{k}" for k in KINDS], F.size(F.coalesce("extra", none)).cast("long").alias("n_term"), "base_sha256", every.alias("spans"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
