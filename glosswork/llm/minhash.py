@@ -12,9 +12,10 @@ Bands of the signature give buckets.  Texts with equal word sequences are one
 representative first.  In a bucket every member is compared with its smallest member;
 that settles buckets of near copies, however hot, by partial aggregation and joins
 whose skewed partitions split.  The members that fail (mixed buckets) are compared with all
-members of their bucket by their signatures, in tiles of bounded size, and only pairs
-whose signatures agree in at least ``LEAST_AGREEMENT`` of the coordinates are emitted: a pair at the
-threshold stays below that with a probability of about 1e-5.  No bucket is capped.
+members of their bucket by their signatures, in tiles of bounded size.  A failed member tries
+its likeliest partners outside its class so far, then ever more of them, until no partner is left whose
+signature agrees in ``LEAST_AGREEMENT`` of the coordinates: a pair at the threshold stays
+below that with a probability of about 1e-5.  No bucket is capped, and pairs within a class are not needed.
 Every link is verified by the exact weighted Jaccard similarity of whole texts.
 Verified links are closed into classes.
 
@@ -41,6 +42,7 @@ SIMILARITY = 0.8
 COORDINATES, ROWS = 125, 5  # 25 bands of 5
 LEAST_AGREEMENT = 0.65
 TILE_QUERIES, TILE_MEMBERS = 1_024, 4_096
+PARTNERS = 2  # partners tried in other classes by each failed member, times 16 each round until none is left out
 SLICE = 1_000_000  # characters handled at once
 
 WORD_BYTES = np.zeros(256, dtype=bool)
@@ -238,20 +240,25 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
-def tile_pairs(ids: np.ndarray, marks: np.ndarray, asks: np.ndarray, least: int):
-    """Pairs (smaller id, larger id) of a tile's queries and members that agree in at least ``least`` coordinates."""
-    members, member_ids = marks[~asks], ids[~asks]
-    queries, query_ids = marks[asks], ids[asks]
+def tile_pairs(ids: np.ndarray, marks: np.ndarray, asks: np.ndarray, classes: np.ndarray, least: int, most: int):
+    """(a, b, more): each query's ``most`` best partners in other classes that agree in ``least`` coordinates; more: there are others."""
+    members, member_ids, member_classes = marks[~asks], ids[~asks], classes[~asks]
+    queries, query_ids, query_classes = marks[asks], ids[asks], classes[asks]
     step = max(1, 8_000_000 // max(1, members.size))
     for start in range(0, len(queries), step):
-        part = queries[start:start + step]
-        q, m = np.nonzero((part[:, None, :] == members[None, :, :]).sum(axis=2) >= least)
-        x, y = query_ids[start + q], member_ids[m]
-        yield np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
-
-
-def mixed_pairs(members: DataFrame, failed: DataFrame, marks: DataFrame, k: int = COORDINATES) -> DataFrame:
-    """Pairs (a, b) of each failed member with members of its bucket that agree enough, by tiles."""
+        part = slice(start, start + step)
+        agree = (queries[part][:, None, :] == members[None, :, :]).sum(axis=2)
+        q, m = np.nonzero((agree >= least) & (query_classes[part][:, None] != member_classes[None, :]))
+        order = np.lexsort((member_ids[m], -agree[q, m], q))
+        q, m = q[order], m[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        more = np.bincount(q, minlength=1)[q] > most if len(q) else np.zeros(0, bool)
+        x, y, near = query_ids[start + q], member_ids[m], nth < most
+        yield np.column_stack([np.minimum(x, y), np.maximum(x, y), more])[near]
+
+
+def tiles(members: DataFrame, failed: DataFrame, marks: DataFrame) -> DataFrame:
+    """The failed members and all members of their buckets, dealt into tiles of bounded size."""
     sizes = failed.groupBy("bucket").agg(F.count("*").alias("q"))
     inside = members.join(sizes.select("bucket"), "bucket", "left_semi")
     sizes = sizes.join(inside.groupBy("bucket").agg(F.count("*").alias("m")), "bucket").select(
@@ -260,7 +267,12 @@ def mixed_pairs(members: DataFrame, failed: DataFrame, marks: DataFrame, k: int
     spread = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
     asking = failed.join(sizes, "bucket").select("bucket", number("lines").alias("line"), spread("columns").alias("column"), "doc_id", F.lit(True).alias("asks"))
     asked = inside.join(sizes, "bucket").select("bucket", spread("lines").alias("line"), number("columns").alias("column"), "doc_id", F.lit(False).alias("asks"))
-    rows = asking.union(asked).join(marks.select("doc_id", "marks"), "doc_id").select("bucket", "line", "column", "doc_id", "asks", "marks")
+    return asking.union(asked).join(marks.select("doc_id", "marks"), "doc_id").select("bucket", "line", "column", "doc_id", "asks", "marks")
+
+
+def mixed_pairs(dealt: DataFrame, classes: DataFrame, most: int, k: int = COORDINATES) -> DataFrame:
+    """Pairs (a, b, more) of each failed member with its ``most`` likeliest partners in other classes, by tiles."""
+    labelled = dealt.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "line", "column", "doc_id", "asks", "marks", F.coalesce("class_id", "doc_id").alias("class_id"))
     key, least = ["bucket", "line", "column"], int(np.ceil(LEAST_AGREEMENT * k))
 
     def run(batches):
@@ -269,22 +281,22 @@ def mixed_pairs(members: DataFrame, failed: DataFrame, marks: DataFrame, k: int
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             at = batch[key].to_numpy()
             ends = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
-            yield from tiles(batch.iloc[:ends[-1]] if len(ends) else batch.iloc[:0], ends)
+            yield from found(batch.iloc[:ends[-1]] if len(ends) else batch.iloc[:0], ends)
             rest = batch.iloc[ends[-1]:] if len(ends) else batch
         if rest is not None and len(rest):
-            yield from tiles(rest, np.array([len(rest)]))
+            yield from found(rest, np.array([len(rest)]))
 
-    def tiles(part, ends):
+    def found(part, ends):
         if not len(part):
             return
-        ids, asks = part["doc_id"].to_numpy(), part["asks"].to_numpy(dtype=bool)
+        ids, asks, own_class = part["doc_id"].to_numpy(), part["asks"].to_numpy(dtype=bool), part["class_id"].to_numpy()
         own = np.frombuffer(b"".join(part["marks"]), dtype="<u2").reshape(len(part), -1)
-        found = [p for a, b in zip([0, *ends[:-1]], ends, strict=True) if asks[a:b].any() for p in tile_pairs(ids[a:b], own[a:b], asks[a:b], least)]
-        if found:
-            got = np.unique(np.column_stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])]), axis=0)
-            yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+        got = [p for a, b in zip([0, *ends[:-1]], ends, strict=True) if asks[a:b].any() for p in tile_pairs(ids[a:b], own[a:b], asks[a:b], own_class[a:b], least, most) if len(p)]
+        if got:
+            got = np.unique(np.concatenate(got), axis=0)
+            yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1], "more": got[:, 2].astype(bool)})
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long").distinct()
+    return labelled.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long, more boolean")
 
 
 def near_links(sketches: DataFrame, docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATES) -> DataFrame:
@@ -308,8 +320,17 @@ def near_links(sketches: DataFrame, docs: DataFrame, least: float = SIMILARITY,
     failed = save(spokes.join(stars.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("bucket", "doc_id"), "near-failed")
     if not failed.limit(1).count():
         return stars
-    mixed = save(mixed_pairs(members.select("bucket", "doc_id"), failed, marks, k).join(stars, ["a", "b"], "left_anti"), "near-mixed")
-    return stars.union(verify(mixed, texts, least)).distinct()
+    dealt = save(tiles(members.select("bucket", "doc_id"), failed, marks), "near-tiles")
+    links, tested, most = stars, None, PARTNERS
+    while True:
+        found = save(mixed_pairs(dealt, save(components(links), "near-so-far"), most, k), "near-mixed")
+        fresh = found.select("a", "b").distinct()
+        fresh = save(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "near-fresh")
+        links = links.union(save(verify(fresh, texts, least), "near-links"))
+        tested = fresh if tested is None else tested.union(fresh)
+        if not found.where("more").limit(1).count():
+            return links.distinct()
+        most *= 16
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATES, rows: int = ROWS) -> DataFrame:
