@@ -28,9 +28,11 @@ def bidirectional(lines: DataFrame) -> DataFrame:
 
 def judged_lines(raw_pairs: DataFrame) -> DataFrame:
     """Cleaned lines with their languages canonical, the normalised source and the first reason to reject (null: kept)."""
-    clean = raw_pairs.select(
-        normalize_language(F.col("source_lang")).alias("source_lang"), normalize_language(F.col("target_lang")).alias("target_lang"), "line_no",
+    # The generator keeps the cleaned texts computed once: a filter on them can't be pushed below it and repeat them in every rule.
+    clean = F.struct(
+        normalize_language(F.col("source_lang")).alias("source_lang"), normalize_language(F.col("target_lang")).alias("target_lang"), F.col("line_no"),
         normalize_whitespace("source_raw").alias("source_clean"), normalize_whitespace("target_raw").alias("translated_text"))
+    clean = raw_pairs.select(F.explode(F.array(clean)).alias("c")).select("c.*")
     return clean.withColumns({
         "reason": first_reason(import_rules(F.col("source_clean"), F.col("translated_text"))),
         "source_text": normalize_for_lookup("source_clean")})
