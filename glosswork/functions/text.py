@@ -35,15 +35,23 @@ def normalize_whitespace(x: Column) -> Column:
     return trim_all(F.regexp_replace(x, rf"{SPACE}+", " "))
 
 
-def normalize_for_lookup(x: Column) -> Column:
-    """The form in which phrases are stored and looked up."""
-    x = F.translate(F.lower(x), "‘’“”", "''\"\"")
+def expand_contractions(x: Column) -> Column:
     for short, long in CONTRACTIONS:
         x = F.regexp_replace(x, f"{BOUND}{short}{BOUND}", long)
     for suffix, long in SUFFIXES:
         x = F.regexp_replace(x, rf"{BOUND}(\w+)'{suffix}{BOUND}", "$1" + long)
+    return x
+
+
+def normalize_for_lookup(x: Column) -> Column:
+    """The form in which phrases are stored and looked up.
+
+    Contractions and hyphens are only looked for in texts that have an apostrophe or a hyphen.
+    """
+    x = F.translate(F.lower(x), "‘’“”", "''\"\"")
+    x = F.when(F.contains(x, F.lit("'")), expand_contractions(x)).otherwise(x)
     x = F.regexp_replace(x, r"[.,;:!?()\[\]{}\"']", " ")
-    x = F.regexp_replace(x, r"(?<=\p{L})-(?=\p{L})", " ")
+    x = F.when(F.contains(x, F.lit("-")), F.regexp_replace(x, r"(?<=\p{L})-(?=\p{L})", " ")).otherwise(x)
     return normalize_whitespace(x)
 
 
