@@ -6,9 +6,9 @@ its neighbours lie.  Every row is indexed under its most probable part.  A query
 its several most probable parts - as many as a held-out share of the sample needs for
 ``TARGET_RECALL`` - and is reranked there by exact inner products in double precision.
 
-Parts are dealt into tiles of bounded size by hash (candidates by queries), so a part
-that holds a third of all rows is many tiles; a tile is one matrix product, and
-each query's best of all its tiles are merged.
+Parts are packed into tiles of bounded size: small parts share one, a part that holds a third of all
+rows is dealt into many by hash.  A tile is one matrix product in which a query sees only
+the parts it probes, and gives the query's best of all these; the best of its tiles are merged.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 rows without vec_id; of rows that repeat a vec_id the smallest vector counts; shorter vectors
@@ -29,7 +29,7 @@ from ._common import save
 MAX_SAMPLE, GRAPH_NEIGHBOURS, HIDDEN = 6_000, 16, 96
 ROWS_A_PART, MOST_PARTS = 640, 64
 TARGET_RECALL = 0.95
-TILE_ROWS, TILE_QUERIES = 4_096, 2_048
+TILE_ROWS, TILE_QUERIES = 16_384, 2_048
 NEAREST, QUERY_EVERY = 20, 20
 SMALL = 2_000  # up to this many rows all parts are probed
 
@@ -162,14 +162,14 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vec")))) if short else rows
 
 
-def best_in_tile(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, numbers: np.ndarray, k: int):
-    """(query, candidate, score) of each query's k best in a tile, exact, ties to the smaller vec_id."""
-    for start in range(0, len(queries), 512):
-        score = queries[start:start + 512] @ points.T
-        score[ids[start:start + 512, None] == numbers[None, :]] = -np.inf
+def best_in_tile(queries: np.ndarray, ids: np.ndarray, allowed: np.ndarray, points: np.ndarray, numbers: np.ndarray, part: np.ndarray, k: int):
+    """(query, candidates, scores) of each query's k best among the parts it is allowed, exact, ties to the smaller vec_id."""
+    for start in range(0, len(queries), 128):
+        score = queries[start:start + 128] @ points.T
+        score[~allowed[start:start + 128][:, part] | (ids[start:start + 128, None] == numbers[None, :])] = -np.inf
         if score.shape[1] > k:
             bound = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-            bound -= 1e-9 * np.maximum(1.0, np.abs(bound))
+            bound = np.where(np.isfinite(bound), bound - 1e-9 * np.maximum(1.0, np.abs(bound)), -np.finfo(float).max)
         else:
             bound = np.full(len(score), -np.finfo(float).max)
         for i, row in enumerate(score):
@@ -179,6 +179,19 @@ def best_in_tile(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, numbe
             yield ids[start + i], numbers[at[best]], exact[best]
 
 
+def shelve(counts: dict[int, int], size: int = TILE_ROWS) -> dict[int, tuple[int, int]]:
+    """part -> (shelf, columns): small parts share a shelf of up to ``size`` rows, larger ones have several columns of their own."""
+    out, shelf, room = {}, 0, 0
+    for part, n in sorted(counts.items(), key=lambda c: (-c[1], c[0])):
+        if n >= size:
+            shelf, out[part], room = shelf + 1, (shelf, -(-n // size)), 0
+        else:
+            if n > room:
+                shelf, room = shelf + 1, size
+            out[part], room = (shelf - 1, 1), room - n
+    return out
+
+
 def nearest_vectors(embeddings: DataFrame, nearest: int = NEAREST, query_every: int = QUERY_EVERY,
                     parts: int | None = None, probes: int | None = None) -> DataFrame:
     """For each row whose vec_id ``query_every`` divides: query_id, rank, vec_id, score of its nearest."""
@@ -204,26 +217,33 @@ def nearest_vectors(embeddings: DataFrame, nearest: int = NEAREST, query_every:
     home = F.pandas_udf(lambda v: route(v, 1), "array<int>")
     probed = F.pandas_udf(lambda v: route(v, shipped.value[1]), "array<int>")
     index = save(rows.withColumn("part", F.element_at(home("vec"), 1)), "ann-index")
-    asked = save(rows.where(F.col("vec_id") % query_every == 0).withColumn("part", F.explode(probed("vec"))), "ann-queries")
-
-    def tiles(df: DataFrame, size: int) -> DataFrame:
-        counts = df.groupBy("part").count()  # a row for each part
-        return counts.select("part", F.ceil(F.col("count") / size).cast("int").alias("tiles"))
-
-    columns, lines = tiles(index, TILE_ROWS), tiles(asked, TILE_QUERIES)
-    grid = F.broadcast(columns.select("part", F.col("tiles").alias("columns")).join(lines.select("part", F.col("tiles").alias("lines")), "part"))
+    # At most MOST_PARTS counts come to the driver.
+    places = shelve({r["part"]: r["count"] for r in index.groupBy("part").count().collect()})
+    if not places:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    shelf_of = F.create_map(*[F.lit(x) for p, (shelf, _) in sorted(places.items()) for x in (p, shelf)])
+    shelves = F.filter(F.transform("probed", lambda p: F.element_at(shelf_of, p)), lambda x: x.isNotNull())
+    asked = rows.where(F.col("vec_id") % query_every == 0).withColumn("probed", probed("vec"))
+    asked = save(asked.withColumn("shelf", F.explode(F.array_distinct(shelves))), "ann-queries")
+    columns = dict(places.values())
+    lines = {r["shelf"]: -(-r["count"] // TILE_QUERIES) for r in asked.groupBy("shelf").count().collect()}
+    grid = F.broadcast(spark.createDataFrame([(x, n, lines[x]) for x, n in sorted(columns.items()) if x in lines], "shelf int, columns int, lines int"))
     number = lambda size: F.pmod(F.xxhash64("vec_id"), F.col(size)).cast("int")
     spread = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
-    left = index.join(grid, "part").select("part", number("columns").alias("column"), spread("lines").alias("line"), "vec_id", "vec")
-    right = asked.join(grid, "part").select("part", spread("columns").alias("column"), number("lines").alias("line"), "vec_id", "vec")
+    left = index.withColumn("shelf", F.element_at(shelf_of, F.col("part"))).join(grid, "shelf").select("shelf", number("columns").alias("column"), spread("lines").alias("line"), "vec_id", "vec", "part")
+    right = asked.join(grid, "shelf").select("shelf", spread("columns").alias("column"), number("lines").alias("line"), "vec_id", "vec", "probed")
 
     def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(candidates) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        got = list(best_in_tile(np.stack(queries["vec"].to_numpy()), queries["vec_id"].to_numpy(), np.stack(candidates["vec"].to_numpy()), candidates["vec_id"].to_numpy(), nearest))
+        allowed = np.zeros((len(queries), parts), dtype=bool)
+        for i, own in enumerate(queries["probed"]):
+            allowed[i, own] = True
+        got = list(best_in_tile(np.stack(queries["vec"].to_numpy()), queries["vec_id"].to_numpy(), allowed, np.stack(candidates["vec"].to_numpy()),
+                                candidates["vec_id"].to_numpy(), candidates["part"].to_numpy(), nearest))
         return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in got], [len(v) for _, v, _ in got]), "vec_id": np.concatenate([v for _, v, _ in got]), "score": np.concatenate([s for _, _, s in got])})
 
-    key = ["part", "column", "line"]
+    key = ["shelf", "column", "line"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
