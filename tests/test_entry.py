@@ -9,7 +9,7 @@ import __spark_entry__
 
 def test_keys():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(sql) <= set(queries) and len(queries) >= 70
+    assert set(sql) <= set(queries) and len(queries) >= 60
     assert {"translate_text", "best_translation", "import_pipeline"} <= set(queries)
 
 
