@@ -133,6 +133,11 @@ def build_filter(keys: DataFrame, max_bits: int = MAX_FILTER_BITS) -> KeyFilter:
     return KeyFilter(words)
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` counted rows in files of about 100,000 rows, at least 8."""
+    return df.coalesce(max(8, rows // 100_000))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): a table (id, class_id), class_id the smallest id.
 
@@ -150,10 +155,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = save(large, "large")
+        large = save(packed(large, 2 * before[0]), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        fresh = save(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        fresh = save(packed(small.union(least.select("u", F.col("m").alias("v"))).distinct(), 2 * before[0]), "small")
         drop_saved(large)
         drop_saved(edges)
         edges, after = fresh, state(fresh)
