@@ -1,16 +1,20 @@
 """Personal data by patterns and by what terms disclose.
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone
-numbers.  Terms that stand near an entity may give it away as well.  How strongly is
-estimated over the whole corpus: with n(t, e) distinct contexts of term t near entity e,
-n(t) documents that hold t, n(e) documents that hold e and N documents, a term's disclosure is the share of the
-entity's information content that the term reveals, PMI(t, e) / IC(e) =
-1 + log(n(t, e) / n(t)) / log(N / n(e)).  Terms seen near an entity in at least
-``SUPPORT`` different contexts (so that copies of one text count once) are generalised from
-``GENERALISE`` on and removed from ``REMOVE`` on, wherever they occur.
-
-Terms near entities are few; the counts n(t) of just these are taken in one more pass
-over all documents, through a filter of bounded size and an exact join.
+numbers.  Terms that occur in the same texts as an entity may give it away as well.  How strongly is
+estimated over the whole corpus, in one unit, the distinct text (copies of a text count
+once in every number): with n(t, e) texts that hold term t and entity e, n(t) texts that hold t, n(e)
+texts that hold e and N texts, a term's disclosure is the share of the entity's information content that
+the term reveals, PMI(t, e) / IC(e) = 1 + log(n(t, e) / n(t)) / log(N / n(e)).  Every word
+of a text is a term, wherever in it the entity stands.  Terms that share at least ``SUPPORT`` texts with
+an entity are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they
+occur; below that support every word that is used once would disclose the entity beside it.
+
+As n(t, e) never exceeds n(e), only entities in ``SUPPORT`` texts are paired with terms; pairs are
+counted within a task before they travel.  The texts that hold t and any such entity are no more than
+n(t); pairs whose disclosure by this number is below ``GENERALISE`` are below it by n(t) as well and go.
+The counts n(t) of the other terms are taken in one more pass over all texts, through a filter of
+bounded size and an exact join.
 
 Defined results: null text counts as empty and has no spans; term spans never overlap
 pattern spans; rows that repeat a doc_id are judged singly; an entity that all documents hold has no
@@ -24,7 +28,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import build_filter, id_or_last, null_again, save, small_join
@@ -32,7 +36,7 @@ from .minhash import slices, word_hashes
 
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.98
-NEAR_WORDS, NEAR_CHARS = 4, 120
+PAIRS_AT_ONCE = 1_000_000  # (entity, term) pairs of a task held in memory
 
 # Fixed patterns.  An address starts at the first of the characters that lead to its "@";
 # looking for the "@" first keeps long runs linear.
@@ -43,7 +47,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"(?:[A-Za-z0-9_]|[^\x00-\x7f])+")
-LETTERS = re.compile(r"[^\W\d_]{3,}")
 
 
 def luhn(digits: str) -> bool:
@@ -79,7 +82,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 def entity_key(kind: int, value: str) -> int:
     plain = value.lower() if kind == 0 else "".join(c for c in value if c.isdigit() or c == ".")
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True) or 1  # 0 stands for any entity
 
 
 def term_keys(terms: list[str]) -> list[int]:
@@ -91,59 +94,110 @@ def term_keys(terms: list[str]) -> list[int]:
     return keys.view(np.int64)[first].tolist()
 
 
-def contexts(text: str) -> list[tuple[int, list[str]]]:
-    """(entity, nearby terms) for every pattern match; digits and other matches are no terms."""
-    out, spans = [], pattern_spans(text)
-    for start, kind, end in spans:
-        before, after = text[max(0, start - NEAR_CHARS):start], text[end:end + NEAR_CHARS]
-        left = [m for m in WORD.finditer(before) if m.start() > 0 or start <= NEAR_CHARS][-NEAR_WORDS:]
-        right = [m for m in WORD.finditer(after) if m.end() < len(after) or end + NEAR_CHARS >= len(text)][:NEAR_WORDS]
-        found = [(max(0, start - NEAR_CHARS) + m.start(), m.group()) for m in left] + [(end + m.start(), m.group()) for m in right]
-        near = [w.lower() for at, w in found if LETTERS.fullmatch(w) and not any(a <= at < b for a, _, b in spans)]
-        out.append((entity_key(kind, text[start:end]), near))
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[re.Match]:
+    """The words of ``text`` that overlap none of ``spans`` (sorted by start)."""
+    out, at, end = [], 0, 0
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            end, at = max(end, spans[at][2]), at + 1
+        if end <= m.start():
+            out.append(m)
     return out
 
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """Every text once.  Only texts whose hash repeats travel; they are compared whole."""
+    key = F.xxhash64("text")
+    repeated = save(texts.select(key.alias("key")).groupBy("key").count().where("count > 1").select("key"), "pii-repeated")
+    if not repeated.limit(1).count():
+        return texts.select("text")
+    wanted = texts.sparkSession.sparkContext.broadcast(build_filter(repeated))
+    seen = F.pandas_udf(lambda keys: pd.Series(wanted.value.test(keys.to_numpy(dtype=np.int64).view(np.uint64))), "boolean")
+    marked = texts.select("text", seen(key).alias("again"))
+    once = save(marked.where("again").select("text").distinct(), "pii-copies")
+    return marked.where("not again").select("text").union(once)
+
+
 def disclosures(texts: DataFrame) -> DataFrame:
     """Terms that disclose an entity: term (key), level (the largest disclosure)."""
     spark = texts.sparkSession
+    texts = distinct_texts(texts)
 
-    def near(batches):
+    def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+        return sorted({entity_key(kind, text[start:end]) for start, kind, end in spans})
+
+    def hold(batches):
+        for batch in batches:
+            found = [e for text in batch["text"] for e in entities_of(text, pattern_spans(text))]
+            keys, n = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+            yield pd.DataFrame({"entity": [0, *keys.tolist()], "n": [len(batch), *n.tolist()], "whole": [True] + [False] * len(keys)})
+
+    held = save(texts.mapInPandas(hold, "entity long, n long, whole boolean"), "pii-entities")
+    n_texts = held.where("whole").agg(F.sum("n")).first()[0] or 0
+    entities = save(held.where("not whole").groupBy("entity").agg(F.sum("n").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "pii-recurring")
+    recurring = spark.sparkContext.broadcast(build_filter(entities.select("entity")))
+
+    def pair(batches):
+        def flush():
+            both, n = np.unique(np.concatenate(parts, axis=1), axis=1, return_counts=True)
+            parts.clear()
+            return pd.DataFrame({"entity": both[0], "term": both[1], "n": n.astype(np.int64)})
+
+        parts, size = [], 0
         for batch in batches:
-            rows = []
-            for number, text in enumerate(batch["text"]):
-                seen = set()
-                for entity, terms in contexts(text):
-                    window = int.from_bytes(hashlib.blake2b(" ".join(terms).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                    rows += [(entity, key, window, 0) for key in set(term_keys(terms))]
-                    if entity not in seen:
-                        seen.add(entity)
-                        rows.append((entity, 0, 0, 1))
-            yield pd.DataFrame(rows, columns=["entity", "term", "window", "docs"], dtype="int64")
-
-    found = save(texts.select("text").mapInPandas(near, "entity long, term long, window long, docs long"), "pii-contexts")
-    entities = found.where("docs = 1").groupBy("entity").agg(F.sum("docs").alias("n_entity"))
-    pairs = found.where("docs = 0").select("entity", "term", "window").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    pairs = save(pairs, "pii-pairs")
+            for text in batch["text"]:
+                spans = pattern_spans(text)
+                own = np.array(entities_of(text, spans), dtype=np.int64)
+                own = own[recurring.value.test(own.view(np.uint64))]
+                if not len(own):
+                    continue
+                terms = np.array(term_keys(sorted({m.group().lower() for m in free_words(text, spans)})), dtype=np.int64)
+                own = np.append(own, 0)
+                step = max(1, PAIRS_AT_ONCE // max(1, len(terms)))
+                for start in range(0, len(own), step):
+                    some = own[start:start + step]
+                    parts.append(np.stack([np.repeat(some, len(terms)), np.tile(terms, len(some))]))
+                    size += parts[-1].shape[1]
+                    if size >= PAIRS_AT_ONCE:
+                        yield flush()
+                        size = 0
+        if parts:
+            yield flush()
+
+    def disclosure(n_term: str) -> Column:
+        information = F.log(F.lit(float(n_texts)) / F.col("n_entity"))
+        return F.when(information > 0, 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col(n_term))) / information).otherwise(0.0)
+
+    paired = texts.mapInPandas(pair, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    paired = save(paired, "pii-paired")
+    least = paired.where("entity = 0").select("term", F.col("n_both").alias("n_least"))
+    pairs = save(paired.where("entity <> 0").join(entities, "entity").join(least, "term").where(disclosure("n_least") >= GENERALISE), "pii-pairs")
+    if not pairs.limit(1).count():
+        return pairs.select("term", F.lit(0.0).alias("level")).limit(0)
     wanted = spark.sparkContext.broadcast(build_filter(pairs.select("term").distinct()))
 
     def count(batches):
+        def flush():
+            terms, n = np.unique(np.concatenate(parts), return_counts=True)
+            parts.clear()
+            return pd.DataFrame({"term": terms, "n": n.astype(np.int64)})
+
+        parts, size = [], 0
         for batch in batches:
             for _, part in slices(list(batch["text"])):
                 keys, doc = word_hashes(part)
                 hit = wanted.value.test(keys)
-                both = np.unique(np.column_stack([doc[hit].astype(np.int64), keys[hit].view(np.int64)]), axis=0)
-                terms, n = np.unique(both[:, 1], return_counts=True)
-                yield pd.DataFrame({"term": terms, "n": n.astype(np.int64)})
+                parts.append(np.unique(np.column_stack([doc[hit].astype(np.int64), keys[hit].view(np.int64)]), axis=0)[:, 1])
+                size += len(parts[-1])
+                if size >= PAIRS_AT_ONCE:
+                    yield flush()
+                    size = 0
+        if parts:
+            yield flush()
 
-    n_docs = texts.count()
-    if not pairs.limit(1).count():
-        return pairs.select("term", F.lit(0.0).alias("level")).limit(0)
-    counts = texts.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    known = pairs.join(counts, "term").join(entities, "entity")
-    information = F.log(F.lit(float(n_docs)) / F.col("n_entity"))
-    level = F.when(information > 0, 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / information).otherwise(0.0)
-    return known.groupBy("term").agg(F.max(level).alias("level")).where(F.col("level") >= GENERALISE)
+    counts = texts.mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    known = pairs.join(counts, "term")
+    return known.groupBy("term").agg(F.max(disclosure("n_term")).alias("level")).where(F.col("level") >= GENERALISE)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -171,11 +225,10 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 n = [sum(k == j for _, k, _ in spans) for j in range(4)]
                 hits = []
                 if more:
-                    words = [m for m in WORD.finditer(text)]
+                    words = free_words(text, spans)
                     keys = term_keys([m.group().lower() for m in words])
                     test = marked.value.test(np.array(keys, dtype=np.int64).view(np.uint64))
-                    hits = [(m.start(), m.end(), key) for m, key, ok in zip(words, keys, test, strict=True)
-                            if ok and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+                    hits = [(m.start(), m.end(), key) for m, key, ok in zip(words, keys, test, strict=True) if ok]
                 out.append((row, doc_id, *n, hashlib.sha256(line.encode()).hexdigest(), [(a, k, b, KINDS[k]) for a, k, b in spans], hits))
                 row += 1
             yield pd.DataFrame(out, columns=["row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "hits"])

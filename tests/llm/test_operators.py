@@ -284,6 +284,19 @@ def test_disclosing_terms(spark):
     assert sanitize.personal_data(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_disclosure_over_whole_texts_and_copies(spark):
+    filler = sentences(31, 500, 30)
+    far = [f"Ng holds badge E1234. {filler[i]} write to far@b.org" for i in range(6)]
+    signed = [f"{filler[i]} Regards Quill sig@b.org" for i in range(20, 60)]
+    copied = [f"Wexford {filler[i]} cop@b.org" for i in range(100, 103)]
+    texts = far + signed + copied + [copied[0]] * 60 + filler[150:] + ["ng e1234 quill wexford"]
+    got = {r["doc_id"]: r for r in sanitize.sanitize(documents(spark, texts)).collect()}
+    assert not {"ng", "e1234", "quill", "wexford"} & set(got[len(texts) - 1]["text"].split())
+    for i, word in [(0, "Ng"), (0, "E1234"), (20, "Quill"), (46, "Wexford"), (60, "Wexford")]:
+        assert word not in got[i]["text"].split(), (i, word)
+    assert got[len(texts) - 2]["text"] == texts[-2]
+
+
 @pytest.mark.parametrize("rules", [url_filter.RULES, [("block", "b.example", "/x"), ("allow", "example", "/xyz"), ("block", "example", ""), ("allow", "a.b.example", ""), ("block", "example", "/xyz")], []])
 def test_url_filter(spark, rules):
     rng = random.Random(18)
