@@ -4,7 +4,8 @@ On a bounded sample (``MAX_SAMPLE`` vectors, smallest hashes of vec_id) a neighb
 built and cut into balanced parts; a small network learns, from a vector alone, in which parts
 its neighbours lie.  Every row is indexed under its most probable part.  A query goes to
 its several most probable parts - as many as a held-out share of the sample needs for
-``TARGET_RECALL`` - and is reranked there by exact inner products in double precision.
+``TARGET_RECALL``, and beyond these until they hold as many candidates as asked for - and is
+reranked there by exact inner products in double precision.
 
 Parts are packed into tiles of bounded size: small parts share one, a part that holds a third of all
 rows is dealt into many by hash.  A tile is one matrix product in which a query sees only
@@ -12,8 +13,8 @@ the parts it probes, and gives the query's best of all these; the best of its ti
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 rows without vec_id; of rows that repeat a vec_id the smallest vector counts; shorter vectors
-are filled with zeros; with fewer candidates than asked for, all those in the parts probed
-are given, and all parts are probed while the table is small; an empty table gives an empty result.
+are filled with zeros; a query gets fewer rows than asked for only if the table holds no more;
+a table too small to learn from (64 rows at the default arguments) is one part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ ROWS_A_PART, MOST_PARTS = 640, 64
 TARGET_RECALL = 0.95
 TILE_ROWS, TILE_QUERIES = 16_384, 2_048
 NEAREST, QUERY_EVERY = 20, 20
-SMALL = 2_000  # up to this many rows all parts are probed
 
 
 def neighbours(points: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
@@ -202,23 +202,31 @@ def nearest_vectors(embeddings: DataFrame, nearest: int = NEAREST, query_every:
     parts = parts or int(min(MOST_PARTS, max(2, n // ROWS_A_PART)))
     if len(sample) > max(4 * GRAPH_NEIGHBOURS, 4 * parts, nearest + 1):
         model, learned = learn(np.stack(sample["vec"].to_numpy()).astype(float), parts, nearest)
-        probes = probes or (parts if n <= SMALL else learned)
+        probes = probes or learned
     else:
         model, parts, probes = None, 1, 1
-    shipped = spark.sparkContext.broadcast((model, probes))
-
-    def route(vecs: pd.Series, most: int) -> pd.Series:
-        m, _ = shipped.value
-        if m is None or not len(vecs):
-            return pd.Series([[0]] * len(vecs), dtype=object)
-        score = m.scores(unit_rows(np.stack(vecs.to_numpy()).astype(float)))
-        return pd.Series(list(np.argsort(-score, axis=1, kind="stable")[:, :most].astype(np.int32)))
-
-    home = F.pandas_udf(lambda v: route(v, 1), "array<int>")
-    probed = F.pandas_udf(lambda v: route(v, shipped.value[1]), "array<int>")
-    index = save(rows.withColumn("part", F.element_at(home("vec"), 1)), "ann-index")
+    shipped = spark.sparkContext.broadcast(model)
+
+    def order(vecs: pd.Series) -> np.ndarray:
+        if shipped.value is None or not len(vecs):
+            return np.zeros((len(vecs), 1), dtype=np.int32)
+        score = shipped.value.scores(unit_rows(np.stack(vecs.to_numpy()).astype(float)))
+        return np.argsort(-score, axis=1, kind="stable").astype(np.int32)
+
+    home = F.pandas_udf(lambda v: pd.Series(order(v)[:, 0]), "int")
+    index = save(rows.withColumn("part", home("vec")), "ann-index")
     # At most MOST_PARTS counts come to the driver.
-    places = shelve({r["part"]: r["count"] for r in index.groupBy("part").count().collect()})
+    counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    places = shelve(counts)
+    size = np.array([counts.get(p, 0) for p in range(parts)])
+
+    def route(vecs: pd.Series) -> pd.Series:
+        # The query itself may be one of the rows and is no candidate.
+        by = order(vecs)
+        need = np.maximum(probes, (size[by].cumsum(axis=1) - 1 < nearest).sum(axis=1) + 1)
+        return pd.Series([own[:m] for own, m in zip(by, need, strict=True)], dtype=object)
+
+    probed = F.pandas_udf(route, "array<int>")
     if not places:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     shelf_of = F.create_map(*[F.lit(x) for p, (shelf, _) in sorted(places.items()) for x in (p, shelf)])

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from glosswork.llm import bpe_chunks, exact_dedup, html_extract, line_runs, minhash, mixing, quality, sanitize, url_filter
+from glosswork.llm import ann_partitions, bpe_chunks, exact_dedup, html_extract, line_runs, minhash, mixing, quality, sanitize, url_filter
 from glosswork.llm._common import build_filter, components
 from glosswork.llm.ann_partitions import nearest_vectors
 
@@ -347,6 +347,24 @@ def test_nearest_vectors(spark):
     assert isinstance(got, pd.DataFrame)
 
 
+def test_nearest_vectors_probe_as_learned_and_until_there_are_enough(spark, monkeypatch):
+    points = np.random.default_rng(22).normal(size=(600, 8))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    few = nearest_vectors(rows, parts=40, probes=1).toPandas()
+    assert few.groupby("query_id").size().to_dict() == dict.fromkeys(range(0, 600, 20), 20)
+    learn = ann_partitions.learn
+    monkeypatch.setattr(ann_partitions, "learn", lambda *a: (learn(*a)[0], 1))
+    got = nearest_vectors(rows, parts=4).toPandas()
+    hit = 0
+    for q, own in got.groupby("query_id"):
+        score = points @ points[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & set(own["vec_id"]))
+    assert len(got) == 600 and hit < 600
+    tiny = nearest_vectors(rows.limit(21)).toPandas()
+    assert sorted(tiny.groupby("query_id").size()) == [20] * tiny["query_id"].nunique()
+
+
 def test_near_copies_of_one_text_in_few_pairs(spark):
     """A group whose members often fail with its smallest member but meet through others."""
     rng, base = random.Random(20), sentences(21, 1, 120)[0].split()
