@@ -13,8 +13,8 @@ Texts are equal when identical after deleting every character of ``[\\x20\\x09-\
 
 Defined results: null text counts as empty, all empty texts form one group; a null
 doc_id is larger than any other; rows that repeat a doc_id each count in
-``group_size`` and each are reported (:func:`deduplicate` returns one of them); an
-empty table gives an empty result; only doc_id and text are read.
+``group_size`` and each are reported (:func:`deduplicate` goes by doc_id and text: of copies,
+with or without ids, one row stays, and different texts of one doc_id all stay); an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import build_filter, id_or_last, null_again, one_row_each, save
+from ._common import build_filter, id_or_last, null_again, save
 
 BLANKS = dict.fromkeys([0x20, *range(0x09, 0x0E)])
 MEMTABLE_ROWS = 50_000
@@ -132,11 +132,24 @@ def duplicate_classes(docs: DataFrame, digest_bytes: int = 32, memtable_rows: in
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns, one for each group of equal texts."""
-    classes = duplicate_classes(docs)
-    gone = classes.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    again = classes.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return one_row_each(left, "doc_id") if again else left
+    classes = save(duplicate_classes(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "dedup-classes")
+    body = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "".join(map(chr, BLANKS)), "")
+    rows = docs.withColumn("_body", F.sha2(body, 256))
+
+    def among(keys: DataFrame):
+        return rows["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (rows["_body"] == keys["_sha"])
+
+    gone = classes.where("not kept").select("_id", "_sha").distinct()
+    again = save(classes.where("kept").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "dedup-again")
+    if not again.limit(1).count():
+        return rows.join(gone, among(gone), "left_anti").select(*docs.columns)
+    # Copies that share an id, or have none: the longest original, then the smallest row by a hash.
+    both = gone.union(again)
+    plain = rows.join(both, among(both), "left_anti").select(*docs.columns)
+    tie = F.xxhash64(*[name for name, kind in docs.dtypes if "map<" not in kind])
+    best = F.min_by(F.struct(*docs.columns), F.struct(-F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))), tie))
+    copies = rows.join(again, among(again), "left_semi").groupBy("doc_id", "_body").agg(best.alias("_row"))
+    return plain.union(copies.select("_row.*"))
 
 
 class LsmIndex:

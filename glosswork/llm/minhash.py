@@ -35,7 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import build_filter, components, mix64, one_row_each, save
+from ..operators.numbering import number_rows
+from ._common import build_filter, components, mix64, save
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -345,9 +346,18 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATE
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns; rows without doc_id stay."""
-    classes = near_classes(docs)
-    gone = classes.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return one_row_each(left, "doc_id") if again else left
+    """One document of each class, with all its columns; rows without doc_id stay.
+
+    Where ids repeat, documents are told apart by doc_id and text, numbered in this order.
+    """
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        gone = near_classes(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_sha": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
+    numbers = save(number_rows(rows.select("_id", "_sha").distinct(), ["_id", "_sha"], name="_no"), "near-numbers")
+    rows = save(rows.join(numbers, ["_id", "_sha"]), "near-numbered")
+    gone = near_classes(rows.select(F.col("_no").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = rows.join(gone, rows["_no"] == gone["_gone"], "left_anti")
+    tie = F.xxhash64(*[name for name, kind in docs.dtypes if "map<" not in kind])
+    one = left.groupBy("_no").agg(F.min_by(F.struct(*docs.columns), tie).alias("_row")).select("_row.*")
+    return one.union(docs.where("doc_id is null"))

@@ -64,6 +64,16 @@ def test_exact_dedup_rows(spark):
     assert [(r["doc_id"], r["keep_id"]) for r in index.probe(documents(spark, ["a", "z"], [20, 21])).collect()] == [(20, 0)]
 
 
+def test_only_true_copies_go(spark):
+    a, b, c = sentences(33, 3, 40)
+    docs = documents(spark, [a, a, b, c, c, "x y", a + " ", "z"], [1, None, None, None, None, 2, 2, 2])
+    texts = sorted(r["text"] for r in exact_dedup.deduplicate(docs).collect())
+    assert texts == sorted([a + " ", b, c, "x y", "z"])
+    near = documents(spark, [a, b, a + " more", c, c], [7, 7, 8, None, 8])
+    left = minhash.keep_one_each(near)
+    assert left.columns == near.columns and sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(7, a), (7, b), (8, c), (0, c)])
+
+
 def brute_classes(texts):
     words = [re.findall(r"(?:[a-zA-Z0-9_]|[^\x00-\x7f])+", (t or "").lower()) for t in texts]
     sets = [Counter(tuple(w[j:j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []) for w in words]
