@@ -2,7 +2,8 @@
 
 Every page is read into a light tree.  Its containers are scored by the running text
 that they hold, less links and boilerplate, and the page votes for the generalised
-path of its best container: tag names with their classes, digits and ids dropped.
+path of its best container, widened until no container with running text is left out
+beside it (an article or main element is not left): tag names with their classes, digits and ids dropped.
 Votes are added up by host and path in Spark; a host's winning path is the one most of
 its pages voted for.  In a second pass each page's text is taken from the container at
 the winning path; a page that lacks it, or finds nothing there, uses its own best one.
@@ -208,12 +209,13 @@ def own_text(node: Node) -> tuple[int, int]:
 
 def best_container(root: Node) -> Node:
     """The container with the highest score: its own text less twice its links, half of what its child
-    containers score, and a bonus for the tags meant for articles."""
+    containers score, and a bonus for the tags meant for articles; then :func:`widened`."""
     order = [x for x in walk(root) if x is root or x.tag in CONTAINERS]
     score = {}
     for x in order:
         total, links = own_text(x)
         score[id(x)] = max(0.0, total - 2.0 * links)
+    own = dict(score)
     for x in reversed(order):
         up = x.parent
         while up is not None and id(up) not in score:
@@ -222,7 +224,26 @@ def best_container(root: Node) -> Node:
             score[id(up)] += 0.5 * score[id(x)]
     weight = {"article": 4.0, "main": 3.0}
     best = max(order, key=lambda x: score[id(x)] * weight.get(x.tag, 1.0))
-    return best if score[id(best)] > 0 else root
+    return widened(best, [x for x in order if own[id(x)] > 0]) if score[id(best)] > 0 else root
+
+
+def widened(best: Node, texts: list[Node]) -> Node:
+    """The lowest container, up to the next article or main element, that holds ``best`` and all running text there."""
+    line = [best, *above(best)]
+    end = next((i for i, x in enumerate(line) if x.tag in ("article", "main")), len(line) - 1)
+    place, most = {id(x): i for i, x in enumerate(line)}, 0
+    for x in texts:
+        passed = []
+        while id(x) not in place:
+            passed.append(x)
+            x = x.parent
+        at = place[id(x)]
+        place.update((id(y), at) for y in passed)
+        if at <= end:
+            most = max(most, at)
+    while line[most].tag not in CONTAINERS and line[most].parent is not None:
+        most += 1
+    return line[most]
 
 
 def vote(page: str | None) -> str | None:

@@ -250,6 +250,14 @@ def test_html_consensus(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_unequal_parts_under_one_parent():
+    lead, story = "lead " * 40, "story " * 50
+    page = PAGE % f'<div class="post"><div class="lead"><p>{lead}</p></div><div class="story"><p>{story}</p></div></div>'
+    assert html_extract.vote(page) == "div.post"
+    for winning in ("div.post", None):
+        assert html_extract.extract(page, winning)[0] == f"{lead.strip()}\n\n{story.strip()}"
+
+
 def test_html_parses_deep_and_broken_pages():
     assert html_extract.extract("<div>" * 3000 + "deep" + "</p></div>", None)[0] == "deep"
     assert html_extract.extract("<article><p>a <i>b</i>c<script>if (a<b) {'</p>'}</script> d</article>", None)[0] == "a bc d"
