@@ -24,23 +24,28 @@ BROADCAST_ROWS = 200_000  # a table of counted rows above this is joined by a sh
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a local shell) is one set here.
+    Only where the session has none and all runs on one machine (a local shell, tests) is one set here.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = jvm_dir.get() if jvm_dir.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "/tmp/checkpoints/" + uuid.uuid4().hex
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors."""
+def save(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``most``: the most rows that it can have, if they are short and counted; they go to about a file for each 100,000.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    (df if most is None else packed(df, most)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
@@ -55,6 +60,11 @@ def drop_saved(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small(side: DataFrame) -> DataFrame:
+    """``side``, a table of the shared folder, marked for broadcast if it has at most ``BROADCAST_ROWS`` counted rows."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def small_join(df: DataFrame, side: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
     """Join with ``side`` of ``rows`` counted rows: broadcast when small, else by a shuffle
     whose skewed partitions adaptive execution splits."""
@@ -142,7 +152,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): a table (id, class_id), class_id the smallest id.
 
     Alternating large-star and small-star rounds; both only take minima by key (with
-    partial aggregation) and join back, so a hub is no single task's work.  Every
+    partial aggregation) and join back.  The minima are written first, so that the join's sides are plain
+    shuffles, of which adaptive execution splits the one that holds a hub's many edges.  Every
     round is written to the shared folder.
     """
     edges = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -152,15 +163,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
+        size = 2 * before[0]
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = save(packed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), size), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = save(packed(large, 2 * before[0]), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = save(packed(large, size), "large")
+        drop_saved(least)
+        least = save(packed(large.groupBy("u").agg(F.min("v").alias("m")), size), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        fresh = save(packed(small.union(least.select("u", F.col("m").alias("v"))).distinct(), 2 * before[0]), "small")
-        drop_saved(large)
-        drop_saved(edges)
+        fresh = save(packed(small.union(least.select("u", F.col("m").alias("v"))).distinct(), size), "small")
+        for done in (least, large, edges):
+            drop_saved(done)
         edges, after = fresh, state(fresh)
         if after == before:
             break

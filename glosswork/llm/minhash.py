@@ -9,21 +9,22 @@ coordinate with the probability of their weighted Jaccard similarity.  Documents
 leave a coordinate empty throw again with twice the theta.
 
 Bands of the signature give buckets.  Texts with equal word sequences are one
-representative first.  In a bucket every member is compared with its smallest member;
-that settles buckets of near copies, however hot, by partial aggregation and joins
-whose skewed partitions split.  The members that fail (mixed buckets) are compared with all
-members of their bucket by their signatures, in tiles of bounded size.  A failed member tries
-its likeliest partners outside its class so far, then ever more of them, until no partner is left whose
-signature agrees in ``LEAST_AGREEMENT`` of the coordinates: a pair at the threshold stays
-below that with a probability of about 1e-5.  No bucket is capped, and pairs within a class are not needed.
-Every link is verified by the exact weighted Jaccard similarity of whole texts.
-Verified links are closed into classes.
+representative first (by partial aggregation).  In a bucket every member is compared with its smallest member;
+that settles buckets of near copies, however hot.  Buckets whose members still are of several classes (mixed
+buckets) are dealt into tiles of bounded size, to which the members' whole shingle sets are brought.  A tile verifies
+there every pair of members of different classes whose signatures agree in ``LEAST_AGREEMENT`` of the
+coordinates (a pair at the threshold stays below that with a probability of about 1e-5), in the first band that the two
+share, so that no pair is verified twice.  Links are joined within the tile as they are found, likeliest pairs first; only a
+link that joins two trees leaves it, so that a tile of m members gives m - 1 rows at most and pairs that fail give none.
+No bucket is capped, and pairs within a class are not needed.  Every link is verified by the exact weighted Jaccard
+similarity of whole texts.  The forests of all tiles are closed into classes.
 
 Words are runs of ASCII letters, digits, ``_`` and of all characters beyond ASCII, in
 lower case.  Defined results: a text of one to four words has one shingle, all of it; a
 text without words is in a class only with identical texts (null counts as empty); rows that repeat a
-doc_id share a class; a null doc_id has class null; an empty table gives an empty
-result; only doc_id and text are read.
+doc_id share a class, even with different texts; a null doc_id has class null; ties of similarity do not matter, as a class
+is named by its smallest doc_id; a very long text is hashed in pieces of ``SLICE`` bytes, its shingles take some 100 bytes a word
+of memory; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ WORDS = 5
 SIMILARITY = 0.8
 COORDINATES, ROWS = 125, 5  # 25 bands of 5
 LEAST_AGREEMENT = 0.65
-TILE_QUERIES, TILE_MEMBERS = 1_024, 4_096
-PARTNERS = 2  # partners tried in other classes by each failed member, times 16 each round until none is left out
+TILE_ROWS, TILE_KEYS = 512, 500_000  # of each side of a tile: rows, shingles
+VERIFY_AT_ONCE = 256  # pairs verified before classes are looked at anew, times 4 each turn
 SLICE = 1_000_000  # characters handled at once
+STRIPS = 250_000  # strips that throw their darts at once
 
 WORD_BYTES = np.zeros(256, dtype=bool)
 WORD_BYTES[128:] = True
@@ -68,8 +70,26 @@ def slices(texts: list[str]):
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document number of every word of ``texts``, in order."""
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
     starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    raw = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
+    hashes, places, at = [], [], 0
+    while at < len(raw):
+        end = at + SLICE
+        while end < len(raw):  # on to the end of a word
+            gap = np.flatnonzero(~WORD_BYTES[raw[end:end + 4096]])
+            if len(gap):
+                end += int(gap[0]) + 1
+                break
+            end += 4096
+        hashed, first = piece_hashes(raw[at:end])
+        hashes.append(hashed)
+        places.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(starts, np.concatenate(places), side="right") - 1
+
+
+def piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every word of some bytes."""
     inside = WORD_BYTES[raw]
     before = np.concatenate([[False], inside[:-1]])
     first = np.flatnonzero(inside & ~before)
@@ -81,7 +101,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         power = np.cumprod(np.concatenate([[1], np.full(int(length.max()) - 1, 0x100000001B3)]).astype(np.uint64), dtype=np.uint64)
         offset = at - np.repeat(first, length)
         hashed = np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * power[offset], np.cumsum(length) - length)
-    return mix64(hashed + length.astype(np.uint64)), np.searchsorted(starts, first, side="right") - 1
+    return mix64(hashed + length.astype(np.uint64)), first
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -129,33 +149,42 @@ def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, k: in
     total = np.bincount(place, weight) if len(place) else np.zeros(0)
     signature = np.full((len(numbers), k), np.iinfo(np.uint64).max, dtype=np.uint64)
     units = np.ceil(weight).astype(np.int64)
-    strip_of = np.repeat(np.arange(len(element)), units)
-    nth = np.arange(len(strip_of)) - np.repeat(np.cumsum(units) - units, units)
-    width = np.minimum(1.0, np.repeat(weight, units) - nth)
-    with np.errstate(over="ignore"):
-        seed = mix64(element[strip_of] + (nth.astype(np.uint64) + np.uint64(1)) * GOLD)
-    owner, darts, todo = place[strip_of], k * np.log(max(2, k)) + 2 * k, np.arange(len(numbers))
+    ends = np.cumsum(units)
+    darts, todo = k * np.log(max(2, k)) + 2 * k, np.arange(len(numbers))
     while len(todo):
         theta = np.zeros(len(numbers))
         theta[todo] = darts / np.maximum(total[todo], 1e-12)
-        alive = np.flatnonzero(theta[owner] > 0)
-        rank, turn = np.zeros(len(alive)), 0
-        while len(alive):
-            with np.errstate(over="ignore"):
-                gap = mix64(seed[alive] + np.uint64(2 * turn + 1) * np.uint64(0xD1B54A32D192ED03))
-                dart = mix64(seed[alive] + np.uint64(2 * turn + 2) * np.uint64(0x8CB92BA72F3D8DD7))
-            rank = rank - np.log(unit(gap))
-            near = rank <= theta[owner[alive]]
-            alive, rank, dart = alive[near], rank[near], dart[near]
-            hit = np.ones(len(alive), bool) if (width[alive] >= 1).all() else unit(mix64(dart ^ GOLD)) <= width[alive]
-            packed = (rank[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (dart[hit] >> np.uint64(32))
-            np.minimum.at(signature, (owner[alive[hit]], (dart[hit] % np.uint64(k)).astype(np.int64)), packed)
-            turn += 1
+        for start in range(0, int(ends[-1]) if len(ends) else 0, STRIPS):
+            strip = np.arange(start, min(start + STRIPS, int(ends[-1])))
+            of = np.searchsorted(ends, strip, side="right")
+            of, strip = of[theta[place[of]] > 0], strip[theta[place[of]] > 0]
+            if len(of):
+                nth = strip - (ends[of] - units[of])
+                with np.errstate(over="ignore"):
+                    seed = mix64(element[of] + (nth.astype(np.uint64) + np.uint64(1)) * GOLD)
+                throw(signature, seed, np.minimum(1.0, weight[of] - nth), place[of], theta)
         todo = todo[(signature[todo] == np.iinfo(np.uint64).max).any(axis=1)]
         darts *= 2
     return numbers, signature
 
 
+def throw(signature: np.ndarray, seed: np.ndarray, width: np.ndarray, owner: np.ndarray, theta: np.ndarray) -> None:
+    """Throw the darts of some strips, each up to its owner's rank ``theta``; coordinates keep their earliest."""
+    k = np.uint64(signature.shape[1])
+    alive, rank, turn = np.arange(len(seed)), np.zeros(len(seed)), 0
+    while len(alive):
+        with np.errstate(over="ignore"):
+            gap = mix64(seed[alive] + np.uint64(2 * turn + 1) * np.uint64(0xD1B54A32D192ED03))
+            dart = mix64(seed[alive] + np.uint64(2 * turn + 2) * np.uint64(0x8CB92BA72F3D8DD7))
+        rank = rank - np.log(unit(gap))
+        near = rank <= theta[owner[alive]]
+        alive, rank, dart = alive[near], rank[near], dart[near]
+        hit = np.ones(len(alive), bool) if (width[alive] >= 1).all() else unit(mix64(dart ^ GOLD)) <= width[alive]
+        packed = (rank[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (dart[hit] >> np.uint64(32))
+        np.minimum.at(signature, (owner[alive[hit]], (dart[hit] % k).astype(np.int64)), packed)
+        turn += 1
+
+
 def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band of ``rows`` coordinates."""
     bands = signature.reshape(len(signature), -1, rows)
@@ -166,28 +195,42 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def similarity(a: str, b: str) -> float:
-    """Exact weighted Jaccard similarity of two texts' shingles."""
-    doc, h, n = weighted_set([a or "", b or ""])
-    left, right = dict(zip(h[doc == 0].tolist(), n[doc == 0], strict=True)), dict(zip(h[doc == 1].tolist(), n[doc == 1], strict=True))
-    both = sum(min(x, right[s]) for s, x in left.items() if s in right)
-    either = sum(left.values()) + sum(right.values()) - both
-    return both / either if either else 0.0
+def shingle_keys(texts: list[str]) -> list[np.ndarray]:
+    """The shingles of each text as sorted 64-bit keys; the n-th copy of a shingle is a key of its own, so
+    that weighted sets become plain ones of the same similarity."""
+    doc, h, count = weighted_set(texts)
+    units = count.astype(np.int64)
+    nth = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
+    doc, key = np.repeat(doc, units), np.repeat(h, units)
+    with np.errstate(over="ignore"):
+        key = np.where(nth > 0, mix64(key + nth.astype(np.uint64) * GOLD), key)
+    key = key[np.lexsort((key, doc))]
+    return np.split(key, np.searchsorted(doc, np.arange(1, len(texts))))
 
 
-def similarities(left: list[str], right: list[str]) -> np.ndarray:
-    """:func:`similarity` of pairs, many at once."""
+def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact similarity of pairs of :func:`shingle_keys`, many at once."""
     n = len(left)
-    doc, h, count = weighted_set([*left, *right])
-    pair = doc % n
-    order = np.lexsort((doc, h, pair))
-    pair, h, count = pair[order], h[order], count[order]
-    total = np.bincount(pair, count, minlength=n)
-    match = np.flatnonzero((pair[1:] == pair[:-1]) & (h[1:] == h[:-1]))
-    both = np.bincount(pair[match], np.minimum(count[match], count[match + 1]), minlength=n)
+    sizes = np.array([len(x) for x in (*left, *right)], dtype=np.int64)
+    pair, key = np.repeat(np.tile(np.arange(n), 2), sizes), np.concatenate([*left, *right, np.zeros(0, np.uint64)])
+    order = np.lexsort((key, pair))
+    pair, key = pair[order], key[order]
+    both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (key[1:] == key[:-1])], minlength=n)
+    total = sizes[:n] + sizes[n:]
     return np.divide(both, total - both, out=np.zeros(n), where=total > both)
 
 
+def similarity(a: str, b: str) -> float:
+    """Exact weighted Jaccard similarity of two texts' shingles."""
+    left, right = shingle_keys([a or "", b or ""])
+    return float(similarities([left], [right])[0])
+
+
+def marks_of(signature: np.ndarray) -> np.ndarray:
+    """16 bits a coordinate, all that buckets and estimates are made from."""
+    return (mix64(signature) & np.uint64(0xFFFF)).astype("<u2")
+
+
 def sketch(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS) -> DataFrame:
     """doc_id, same (digest of the word sequence), bands (keys) and marks (16 bits a coordinate) of every row."""
 
@@ -199,8 +242,8 @@ def sketch(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS) -> DataFrame
                 first = np.searchsorted(doc, np.arange(len(part) + 1))
                 bands, marks = [None] * len(part), [None] * len(part)
                 numbers, signature = dart_minhash(*weighted_set(part), k)
-                short = (mix64(signature) & np.uint64(0xFFFF)).astype("<u2")
-                for number, keys, own in zip(numbers, band_keys(signature, rows).view(np.int64), short, strict=True):
+                short = marks_of(signature)
+                for number, keys, own in zip(numbers, band_keys(short.astype(np.uint64), rows).view(np.int64), short, strict=True):
                     bands[number], marks[number] = keys, own.tobytes()
                 same = [hashlib.blake2b(words[a:b].tobytes() if b > a else b"text:" + t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                         for a, b, t in zip(first, first[1:], part, strict=False)]
@@ -224,123 +267,189 @@ def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return both.where(share("a_marks", "b_marks") >= LEAST_AGREEMENT).select("a", "b")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, n, keys) of the documents in ``wanted`` (and a few more that its filter lets pass)."""
+    passing = docs.sparkSession.sparkContext.broadcast(build_filter(wanted))
+
+    def run(batches):
+        for batch in batches:
+            batch = batch[passing.value.test(batch["doc_id"].to_numpy(dtype=np.int64).view(np.uint64))]
+            for start, part in slices(list(batch["text"])):
+                keys = shingle_keys(part)
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:start + len(part)].to_numpy(), "n": [len(x) for x in keys], "keys": [x.tobytes() for x in keys]})
+
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = save(some.where("doc_id is not null").mapInPandas(run, "doc_id long, n long, keys binary"), "near-sets")
+    passing.destroy()
+    return out
+
+
+def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts reach the similarity."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
+    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("b_keys")), "b")
+    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("a_keys")), "a").select("a", "b", "a_keys", "b_keys")
 
     def run(batches):
         for batch in batches:
-            a, b = list(batch["a_text"]), list(batch["b_text"])
-            joined = [x + y for x, y in zip(a, b, strict=True)]
-            for start, part in slices(joined):
-                end = start + len(part)
-                ok = similarities(a[start:end], b[start:end]) >= least
-                yield pd.DataFrame({"a": batch["a"].iloc[start:end].to_numpy()[ok], "b": batch["b"].iloc[start:end].to_numpy()[ok]})
+            ids = batch[["a", "b"]].to_numpy()
+            a, b = ([np.frombuffer(x, dtype=np.uint64) for x in batch[c]] for c in ("a_keys", "b_keys"))
+            turn = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)]) // TILE_KEYS
+            ok = [similarities([a[i] for i in at], [b[i] for i in at]) >= least for t in np.unique(turn) for at in [np.flatnonzero(turn == t)]]
+            got = ids[np.concatenate([np.zeros(0, bool), *ok])] if len(ids) else ids
+            yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1]}).astype("int64")
 
     return both.mapInPandas(run, "a long, b long")
 
 
-def tile_pairs(ids: np.ndarray, marks: np.ndarray, asks: np.ndarray, classes: np.ndarray, least: int, most: int):
-    """(a, b, more): each query's ``most`` best partners in other classes that agree in ``least`` coordinates; more: there are others."""
-    members, member_ids, member_classes = marks[~asks], ids[~asks], classes[~asks]
-    queries, query_ids, query_classes = marks[asks], ids[asks], classes[asks]
-    step = max(1, 8_000_000 // max(1, members.size))
-    for start in range(0, len(queries), step):
-        part = slice(start, start + step)
-        agree = (queries[part][:, None, :] == members[None, :, :]).sum(axis=2)
-        q, m = np.nonzero((agree >= least) & (query_classes[part][:, None] != member_classes[None, :]))
-        order = np.lexsort((member_ids[m], -agree[q, m], q))
-        q, m = q[order], m[order]
-        nth = np.arange(len(q)) - np.searchsorted(q, q)
-        more = np.bincount(q, minlength=1)[q] > most if len(q) else np.zeros(0, bool)
-        x, y, near = query_ids[start + q], member_ids[m], nth < most
-        yield np.column_stack([np.minimum(x, y), np.maximum(x, y), more])[near]
-
-
-def tiles(members: DataFrame, failed: DataFrame, marks: DataFrame) -> DataFrame:
-    """The failed members and all members of their buckets, dealt into tiles of bounded size."""
-    sizes = failed.groupBy("bucket").agg(F.count("*").alias("q"))
-    inside = members.join(sizes.select("bucket"), "bucket", "left_semi")
-    sizes = sizes.join(inside.groupBy("bucket").agg(F.count("*").alias("m")), "bucket").select(
-        "bucket", F.ceil(F.col("q") / TILE_QUERIES).cast("int").alias("lines"), F.ceil(F.col("m") / TILE_MEMBERS).cast("int").alias("columns"))
+class Tile:
+    """Members of one bucket, side by side: those that ask and those that are asked."""
+
+    def __init__(self, ids, classes, other, marks, keys, rows: int):
+        self.ids, self.other, self.marks = ids, other, marks
+        self.label = np.unique(classes, return_inverse=True)[1]
+        self.bands = band_keys(marks.astype(np.uint64), rows)
+        self.size = np.array([len(x) for x in keys], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.code = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_inverse=True)[1].astype(np.int32)
+        self.flag = np.zeros(int(self.code.max(initial=0)) + 1, dtype=bool)
+
+    def candidates(self, asks: np.ndarray, asked: np.ndarray, band: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different classes that first meet in this band and agree in ``least`` coordinates, likeliest first."""
+        meet = self.label[asks][:, None] != self.label[asked][None, :]
+        # Two members that both differ from their bucket's first class meet once, the smaller asks.
+        meet &= ~self.other[asked][None, :] | (self.ids[asks][:, None] < self.ids[asked][None, :])
+        for earlier in range(band):
+            meet &= self.bands[asks, earlier][:, None] != self.bands[asked, earlier][None, :]
+        q, m = (side[at] for side, at in zip((asks, asked), np.nonzero(meet), strict=True))
+        agree = np.concatenate([np.zeros(0, np.int64), *((self.marks[q[i:i + 65_536]] == self.marks[m[i:i + 65_536]]).sum(axis=1) for i in range(0, len(q), 65_536))])
+        order = np.flatnonzero(agree >= least)
+        order = order[np.lexsort((m[order], q[order], -agree[order]))]
+        return q[order], m[order]
+
+    def similar(self, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Exact similarities of pairs of members."""
+        out = np.zeros(len(q))
+        order = np.argsort(q, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(q[order])) + 1):
+            own, there = q[at[0]], m[at]
+            mine = self.code[self.start[own]:self.start[own] + self.size[own]]
+            self.flag[mine] = True
+            size = self.size[there]
+            begin = np.cumsum(size) - size
+            place = np.arange(size.sum()) + np.repeat(self.start[there] - begin, size)
+            both = np.add.reduceat(self.flag[self.code[place]].astype(np.int64), begin)
+            self.flag[mine] = False
+            out[at] = both / (self.size[own] + size - both)
+        return out
+
+    def links(self, asks: np.ndarray, asked: np.ndarray, band: int, least_marks: int, least: float) -> list[tuple[int, int]]:
+        """Verified links that join two classes, at most members - 1 of them."""
+        out = []
+        for start in range(0, len(asks), 128):
+            q, m = self.candidates(asks[start:start + 128], asked, band, least_marks)
+            most = VERIFY_AT_ONCE
+            while len(q):
+                open_ = self.label[q] != self.label[m]
+                q, m = q[open_], m[open_]
+                now_q, now_m, q, m = q[:most], m[:most], q[most:], m[most:]
+                if len(now_q):
+                    ok = self.similar(now_q, now_m) >= least
+                    for x, y in zip(now_q[ok], now_m[ok], strict=True):
+                        if self.label[x] != self.label[y]:
+                            self.label[self.label == self.label[y]] = self.label[x]
+                            out.append((min(self.ids[x], self.ids[y]), max(self.ids[x], self.ids[y])))
+                most *= 4
+        return out
+
+
+def tiles(mixed: DataFrame, most: int) -> DataFrame:
+    """Members of mixed buckets dealt into tiles: bucket, band, line, column, asks, asked, doc_id, class_id, other.
+
+    A bucket that fits into one tile travels once; the members of a larger one travel once for each line or column of tiles.
+    """
+    side = lambda n, keys: F.greatest(F.ceil(n / TILE_ROWS), F.ceil(keys / TILE_KEYS)).cast("int")
+    sizes = mixed.groupBy("bucket").agg(F.sum(F.col("other").cast("long")).alias("q"), F.sum(F.when(F.col("other"), F.col("n")).otherwise(0)).alias("q_keys"), F.count("*").alias("m"), F.sum("n").alias("m_keys"))
+    sizes = save(sizes.select("bucket", side(F.col("q"), F.col("q_keys")).alias("lines"), side(F.col("m"), F.col("m_keys")).alias("columns")), "near-sizes", most)
     number = lambda size: F.pmod(F.xxhash64("doc_id"), F.col(size)).cast("int")
     spread = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
-    asking = failed.join(sizes, "bucket").select("bucket", number("lines").alias("line"), spread("columns").alias("column"), "doc_id", F.lit(True).alias("asks"))
-    asked = inside.join(sizes, "bucket").select("bucket", spread("lines").alias("line"), number("columns").alias("column"), "doc_id", F.lit(False).alias("asks"))
-    return asking.union(asked).join(marks.select("doc_id", "marks"), "doc_id").select("bucket", "line", "column", "doc_id", "asks", "marks")
-
-
-def mixed_pairs(dealt: DataFrame, classes: DataFrame, most: int, k: int = COORDINATES) -> DataFrame:
-    """Pairs (a, b, more) of each failed member with its ``most`` likeliest partners in other classes, by tiles."""
-    labelled = dealt.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "line", "column", "doc_id", "asks", "marks", F.coalesce("class_id", "doc_id").alias("class_id"))
-    key, least = ["bucket", "line", "column"], int(np.ceil(LEAST_AGREEMENT * k))
+    sized = mixed.join(sizes, "bucket")
+    one = (F.col("lines") == 1) & (F.col("columns") == 1)
+    own = ["doc_id", "class_id", "other"]
+    small = sized.where(one).select("bucket", "band", F.lit(0).alias("line"), F.lit(0).alias("column"), F.col("other").alias("asks"), F.lit(True).alias("asked"), *own)
+    asking = sized.where(~one & F.col("other")).select("bucket", "band", number("lines").alias("line"), spread("columns").alias("column"), F.lit(True).alias("asks"), F.lit(False).alias("asked"), *own)
+    asked = sized.where(~one).select("bucket", "band", spread("lines").alias("line"), number("columns").alias("column"), F.lit(False).alias("asks"), F.lit(True).alias("asked"), *own)
+    return small.union(asking).union(asked)
+
+
+def tile_links(dealt: DataFrame, marks: DataFrame, sets: DataFrame, least: float, k: int = COORDINATES, rows: int = ROWS) -> DataFrame:
+    """The forest links (a, b) of all tiles."""
+    key, least_marks = ["bucket", "line", "column"], int(np.ceil(LEAST_AGREEMENT * k))
+    full = dealt.join(marks, "doc_id").join(sets.select("doc_id", "keys"), "doc_id")
+
+    def found(part: pd.DataFrame) -> list[tuple[int, int]]:
+        asks, asked = (part[c].to_numpy(dtype=bool) for c in ("asks", "asked"))
+        if not asks.any() or not asked.any():
+            return []
+        own = np.frombuffer(b"".join(part["marks"]), dtype="<u2").reshape(len(part), -1)
+        tile = Tile(part["doc_id"].to_numpy(), part["class_id"].to_numpy(), part["other"].to_numpy(dtype=bool), own, [np.frombuffer(x, dtype=np.uint64) for x in part["keys"]], rows)
+        return tile.links(np.flatnonzero(asks), np.flatnonzero(asked), int(part["band"].iloc[0]), least_marks, least)
 
     def run(batches):
-        rest = None
+        rest = []
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
             at = batch[key].to_numpy()
-            ends = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
-            yield from found(batch.iloc[:ends[-1]] if len(ends) else batch.iloc[:0], ends)
-            rest = batch.iloc[ends[-1]:] if len(ends) else batch
-        if rest is not None and len(rest):
-            yield from found(rest, np.array([len(rest)]))
-
-    def found(part, ends):
-        if not len(part):
-            return
-        ids, asks, own_class = part["doc_id"].to_numpy(), part["asks"].to_numpy(dtype=bool), part["class_id"].to_numpy()
-        own = np.frombuffer(b"".join(part["marks"]), dtype="<u2").reshape(len(part), -1)
-        got = [p for a, b in zip([0, *ends[:-1]], ends, strict=True) if asks[a:b].any() for p in tile_pairs(ids[a:b], own[a:b], asks[a:b], own_class[a:b], least, most) if len(p)]
-        if got:
-            got = np.unique(np.concatenate(got), axis=0)
-            yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1], "more": got[:, 2].astype(bool)})
-
-    return labelled.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long, more boolean")
-
-
-def near_links(sketches: DataFrame, docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATES) -> DataFrame:
-    """Verified links (a, b) between representatives of different word sequences."""
-    spark = docs.sparkSession
-    owners = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    reps = sketches.where("bands is not null").join(owners, ["same", "doc_id"]).select("doc_id", "bands", "marks")
-    repeated = sketches.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    reps = save(reps.groupBy("doc_id").agg(F.min("bands").alias("bands"), F.min("marks").alias("marks")) if repeated else reps, "near-reps")
-    marks = reps.select("doc_id", "marks")
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    members = save(buckets.join(crowded, "bucket").select("bucket", "doc_id", "a"), "near-members")
-    wanted = spark.sparkContext.broadcast(build_filter(members.select("doc_id").distinct()))
-    seen = F.pandas_udf(lambda ids: pd.Series(wanted.value.test(ids.to_numpy(dtype=np.int64).view(np.uint64))), "boolean")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").where(seen("doc_id"))
-    texts = save(some, "near-texts")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else texts
-    spokes = members.where("doc_id <> a")
-    stars = save(verify(likely(spokes.select("a", F.col("doc_id").alias("b")).distinct(), marks), texts, least), "near-stars")
-    failed = save(spokes.join(stars.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("bucket", "doc_id"), "near-failed")
-    if not failed.limit(1).count():
+            ends = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(batch)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                if rest and tuple(rest[-1][key].iloc[0]) != tuple(at[a]):
+                    yield frame(found(pd.concat(rest, ignore_index=True)))
+                    rest = []
+                rest.append(batch.iloc[a:b])
+        if rest:
+            yield frame(found(pd.concat(rest, ignore_index=True)))
+
+    def frame(links):
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return full.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long")
+
+
+def near_links(reps: DataFrame, docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATES, rows: int = ROWS) -> DataFrame:
+    """Verified links (a, b) between the representatives (doc_id, bands, marks) that hold all their classes together."""
+    marks = reps.where("bands is not null").select("doc_id", "marks")
+    most = reps.count() * (k // rows)  # rows of all buckets
+    buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    crowded = save(buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a"), "near-buckets", most)
+    members = save(buckets.join(crowded, "bucket"), "near-members", most)
+    sets = shingle_sets(docs, save(members.select("doc_id").distinct(), "near-ids", most))
+    spokes = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    stars = save(verify(save(likely(spokes, marks), "near-likely", most), sets, least), "near-stars")
+    classes = save(components(stars), "near-so-far", most).withColumnRenamed("id", "doc_id")
+    known = members.join(classes, "doc_id", "left").select("bucket", "band", "doc_id", "a", F.coalesce("class_id", "doc_id").alias("class_id"))
+    first = save(known.where("doc_id = a").select("bucket", F.col("class_id").alias("first_class")).distinct(), "near-first", most)
+    other = save(known.join(first, "bucket").select("bucket", "band", "doc_id", "class_id", (F.col("class_id") != F.col("first_class")).alias("other")), "near-known", most)
+    kinds = save(other.where("other").select("bucket").distinct(), "near-mixed", most)
+    if not kinds.limit(1).count():
         return stars
-    dealt = save(tiles(members.select("bucket", "doc_id"), failed, marks), "near-tiles")
-    links, tested, most = stars, None, PARTNERS
-    while True:
-        found = save(mixed_pairs(dealt, save(components(links), "near-so-far"), most, k), "near-mixed")
-        fresh = found.select("a", "b").distinct()
-        fresh = save(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "near-fresh")
-        links = links.union(save(verify(fresh, texts, least), "near-links"))
-        tested = fresh if tested is None else tested.union(fresh)
-        if not found.where("more").limit(1).count():
-            return links.distinct()
-        most *= 16
+    mixed = save(other.join(kinds, "bucket").join(sets.select("doc_id", "n"), "doc_id"), "near-mixed-members", most)
+    dealt = save(tiles(mixed, most), "near-tiles")
+    return stars.union(save(tile_links(dealt, marks, sets, least, k, rows), "near-forests"))
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATES, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), kept."""
     sketches = save(sketch(docs, k, rows), "near-sketch")
-    found = save(components(near_links(sketches, docs, least, k)), "near-classes")
-    owners = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    members = sketches.select("doc_id", "same").join(owners, "same").select("doc_id", "rep")
-    known = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
+    owned = sketches.groupBy("same").agg(F.min(F.struct("doc_id", "bands", "marks")).alias("r"))
+    reps = save(owned.select("same", "r.*"), "near-reps")
+    links = near_links(reps, docs, least, k, rows)
+    # Different texts of one doc_id: their representatives are linked, as the rows share a class.
+    if sketches.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rep = reps.select("same", F.col("doc_id").alias("b"))
+        links = links.union(sketches.join(rep, "same").groupBy("doc_id").agg(F.min("b").alias("a"), F.collect_set("b").alias("b")).select("a", F.explode("b").alias("b")))
+    found = save(components(links), "near-classes")
+    named = save(reps.select("same", F.col("doc_id").alias("id")).join(found, "id", "left").select("same", F.coalesce("class_id", "id").alias("class_id")), "near-named")
+    known = sketches.select("doc_id", "same").join(named, "same").select("doc_id", "class_id")
     nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"))
     return known.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
