@@ -28,7 +28,7 @@ def translate_menu(store: PhraseStore, debug: bool) -> None:
     while (line := ask("> ")) not in (None, ""):
         print(translator.translate_text(line, source, target))
         if debug:
-            print(translator.statistics)
+            print(*translator.trace(line, source, target), translator.statistics, sep="\n")
 
 
 def import_menu(store: PhraseStore, directory: str) -> None:
@@ -49,8 +49,7 @@ def main(args: list[str] | None = None) -> int:
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("glosswork").getOrCreate()
     store = PhraseStore(spark, given.store).initialize()
-    store.summary().show()
-    pt.pair_summary(store.table()).select("line").show(truncate=False)
+    print(*store.report(), sep="\n")
     while (choice := ask("1 translate, 2 import, 0 quit: ")) not in (None, "0"):
         if choice == "1":
             translate_menu(store, given.debug)

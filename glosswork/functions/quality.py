@@ -7,31 +7,34 @@ row.  All patterns below are fixed values.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import BOUND as B
-from .text import PAIRS, SPACE, normalize_for_lookup, split_spaces, trim_all, unit_length, units
+from .text import PAIRS, SPACE, normalize_for_lookup, split_spaces, trim_all, units
 
 CI = "(?iu)"
+# Word boundaries beside a word character: before one, and behind one.  They cost less than the general one.
+L, R = r"(?<!\w)", r"(?!\w)"
 MARKUP = CI + r"</?\w+|&(?:[a-z]+|#\d+);|<!DOCTYPE|<\?xml"
-CSS_TAIL = rf"|\.[A-Za-z0-9_-]+\s*\{{|#(?:[A-Fa-f0-9]{{3}}){{1,2}}{B}"
+CSS_TAIL = rf"|\.[A-Za-z0-9_-]+\s*\{{|#(?:[A-Fa-f0-9]{{3}}){{1,2}}{R}"
 STYLE = CI + r"(?:^|[\s;])(?:margin|padding|font-size|background|color|display|width|height)\s*:" + CSS_TAIL
 STORED_STYLE = CI + r"(?:^|[\s;])(?:margin|padding|font-size|background|display|width|height)\s*:" + CSS_TAIL
-URL = CI + rf"(?:https?|ftp)://|www\.|{B}\w+://"
+URL = CI + rf"(?:https?|ftp)://|www\.|{L}\w+://"
 OPERATORS = r"(?:->|=>|::|==|!=|<=|>=|&&|\|\|)"
-CODE = CI + rf"{B}(?:function|class|return|if|else|while|for|var|let|const|import|include){B}\s*[({{;]|{OPERATORS}|[{{}}\[\];]{{2,}}"
-STORED_CODE = CI + rf"{B}(?:function|class|return|while|for|var|let|const|include){B}\s*[({{;]|{OPERATORS}|[{{}}\[\];]{{3,}}"
-VARIABLE = rf"%\d+|%[A-Za-z_]+|\$\{{?\w+\}}?|\{{\d+\}}|@[A-Za-z_]+@|__[A-Za-z0-9_]+__|{B}[A-Z_]{{3,}}{B}"
-PID = CI + rf"{B}PID{B}|{B}process\s+id{B}"
-STORED_PID = CI + rf"{B}PID\s*[:=#]?\s*\d+{B}|{B}process\s+id\s*[:=#]?\s*\d+{B}"
-AUTH = CI + rf"{B}Authorization{B}|{B}Bearer{B}|{B}OAuth{B}|{B}API[-_ ]?Key{B}|{B}token{B}"
-STORED_AUTH = CI + rf"Authorization\s*:\s*(?:Bearer|Basic)|{B}Bearer\s+[A-Za-z0-9._\-]{{16,}}|{B}OAuth{B}|{B}API[-_ ]?Key\s*[:=]|{B}token\s*[:=]\s*[A-Za-z0-9._\-]{{12,}}"
-TOOLTIP = CI + rf"{B}tooltip{B}|tool\s*tip"
+CODE = CI + rf"{L}(?:function|class|return|if|else|while|for|var|let|const|import|include){R}\s*[({{;]|{OPERATORS}|[{{}}\[\];]{{2,}}"
+STORED_CODE = CI + rf"{L}(?:function|class|return|while|for|var|let|const|include){R}\s*[({{;]|{OPERATORS}|[{{}}\[\];]{{3,}}"
+VARIABLE = rf"%\d+|%[A-Za-z_]+|\$\{{?\w+\}}?|\{{\d+\}}|@[A-Za-z_]+@|__[A-Za-z0-9_]+__|{L}[A-Z_]{{3,}}{R}"
+PID = CI + rf"{L}PID{R}|{L}process\s+id{R}"
+STORED_PID = CI + rf"{L}PID\s*[:=#]?\s*\d+{R}|{L}process\s+id\s*[:=#]?\s*\d+{R}"
+AUTH = CI + rf"{L}Authorization{R}|{L}Bearer{R}|{L}OAuth{R}|{L}API[-_ ]?Key{R}|{L}token{R}"
+STORED_AUTH = CI + rf"Authorization\s*:\s*(?:Bearer|Basic)|{L}Bearer\s+[A-Za-z0-9._\-]{{16,}}|{L}OAuth{R}|{L}API[-_ ]?Key\s*[:=]|{L}token\s*[:=]\s*[A-Za-z0-9._\-]{{12,}}"
+TOOLTIP = CI + rf"{L}tooltip{R}|tool\s*tip"
 STORED_TOOLTIP = CI + r"<[^>]*tooltip|tooltip\s*[:=]\s*['\"<{]"
-PATH = rf"[A-Za-z]:\\|/\w+/|\.\.?/|\w+/\w+\.\w{{1,6}}{B}"
-EMAIL = CI + rf"{B}[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{{2,}}{B}"
+PATH = rf"[A-Za-z]:\\|/\w+/|\.\.?/|\w+/\w+\.\w{{1,6}}{R}"
+EMAIL = CI + rf"{B}[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{{2,}}{R}"
 CATALOG = CI + r"unit\s+synonyms\s+for\s+matching\s+user\s+input|amount\s+in\s+units\s*\((?:real|integer)\)"
 NUMBERS = r"^[\d\s.,:/_\-+]+$"
 LONG_TOKEN = rf"{B}[A-Za-z0-9_./\\-]{{35,}}{B}"
@@ -46,10 +49,22 @@ SYMBOL = r"[^\p{L}\p{N}\t-\r\x20\x85\p{Z}]"
 
 
 def repeated_token(times: int) -> str:
-    return CI + rf"{B}(\w+){B}(?:\s+\1{B}){{{times - 1},}}"
+    return CI + rf"{L}(\w+){R}(?:\s+\1{R}){{{times - 1},}}"
 
 
-def either(rule, source: Column, target: Column) -> Column:
+class Side(NamedTuple):
+    """One text of a pair with its UTF-16 shape and its form for lookup, each to be computed once by whoever has many rules to ask."""
+
+    text: Column
+    shape: Column
+    norm: Column
+
+
+def side(x: Column) -> Side:
+    return Side(x, units(x), normalize_for_lookup(x))
+
+
+def either(rule, source: Side, target: Side) -> Column:
     return rule(source) | rule(target)
 
 
@@ -57,44 +72,49 @@ def matches(pattern: str):
     return lambda x: x.rlike(pattern)
 
 
-def bad_length(x: Column) -> Column:
-    n = unit_length(x)
+def of_text(rule):
+    return lambda s: rule(s.text)
+
+
+def bad_length(s: Side) -> Column:
+    n = F.length(s.shape)
     return (n > LONGEST) | (n < SHORTEST)
 
 
-def same_text(source: Column, target: Column) -> Column:
-    a, b = normalize_for_lookup(source), normalize_for_lookup(target)
-    return (a != "") & (a == b)
+def same_text(source: Side, target: Side) -> Column:
+    return (source.norm != "") & (source.norm == target.norm)
 
 
-def symbol_count(x: Column) -> Column:
-    return F.length(F.regexp_replace(units(x), rf"[\p{{L}}\p{{N}}\t-\r\x20\x85\p{{Z}}]", ""))
+def symbol_count(s: Side) -> Column:
+    return F.length(F.regexp_replace(s.shape, rf"[\p{{L}}\p{{N}}\t-\r\x20\x85\p{{Z}}]", ""))
 
 
-def no_letters(x: Column) -> Column:
-    return ~units(x).rlike(r"[\p{L}\p{N}]")
+def no_letters(s: Side) -> Column:
+    return ~s.shape.rlike(r"[\p{L}\p{N}]")
 
 
-def ratio(n: Column, x: Column) -> Column:
-    return n.cast("double") / F.greatest(unit_length(x), F.lit(1)).cast("double")
+def ratio(n: Column, s: Side) -> Column:
+    return n.cast("double") / F.greatest(F.length(s.shape), F.lit(1)).cast("double")
 
 
-def too_many_symbols(x: Column) -> Column:
-    return no_letters(x) | (ratio(symbol_count(x), x) > 0.35) | units(x).rlike(SYMBOL + "{4,}")
+def too_many_symbols(s: Side) -> Column:
+    return no_letters(s) | (ratio(symbol_count(s), s) > 0.35) | s.shape.rlike(SYMBOL + "{4,}")
 
 
-def single_word_over(x: Column, most: int) -> Column:
-    return (F.size(split_spaces(x)) == 1) & (unit_length(x) > most)
+def single_word_over(s: Side, most: int) -> Column:
+    return (F.size(split_spaces(s.text)) == 1) & (F.length(s.shape) > most)
 
 
-def strange(x: Column) -> Column:
-    return x.rlike(NUMBERS) | x.rlike(repeated_token(4)) | x.rlike(LONG_TOKEN) | single_word_over(x, 40)
+def strange(s: Side) -> Column:
+    long_token = s.text.rlike(r"[A-Za-z0-9_./\\-]{35}") & s.text.rlike(LONG_TOKEN)
+    return s.text.rlike(NUMBERS) | s.text.rlike(repeated_token(4)) | long_token | single_word_over(s, 40)
 
 
-def import_rules(source: Column, target: Column) -> dict[str, Column]:
+def import_rules(source: Side, target: Side) -> dict[str, Column]:
     """Reasons to reject a cleaned raw pair, in the order in which they are looked at."""
-    rules = {"empty": either(lambda x: x == "", source, target), "length": either(bad_length, source, target), "same": same_text(source, target)}
-    rules |= {name: either(matches(pattern), source, target) for name, pattern in TECHNICAL.items()}
+    rules = {"empty": either(lambda s: s.text == "", source, target), "length": either(bad_length, source, target), "same": same_text(source, target)}
+    rules |= {name: either(of_text(matches(pattern)), source, target) for name, pattern in TECHNICAL.items()}
+    rules["email"] = either(lambda s: F.contains(s.text, F.lit("@")) & s.text.rlike(EMAIL), source, target)
     return rules | {"symbols": either(too_many_symbols, source, target), "strange": either(strange, source, target)}
 
 
@@ -102,20 +122,20 @@ def control_noise(x: Column) -> Column:
     return x.rlike(r"[\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F]")
 
 
-def too_many_stored_symbols(x: Column) -> Column:
-    lost = F.length(F.regexp_replace(x, "[^�]", ""))
-    return no_letters(x) | (ratio(symbol_count(x), x) > 0.45) | units(x).rlike(SYMBOL + "{6,}") | (ratio(lost, x) > 0.05)
+def too_many_stored_symbols(s: Side) -> Column:
+    lost = F.length(F.regexp_replace(s.text, "[^�]", ""))
+    return no_letters(s) | (ratio(symbol_count(s), s) > 0.45) | s.shape.rlike(SYMBOL + "{6,}") | (ratio(lost, s) > 0.05)
 
 
-def broken(x: Column) -> Column:
-    return x.rlike(repeated_token(5)) | x.rlike(NUMBERS) | single_word_over(x, 80)
+def broken(s: Side) -> Column:
+    return s.text.rlike(repeated_token(5)) | s.text.rlike(NUMBERS) | single_word_over(s, 80)
 
 
-def cleanup_rules(source: Column, target: Column) -> dict[str, Column]:
+def cleanup_rules(source: Side, target: Side) -> dict[str, Column]:
     """Reasons to delete a stored pair."""
-    rules = {"blank": either(lambda x: trim_all(x) == "", source, target), "same": same_text(source, target),
-             "length": either(lambda x: unit_length(x) > STORED_LONGEST, source, target), "control": either(control_noise, source, target)}
-    rules |= {name: either(matches(pattern), source, target) for name, pattern in STORED_JUNK.items()}
+    rules = {"blank": either(lambda s: trim_all(s.text) == "", source, target), "same": same_text(source, target),
+             "length": either(lambda s: F.length(s.shape) > STORED_LONGEST, source, target), "control": either(of_text(control_noise), source, target)}
+    rules |= {name: either(of_text(matches(pattern)), source, target) for name, pattern in STORED_JUNK.items()}
     return rules | {"symbols": either(too_many_stored_symbols, source, target), "broken": either(broken, source, target)}
 
 
@@ -129,11 +149,11 @@ def first_reason(rules: dict[str, Column]) -> Column:
 
 
 def is_valid_pair(source: Column, target: Column) -> Column:
-    return ~any_of(import_rules(source, target))
+    return ~any_of(import_rules(side(source), side(target)))
 
 
 def is_invalid_stored_pair(source: Column, target: Column) -> Column:
-    return any_of(cleanup_rules(source, target))
+    return any_of(cleanup_rules(side(source), side(target)))
 
 
 __all__ = ["PAIRS", "SPACE", "cleanup_rules", "first_reason", "import_rules", "is_invalid_stored_pair", "is_valid_pair"]

@@ -136,10 +136,14 @@ def inline_marks(x: Column) -> Column:
 
 def reapply_marks(source: Column, translation: Column) -> Column:
     """Put the source's inline marks after the words of the translation at the same ordinals."""
-    marks, parts = inline_marks(source), split_spaces(translation)
-    mark = lambda i: F.when(i < F.size(marks), F.get(marks, i)).otherwise("")
-    joined = F.array_join(F.transform(parts, lambda w, i: F.when(F.endswith(w, mark(i)), w).otherwise(F.concat(w, mark(i)))), " ")
-    return F.when((F.size(marks) == 0) | (F.size(parts) == 0), translation).otherwise(joined)
+    parts = split_spaces(translation)
+
+    def with_marks(marks: Column) -> Column:
+        mark = lambda i: F.coalesce(F.get(marks, i), F.lit(""))
+        joined = F.array_join(F.transform(parts, lambda w, i: F.when(F.endswith(w, mark(i)), w).otherwise(F.concat(w, mark(i)))), " ")
+        return F.when((F.size(marks) == 0) | (F.size(parts) == 0), translation).otherwise(joined)
+
+    return F.get(F.transform(F.array(inline_marks(source)), with_marks), F.lit(0))
 
 
 def leading_wrappers(x: Column) -> Column:

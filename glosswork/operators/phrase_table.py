@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.lang import lookup_variants, normalize_language
-from glosswork.functions.quality import cleanup_rules, first_reason, import_rules, is_invalid_stored_pair
-from glosswork.functions.text import normalize_for_lookup, normalize_whitespace
+from glosswork.functions.quality import Side, cleanup_rules, first_reason, import_rules, is_invalid_stored_pair, side
+from glosswork.functions.text import normalize_for_lookup, normalize_whitespace, units
 from glosswork.operators.numbering import number_rows
 
 KEY = ["source_text", "translated_text", "source_lang", "target_lang"]
@@ -28,14 +28,17 @@ def bidirectional(lines: DataFrame) -> DataFrame:
 
 def judged_lines(raw_pairs: DataFrame) -> DataFrame:
     """Cleaned lines with their languages canonical, the normalised source and the first reason to reject (null: kept)."""
-    # The generator keeps the cleaned texts computed once: a filter on them can't be pushed below it and repeat them in every rule.
+    # A generator keeps what it makes computed once: a filter on it can't be pushed below it and repeat it in every rule.
     clean = F.struct(
         normalize_language(F.col("source_lang")).alias("source_lang"), normalize_language(F.col("target_lang")).alias("target_lang"), F.col("line_no"),
         normalize_whitespace("source_raw").alias("source_clean"), normalize_whitespace("target_raw").alias("translated_text"))
     clean = raw_pairs.select(F.explode(F.array(clean)).alias("c")).select("c.*")
-    return clean.withColumns({
-        "reason": first_reason(import_rules(F.col("source_clean"), F.col("translated_text"))),
-        "source_text": normalize_for_lookup("source_clean")})
+    shaped = F.struct(
+        *clean.columns, normalize_for_lookup("source_clean").alias("source_text"), normalize_for_lookup("translated_text").alias("target_norm"),
+        units(F.col("source_clean")).alias("source_shape"), units(F.col("translated_text")).alias("target_shape"))
+    shaped = clean.select(F.explode(F.array(shaped)).alias("c")).select("c.*")
+    source, target = Side(F.col("source_clean"), F.col("source_shape"), F.col("source_text")), Side(F.col("translated_text"), F.col("target_shape"), F.col("target_norm"))
+    return shaped.withColumn("reason", first_reason(import_rules(source, target))).drop("target_norm", "source_shape", "target_shape")
 
 
 def import_pairs(raw_pairs: DataFrame) -> DataFrame:
@@ -70,18 +73,22 @@ def upsert(table: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def import_stats(raw_pairs: DataFrame, existing: DataFrame | None = None, resumed: int = 0) -> DataFrame:
-    """One row: processed, inserted, updated_frequency, ignored, duplicate, resumed."""
-    tagged = judged_lines(raw_pairs).withColumn("kept", F.col("reason").isNull())
-    totals = tagged.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(~F.col("kept"), 1)), F.lit(0)).alias("ignored"))
-    fresh = tagged.where("kept").groupBy(*KEY).agg(F.count("*").alias("n"))
+    """One row: processed, inserted, updated_frequency, ignored, duplicate, resumed.
+
+    The lines are judged and counted in one pass; rejected ones, whatever their texts, are one row of each partial sum.
+    """
+    pair = F.when(F.col("reason").isNull(), F.struct(*KEY))
+    counted = judged_lines(raw_pairs).groupBy(pair.alias("pair")).agg(F.count("*").alias("n"))
     if existing is not None:
-        known = existing.select(*KEY).distinct().withColumn("known", F.lit(True))
-        fresh = fresh.join(known, KEY, "left")
-    first = F.lit(1) if existing is None else F.when(F.col("known"), 0).otherwise(1)
-    counts = fresh.agg(F.coalesce(F.sum(first), F.lit(0)).alias("inserted"), F.coalesce(F.sum(F.col("n") - first), F.lit(0)).alias("updated"))
-    return totals.crossJoin(counts).select(
-        (F.col("n") + resumed).cast("bigint").alias("processed"), F.col("inserted").cast("bigint"), F.col("updated").cast("bigint").alias("updated_frequency"),
-        F.col("ignored").cast("bigint"), F.col("updated").cast("bigint").alias("duplicate"), F.lit(resumed).cast("bigint").alias("resumed"))
+        known = existing.select(F.struct(*KEY).alias("pair")).distinct().withColumn("known", F.lit(True))
+        counted = counted.join(known, "pair", "left")
+    kept = F.col("pair").isNotNull()
+    first = F.when(kept, F.lit(1) if existing is None else F.when(F.col("known"), 0).otherwise(1)).otherwise(0)
+    whole = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
+    again = whole(F.when(kept, F.col("n") - first))
+    return counted.agg(
+        (whole(F.col("n")) + resumed).alias("processed"), whole(first).alias("inserted"), again.alias("updated_frequency"),
+        whole(F.when(~kept, F.col("n"))).alias("ignored"), again.alias("duplicate"), F.lit(resumed).cast("bigint").alias("resumed"))
 
 
 def conform(table: DataFrame) -> DataFrame:
@@ -105,13 +112,26 @@ def normalize_languages(table: DataFrame) -> DataFrame:
     return merge_duplicates(table.withColumns({"source_lang": normalize_language(F.col("source_lang")), "target_lang": normalize_language(F.col("target_lang"))}))
 
 
+def migrate(table: DataFrame) -> tuple[DataFrame, bool]:
+    """A table of any older form as :data:`SCHEMA` wants it, and whether that changed anything.
+
+    Older forms lack the frequency (each row then counts once) or the ids, hold codes that are not canonical, or several rows of one pair.
+    A table that is as wanted comes back as it is, counts and ids included.
+    """
+    codes = [F.col(c) != normalize_language(F.col(c)) for c in ("source_lang", "target_lang")]
+    whole = {"id", "frequency"} <= set(table.columns) and not table.where("id is null or frequency is null").limit(1).count()
+    if whole and not table.where(codes[0] | codes[1]).limit(1).count() and not duplicate_rows(table).first()[0]:
+        return table, False
+    return with_ids(normalize_languages(table), KEY), True
+
+
 def cleanup(table: DataFrame) -> DataFrame:
     """Rows that the cleanup filter leaves."""
     return table.where(~is_invalid_stored_pair(F.col("source_text"), F.col("translated_text")))
 
 
 def cleanup_reasons(table: DataFrame) -> DataFrame:
-    return table.withColumn("reason", first_reason(cleanup_rules(F.col("source_text"), F.col("translated_text"))))
+    return table.withColumn("reason", first_reason(cleanup_rules(side(F.col("source_text")), side(F.col("translated_text")))))
 
 
 def cleanup_stats(table: DataFrame) -> DataFrame:
@@ -170,6 +190,15 @@ def has_pair(table: DataFrame, source_lang: str, target_lang: str) -> bool:
     return in_languages(table, source_lang, target_lang).limit(1).count() > 0
 
 
+def pairs_found(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (source_lang, target_lang) with found: whether the table has rows under any of the codes' variants."""
+    stored = table.select(F.col("source_lang").alias("s"), F.col("target_lang").alias("t")).distinct()
+    variants = asked.distinct().select("source_lang", "target_lang", F.explode(lookup_variants(F.col("source_lang"))).alias("s")).select(
+        "source_lang", "target_lang", "s", F.explode(lookup_variants(F.col("target_lang"))).alias("t"))
+    there = variants.join(stored, ["s", "t"], "left_semi").select("source_lang", "target_lang").distinct().withColumn("there", F.lit(True))
+    return asked.join(there, ["source_lang", "target_lang"], "left").select("source_lang", "target_lang", F.coalesce("there", F.lit(False)).alias("found"))
+
+
 def table_summary(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("translation_count"), F.coalesce(F.sum("frequency"), F.lit(0)).cast("bigint").alias("total_frequency"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.functions.text import normalize_whitespace, split_sentences
+from glosswork.functions.text import normalize_for_lookup, normalize_whitespace, split_sentences
 from glosswork.operators.numbering import number_rows
 from glosswork.operators.phrase_table import bidirectional, import_pairs
 
@@ -113,12 +113,19 @@ def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_pairs(raw_pairs(spark, sf_dir))
 
 
+def unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs as an import without its filter would store them: line_no and the four text columns."""
+    lines = raw_pairs(spark, sf_dir).where("source_raw is not null and target_raw is not null")
+    return lines.select("line_no", normalize_for_lookup(normalize_whitespace("source_raw")).alias("source_text"), normalize_whitespace("target_raw").alias("translated_text"), "source_lang", "target_lang")
+
+
 def small_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TABLE, "id bigint, source_text string, translated_text string, source_lang string, target_lang string, frequency bigint")
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts to translate from English to German: conversations by conv_id and turn, benchmark items with turn -1."""
+    """Texts to translate from English to each of ``TARGETS``: conversations by conv_id and turn, benchmark items with turn -1."""
     conversations = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(-1).cast("bigint").alias("turn"), "text")
-    return conversations.union(items).withColumns({"source_lang": F.lit("en"), "target_lang": F.lit("de")})
+    targets = F.explode(F.array(*[F.lit(t) for t in TARGETS])).alias("target_lang")
+    return conversations.union(items).select("*", F.lit("en").alias("source_lang"), targets)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from glosswork.functions import quality
-from glosswork.functions.text import BOUND
 from glosswork.plans import fixtures as fx
 
 EDGE = r"[\t-\r \x85\p{Z}]"
@@ -11,6 +9,35 @@ WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’_-]*"
 MASK = "chr(57344)"
 
 
+# The patterns of the import rules and of the cleanup rules, written for this dialect and not taken from the rules' module.
+TECHNICAL = {
+    "markup": r"(?i)</?\w+|&(?:[a-z]+|#\d+);|<!DOCTYPE|<\?xml",
+    "style": r"(?i)(?:^|[\s;])(?:margin|padding|font-size|background|color|display|width|height)\s*:|\.[A-Za-z0-9_-]+\s*\{|#(?:[A-Fa-f0-9]{3}){1,2}\b",
+    "url": r"(?i)(?:https?|ftp)://|www\.|\b\w+://",
+    "code": r"(?i)\b(?:function|class|return|if|else|while|for|var|let|const|import|include)\b\s*[({;]|(?:->|=>|::|==|!=|<=|>=|&&|\|\|)|[{}\[\];]{2,}",
+    "variable": r"%\d+|%[A-Za-z_]+|\$\{?\w+\}?|\{\d+\}|@[A-Za-z_]+@|__[A-Za-z0-9_]+__|\b[A-Z_]{3,}\b",
+    "pid": r"(?i)\bPID\b|\bprocess\s+id\b",
+    "auth": r"(?i)\bAuthorization\b|\bBearer\b|\bOAuth\b|\bAPI[-_ ]?Key\b|\btoken\b",
+    "tooltip": r"(?i)\btooltip\b|tool\s*tip",
+    "path": r"[A-Za-z]:\\|/\w+/|\.\.?/|\w+/\w+\.\w{1,6}\b",
+    "email": r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b",
+    "catalog": r"(?i)unit\s+synonyms\s+for\s+matching\s+user\s+input|amount\s+in\s+units\s*\((?:real|integer)\)",
+}
+STORED_JUNK = [
+    r"(?i)</?\w+|&(?:[a-z]+|#\d+);|<!DOCTYPE|<\?xml",
+    r"(?i)(?:^|[\s;])(?:margin|padding|font-size|background|display|width|height)\s*:|\.[A-Za-z0-9_-]+\s*\{|#(?:[A-Fa-f0-9]{3}){1,2}\b",
+    r"(?i)(?:https?|ftp)://|www\.|\b\w+://",
+    r"(?i)\b(?:function|class|return|while|for|var|let|const|include)\b\s*[({;]|(?:->|=>|::|==|!=|<=|>=|&&|\|\|)|[{}\[\];]{3,}",
+    r"(?i)Authorization\s*:\s*(?:Bearer|Basic)|\bBearer\s+[A-Za-z0-9._\-]{16,}|\bOAuth\b|\bAPI[-_ ]?Key\s*[:=]|\btoken\s*[:=]\s*[A-Za-z0-9._\-]{12,}",
+    r"(?i)\bPID\s*[:=#]?\s*\d+\b|\bprocess\s+id\s*[:=#]?\s*\d+\b",
+    r"(?i)<[^>]*tooltip|tooltip\s*[:=]\s*['\"<{]",
+    r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b",
+    r"(?i)unit\s+synonyms\s+for\s+matching\s+user\s+input|amount\s+in\s+units\s*\((?:real|integer)\)",
+]
+NUMBERS = r"^[\d\s.,:/_\-+]+$"
+LONG_TOKEN = r"\b[A-Za-z0-9_./\\-]{35,}\b"
+
+
 def q(s) -> str:
     return "'" + str(s).replace("'", "''") + "'" if not isinstance(s, int) else str(s)
 
@@ -20,7 +47,7 @@ def sub(x: str, pattern: str, to: str) -> str:
 
 
 def has(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, {q(pattern.replace(BOUND, chr(92) + 'b').replace('(?iu)', '(?i)'))})"
+    return f"regexp_matches({x}, {q(pattern)})"
 
 
 def trim(x: str) -> str:
@@ -98,7 +125,7 @@ def bad_length(x: str) -> str:
 
 
 def strange(x: str, p: str) -> str:
-    return f"({has(x, quality.NUMBERS)} OR {repeated(p, 4)} OR {has(x, quality.LONG_TOKEN)} OR {one_word_over(x, 40)})"
+    return f"({has(x, NUMBERS)} OR {repeated(p, 4)} OR {has(x, LONG_TOKEN)} OR {one_word_over(x, 40)})"
 
 
 def control(x: str) -> str:
@@ -110,7 +137,7 @@ def stored_symbols(x: str) -> str:
 
 
 def broken(x: str, p: str) -> str:
-    return f"({repeated(p, 5)} OR {has(x, quality.NUMBERS)} OR {one_word_over(x, 80)})"
+    return f"({repeated(p, 5)} OR {has(x, NUMBERS)} OR {one_word_over(x, 80)})"
 
 
 def any_of(parts) -> str:
@@ -118,12 +145,12 @@ def any_of(parts) -> str:
 
 
 def junk(x: str) -> str:
-    return any_of(has(x, p) for p in quality.STORED_JUNK.values())
+    return any_of(has(x, p) for p in STORED_JUNK)
 
 
 def rejected(s: str, t: str, ps: str, pt: str) -> str:
     each = [f"{x} = ''" for x in (s, t)] + [bad_length(x) for x in (s, t)] + [f"({norm(s)} <> '' AND {norm(s)} = {norm(t)})"]
-    each += [has(x, p) for x in (s, t) for p in quality.TECHNICAL.values()] + [symbols(x, 0.35, 4) for x in (s, t)] + [strange(s, ps), strange(t, pt)]
+    each += [has(x, p) for x in (s, t) for p in TECHNICAL.values()] + [symbols(x, 0.35, 4) for x in (s, t)] + [strange(s, ps), strange(t, pt)]
     return any_of(each)
 
 
@@ -140,6 +167,11 @@ KEY = "source_text, translated_text, source_lang, target_lang"
 BUILT = f"""{IMPORTED}, counted AS (SELECT {KEY}, min(line_no) AS first_line, count(*) AS frequency FROM imported GROUP BY ALL),
 built AS (SELECT row_number() OVER (ORDER BY source_lang, target_lang, first_line, source_text, translated_text) AS id, {KEY}, frequency FROM counted)"""
 BEST = "row_number() OVER (PARTITION BY source_lang, target_lang, source_text ORDER BY frequency DESC, length(translated_text), id) = 1"
+UNFILTERED = f"""{PARALLEL}, unfiltered AS (SELECT line_no, {norm(ws('source_raw'))} AS source_text, {ws('target_raw')} AS translated_text, source_lang, target_lang FROM raw_pairs),
+counted AS (SELECT {KEY}, min(line_no) AS first_line, count(*) AS frequency FROM unfiltered GROUP BY ALL),
+built AS (SELECT row_number() OVER (ORDER BY source_lang, target_lang, first_line, source_text, translated_text) AS id, {KEY}, frequency FROM counted)"""
+EXISTING = f"""{IMPORTED}, fresh AS (SELECT {KEY}, min(line_no) AS first_line, count(*) AS frequency FROM imported GROUP BY ALL),
+existing AS (SELECT row_number() OVER (ORDER BY source_lang, target_lang, first_line, source_text, translated_text) AS id, {KEY}, frequency FROM fresh WHERE source_lang = 'en')"""
 MERGED = f"{IMPORTED}, merged AS (SELECT {KEY}, count(*) AS frequency FROM imported GROUP BY ALL)"
 
 
@@ -163,9 +195,26 @@ def starts_upper(x: str) -> str:
 
 
 HEAD = r"(?s)^([^\p{L}]*)(\p{L})(.*)$"
-FIRST = f"regexp_extract(text, {q(HEAD)}, 2)"
-CAPITAL = f"CASE WHEN {letters('text')} THEN regexp_extract(text, {q(HEAD)}, 1) || CASE WHEN {FIRST} = 'ß' THEN 'ß' ELSE upper({FIRST}) END || regexp_extract(text, {q(HEAD)}, 3) ELSE text END"
-MARKS = f"string_split({sub(sub('text', WORD, chr(2)), '[^' + chr(92) + 'x02,;:]', '')}, chr(2))[2:]"
+
+
+def capital(x: str) -> str:
+    first = f"regexp_extract({x}, {q(HEAD)}, 2)"
+    return f"CASE WHEN {letters(x)} THEN regexp_extract({x}, {q(HEAD)}, 1) || CASE WHEN {first} = 'ß' THEN 'ß' ELSE upper({first}) END || regexp_extract({x}, {q(HEAD)}, 3) ELSE {x} END"
+
+
+def marks(x: str) -> str:
+    return f"string_split({sub(sub(x, WORD, chr(2)), '[^' + chr(92) + 'x02,;:]', '')}, chr(2))[2:]"
+
+
+def opening(x: str) -> str:
+    return sub("regexp_extract(" + x + ", " + q("^(?:[" + chr(34) + chr(40) + chr(92) + "[{" + chr(39) + "]|" + EDGE + ")*") + ")", EDGE + "+", "")
+
+
+def closing(x: str) -> str:
+    return sub("regexp_extract(" + x + ", " + q("(?:[" + chr(34) + ")" + chr(92) + "]}" + chr(39) + "]|" + EDGE + ")*$") + ")", EDGE + "+", "")
+
+
+CAPITAL, MARKS = capital("text"), marks("text")
 
 
 def text_sql(columns: str, more: str = "", source: str = "texts") -> str:
@@ -202,6 +251,78 @@ TRACE = "row_number() OVER (PARTITION BY {keys}, pos ORDER BY len DESC, variant)
 SMALL_TRACE = f"WITH {SMALL}, {SMALL_INPUTS}, {candidate_sql('ins', 'i')}, trace AS (SELECT i, pos, len, variant, candidate AS matched, translation FROM cands JOIN best USING (candidate) QUALIFY {TRACE.format(keys='i')})"
 ABBREVIATION = rf"(?i)(^|[\t-\r ])(mr|mrs|ms|dr|prof|sr|jr|etc|e\.g|i\.e|vs)({EDGE}*)\."
 
+
+
+def sentence_sql(source: str, keys: str, text: str) -> str:
+    """CTEs from ``source`` (keys, text) to sentences (keys, seg_no, text, delimiter)."""
+    number = "(" + chr(92) + "p{Nd})" + chr(92) + ".(" + chr(92) + "p{Nd})"
+    masked = chr(92) + "1" + chr(0xE000) + chr(92) + "2"
+    parts = "regexp_extract_all(m, '(?s)([^.!?]*)([.!?][.!?\"'')\\]}]*|$)', "
+    return f"""m1 AS (SELECT {keys}, {sub(sub(text, number, masked), number, masked)} AS m FROM {source}),
+m2 AS (SELECT {keys}, {sub('m', ABBREVIATION, chr(92) + '1' + chr(92) + '2' + chr(92) + '3' + chr(0xE000))} AS m FROM m1),
+x AS (SELECT {keys}, {parts}1) AS a, {parts}2) AS d FROM m2),
+y AS (SELECT {keys}, list_filter(list_transform(range(1, len(a) + 1), lambda i: {{'text': translate({trim('a[i]')}, {MASK}, '.'), 'delimiter': translate(d[i], {MASK}, '.')}}), lambda s: s.text <> '' OR s.delimiter <> '') AS l FROM x),
+z AS (SELECT {keys}, CASE WHEN len(l) = 0 THEN [{{'text': '', 'delimiter': ''}}] ELSE l END AS l FROM y),
+w AS (SELECT {keys}, CAST(unnest(range(0, len(l))) AS INTEGER) AS seg_no, unnest(l) AS s FROM z),
+sentences AS (SELECT {keys}, seg_no, s.text AS text, s.delimiter AS delimiter FROM w)"""
+
+
+def cover_sql(keys: str) -> str:
+    """CTEs from parted (keys, target_lang, text) and best (target_lang, candidate, translation) to covered (keys, text, translation, matched_text,
+    match_type, consumed_words): the greedy walk is a recursion by position."""
+    own = [k.strip() for k in keys.split(",")]
+    also = "" if "target_lang" in own else ", target_lang"
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in own)
+    kind = """CASE WHEN pos = 0 AND len = total AND variant = 0 THEN 'full' WHEN len > 1 THEN CASE WHEN variant = 0 THEN 'phrase' ELSE 'phrase-normalized' END
+  ELSE CASE WHEN variant = 0 THEN 'word' ELSE 'word-normalized' END END"""
+    return f"""ins AS (SELECT {keys}{also}, text, {words('text')} AS words, regexp_extract_all(text, {q(WORD)}) AS tokens FROM parted),
+{candidate_sql('ins', keys + also)},
+trace AS (SELECT {keys}, pos, len, variant, candidate AS matched, translation FROM cands JOIN best USING (target_lang, candidate) QUALIFY {TRACE.format(keys=keys)}),
+plains AS (SELECT {keys}, CASE WHEN len(tokens) = len(words) THEN tokens ELSE words END AS plain, len(words) AS total FROM ins),
+walk AS (SELECT {keys}, CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS parts, '' AS matched, 'none' AS kind, CAST(0 AS INTEGER) AS consumed, total, plain FROM plains
+  UNION ALL SELECT {', '.join('k.' + k for k in own)}, k.place + coalesce(t.len, 1), list_append(k.parts, coalesce(t.translation, k.plain[k.place + 1])),
+    CASE WHEN k.kind = 'none' AND t.len IS NOT NULL THEN t.matched ELSE k.matched END, CASE WHEN k.kind = 'none' AND t.len IS NOT NULL THEN {kind} ELSE k.kind END,
+    CASE WHEN k.kind = 'none' AND t.len IS NOT NULL THEN t.len ELSE k.consumed END, k.total, k.plain
+  FROM walk k LEFT JOIN trace t ON {on('t', 'k')} AND t.pos = k.place WHERE k.place < k.total),
+walked AS (SELECT * FROM walk WHERE place >= total),
+covered AS (SELECT {', '.join('i.' + k for k in own)}, i.text, CASE WHEN f.len IS NOT NULL THEN f.translation ELSE array_to_string(k.parts, ' ') END AS translation,
+  CASE WHEN f.len IS NOT NULL THEN f.matched ELSE k.matched END AS matched_text, CASE WHEN f.len IS NOT NULL THEN 'full' ELSE k.kind END AS match_type,
+  CASE WHEN f.len IS NOT NULL THEN f.len ELSE k.consumed END AS consumed_words
+  FROM ins i JOIN walked k ON {on('i', 'k')} LEFT JOIN trace f ON {on('i', 'f')} AND f.pos = 0 AND f.len = k.total)"""
+
+
+def translate_sql(keys: str) -> str:
+    """CTEs from inputs (keys, target_lang, text) and best to translated (keys, translation, matched_text, match_type, consumed_words)."""
+    also = "" if "target_lang" in keys else ", target_lang"
+    seg = f"{keys}, line_no, seg_no"
+    word_list = "list_filter(regexp_split_to_array(o1, '[\\t-\\r ]+'), lambda w: w <> '')"
+    return f"""split_ AS (SELECT {keys}{also}, string_split(coalesce(text, ''), chr(10)) AS l FROM inputs),
+line_ AS (SELECT {keys}{also}, CAST(unnest(range(0, len(l))) AS INTEGER) AS line_no, unnest(l) AS line FROM split_),
+content_ AS (SELECT {keys}{also}, line_no, {trim('line')} AS content FROM line_ WHERE {trim('line')} <> ''),
+{sentence_sql('content_', keys + also + ', line_no', 'content')},
+parted AS (SELECT {keys}{also}, line_no, seg_no, text FROM sentences),
+{cover_sql(seg + also)},
+f0 AS (SELECT {seg}, text, delimiter, translation, matched_text, match_type, consumed_words FROM covered JOIN sentences USING ({seg}{also}, text)),
+f1 AS (SELECT *, CASE WHEN translation = '' THEN text ELSE translation END AS o1, {marks('text')} AS m FROM f0),
+f2 AS (SELECT *, {word_list} AS ow FROM f1),
+f3 AS (SELECT *, CASE WHEN match_type = 'full' OR len(m) = 0 OR len(ow) = 0 THEN o1 ELSE array_to_string(list_transform(ow, lambda w, i:
+  CASE WHEN i <= len(m) AND NOT ends_with(w, m[i]) THEN w || m[i] ELSE w END), ' ') END AS o2 FROM f2),
+f4 AS (SELECT *, CASE WHEN NOT {letters('text')} OR o2 = '' THEN o2 WHEN {caps('text')} THEN upper(replace(o2, 'ß', 'SS')) WHEN {starts_upper('text')} THEN {capital('o2')} ELSE o2 END AS o3,
+  {opening('text')} AS lead_, {closing('text')} AS trail_ FROM f3),
+f5 AS (SELECT *, CASE WHEN lead_ <> '' AND NOT starts_with(o3, lead_) THEN lead_ || o3 ELSE o3 END AS o4 FROM f4),
+f6 AS (SELECT *, CASE WHEN trail_ <> '' AND NOT ends_with(o4, trail_) THEN o4 || trail_ ELSE o4 END AS o5 FROM f5),
+f7 AS (SELECT {seg}, matched_text, match_type, consumed_words, {trim('o5 || delimiter')} AS out_ FROM f6),
+g AS (SELECT {keys}, line_no, {trim("string_agg(out_, ' ' ORDER BY seg_no)")} AS inner_ FROM f7 GROUP BY {keys}, line_no),
+h AS (SELECT {keys}, string_agg(CASE WHEN {trim('line')} = '' THEN line ELSE regexp_extract(line, '^{EDGE}*') || inner_ || regexp_extract(line, '{EDGE}*$') END, chr(10) ORDER BY line_no) AS translation
+  FROM line_ LEFT JOIN g USING ({keys}, line_no) GROUP BY {keys}),
+first_ AS (SELECT {keys}, matched_text, match_type, consumed_words FROM f7 WHERE match_type <> 'none' QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY line_no, seg_no) = 1),
+translated AS (SELECT {keys}, translation, coalesce(matched_text, '') AS matched_text, coalesce(match_type, 'none') AS match_type, coalesce(consumed_words, 0) AS consumed_words FROM h LEFT JOIN first_ USING ({keys}))"""
+
+
+SMALL_BEST = SMALL.replace("best AS (SELECT source_text", "best AS (SELECT target_lang, source_text")
+EN_BEST = f"best AS (SELECT target_lang, source_text AS candidate, translated_text AS translation FROM built WHERE source_lang = 'en' QUALIFY {BEST})"
+TO_TARGETS = "inputs AS (SELECT id, turn, target_lang, text FROM (SELECT conv_id AS id, turn, text FROM conversations UNION ALL SELECT item_id, -1, text FROM benchmark), (VALUES ('de'), ('es'), ('fr')) AS v(target_lang))"
+
 ORACLE_SQL = {
     "norm_whitespace": text_sql(f"{ws('chr(32) || chr(9) || text || chr(10) || chr(32)')} AS norm"),
     "norm_lookup": text_sql(f"{norm('text')} AS norm"),
@@ -217,8 +338,7 @@ ORACLE_SQL = {
     "reapply_marks": text_sql(
         """CASE WHEN len(m) = 0 THEN 'um dois  três, quatro' ELSE array_to_string(list_transform(['um', 'dois', 'três,', 'quatro'], lambda w, i:
         CASE WHEN i <= len(m) AND NOT ends_with(w, m[i]) THEN w || m[i] ELSE w END), ' ') END AS marked""", f", t AS (SELECT id, pos, {MARKS} AS m FROM texts)", "t"),
-    "wrappers": text_sql(f"{sub('regexp_extract(text, ' + q('^(?:[' + chr(34) + chr(40) + chr(92) + '[{' + chr(39) + ']|' + EDGE + ')*') + ')', EDGE + '+', '')} AS leading, "
-                         f"{sub('regexp_extract(text, ' + q('(?:[' + chr(34) + ')' + chr(92) + ']}' + chr(39) + ']|' + EDGE + ')*$') + ')', EDGE + '+', '')} AS trailing"),
+    "wrappers": text_sql(f"{opening('text')} AS leading, {closing('text')} AS trailing"),
     "import_key": "SELECT page_id, sha256(url || '|' || url || '.b|en|pt_BR') AS import_key FROM pages",
     "lang_normalize": f"SELECT CAST(i AS INTEGER) AS i, {canonical('code')} AS canonical FROM {values(fx.CODES, 'code')}",
     "lang_variants": f"""WITH c AS (SELECT i, {canonical('code')} AS c, lower(translate({trim('code')}, '-', '_')) AS l FROM {values(fx.CODES, 'code')})
@@ -235,7 +355,7 @@ WHERE CAST(greatest(s.size, t.size) AS DOUBLE) / least(s.size, t.size) <= 10.0""
     "moses_misaligned": f"{ZIP} SELECT x AS source_lines, y AS target_lines, x = y AS aligned FROM (SELECT count(*) AS x FROM a), (SELECT count(*) AS y FROM b)",
     "bidirectional_pairs": f"WITH {PARALLEL} SELECT * FROM raw_pairs",
     "filter_len": f"WITH {FILTER_INPUTS} SELECT kind, id, pos, (text = '' OR {bad_length('text')}) AS hit FROM inputs1",
-    **{f"filter_{n}": f"WITH {FILTER_INPUTS} SELECT kind, id, pos, {has('text', p)} AS hit FROM inputs1" for n, p in quality.TECHNICAL.items()},
+    **{f"filter_{n}": f"WITH {FILTER_INPUTS} SELECT kind, id, pos, {has('text', p)} AS hit FROM inputs1" for n, p in TECHNICAL.items()},
     "filter_symbols": f"WITH {FILTER_INPUTS} SELECT kind, id, pos, {symbols('text', 0.35, 4)} AS hit FROM inputs1",
     "filter_strange": f"WITH {FILTER_INPUTS}, p AS (SELECT *, {pieces('text')} AS ps FROM inputs1) SELECT kind, id, pos, {strange('text', 'ps')} AS hit FROM p",
     "cleanup_control": f"WITH {FILTER_INPUTS} SELECT kind, id, pos, {control('text')} AS hit FROM inputs2",
@@ -258,8 +378,8 @@ SELECT r AS processed, d AS inserted, n - d AS updated_frequency, r - n AS ignor
     "merge_duplicates": f"WITH {MERGED} SELECT {KEY}, 2 * frequency AS frequency FROM merged",
     "legacy_frequency": f"{LEGACY} SELECT {KEY}, count(*) AS frequency FROM t GROUP BY ALL",
     "normalize_stored_langs": f"{LEGACY} SELECT source_text, translated_text, {canonical('source_lang')} AS source_lang, {canonical('target_lang')} AS target_lang, count(*) AS frequency FROM t GROUP BY ALL",
-    "cleanup_invalid": f"WITH {BUILT}, p AS (SELECT *, {pieces('source_text')} AS ps, {pieces('translated_text')} AS pt FROM built) SELECT id, {KEY}, frequency FROM p WHERE NOT {invalid('source_text', 'translated_text', 'ps', 'pt')}",
-    "cleanup_stats": f"""WITH {MERGED}, p AS (SELECT *, {pieces('source_text')} AS ps, {pieces('translated_text')} AS pt FROM merged), b AS (SELECT frequency, {invalid('source_text', 'translated_text', 'ps', 'pt')} AS bad FROM p)
+    "cleanup_invalid": f"WITH {UNFILTERED}, p AS (SELECT *, {pieces('source_text')} AS ps, {pieces('translated_text')} AS pt FROM built) SELECT id, {KEY}, frequency FROM p WHERE NOT {invalid('source_text', 'translated_text', 'ps', 'pt')}",
+    "cleanup_stats": f"""WITH {UNFILTERED}, p AS (SELECT *, {pieces('source_text')} AS ps, {pieces('translated_text')} AS pt FROM counted), b AS (SELECT frequency, {invalid('source_text', 'translated_text', 'ps', 'pt')} AS bad FROM p)
 SELECT CAST(coalesce(sum(frequency) FILTER (bad), 0) AS BIGINT) AS removed_invalid_entries, CAST(coalesce(sum(frequency - 1) FILTER (NOT bad), 0) AS BIGINT) AS removed_duplicates, count(*) FILTER (NOT bad) AS final_translations_count FROM b""",
     "table_summary": f"WITH {MERGED} SELECT count(*) AS translation_count, CAST(coalesce(sum(frequency), 0) AS BIGINT) AS total_frequency FROM merged",
     "pair_summary": f"""WITH {MERGED}, s AS (SELECT source_lang, target_lang, count(*) AS translation_count, CAST(sum(frequency) AS BIGINT) AS total_frequency FROM merged GROUP BY ALL)
@@ -269,24 +389,29 @@ SELECT *, source_lang || ' -> ' || target_lang || ' (' || translation_count || '
     "has_pair": f"""WITH {IMPORTED}, a(source_lang, target_lang) AS (VALUES ('en', 'de'), ('EN-gb', 'fr'), ('de', 'fr'), ('', 'en'))
 SELECT a.source_lang, a.target_lang, EXISTS (SELECT 1 FROM imported m WHERE m.source_lang = {canonical('a.source_lang')} AND m.target_lang = {canonical('a.target_lang')}) AS found FROM a""",
     "import_progress": """WITH m AS (SELECT sha256(url || '|' || url || '|en|de') AS import_key, page_id AS processed_lines, page_id % 2 = 0 AS completed, page_id FROM pages)
-SELECT import_key, processed_lines, completed FROM m WHERE import_key IN (SELECT import_key FROM m WHERE page_id % 7 = 0)""",
+SELECT import_key, processed_lines, completed FROM m WHERE import_key IN (SELECT import_key FROM m)""",
     "line_split": f"""WITH t AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents UNION ALL SELECT -i - 1, string_split(text, chr(10)) FROM {values(fx.LINES, 'text')}),
 u AS (SELECT id, CAST(unnest(range(0, len(l))) AS INTEGER) AS line_no, unnest(l) AS line FROM t)
 SELECT id, line_no, regexp_extract(line, '^{EDGE}*') AS lead, {trim('line')} AS content, CASE WHEN {trim('line')} = '' THEN '' ELSE regexp_extract(line, '{EDGE}*$') END AS trail FROM u""",
     "sentence_segments": f"""WITH t AS (SELECT conv_id AS id, turn, text FROM conversations UNION ALL SELECT -i - 1, 0, text FROM {values(fx.SEGMENTS, 'text')}),
-m1 AS (SELECT id, turn, {sub(sub('text', '(' + chr(92) + 'p{Nd})' + chr(92) + '.(' + chr(92) + 'p{Nd})', chr(92) + '1' + chr(0xE000) + chr(92) + '2'), '(' + chr(92) + 'p{Nd})' + chr(92) + '.(' + chr(92) + 'p{Nd})', chr(92) + '1' + chr(0xE000) + chr(92) + '2')} AS m FROM t),
-m2 AS (SELECT id, turn, {sub('m', ABBREVIATION, chr(92) + '1' + chr(92) + '2' + chr(92) + '3' + chr(0xE000))} AS m FROM m1),
-x AS (SELECT id, turn, regexp_extract_all(m, '(?s)([^.!?]*)([.!?][.!?"'')\\]}}]*|$)', 1) AS a, regexp_extract_all(m, '(?s)([^.!?]*)([.!?][.!?"'')\\]}}]*|$)', 2) AS d FROM m2),
-y AS (SELECT id, turn, list_filter(list_transform(range(1, len(a) + 1), lambda i: {{'text': translate({trim('a[i]')}, {MASK}, '.'), 'delimiter': translate(d[i], {MASK}, '.')}}), lambda s: s.text <> '' OR s.delimiter <> '') AS l FROM x),
-z AS (SELECT id, turn, CASE WHEN len(l) = 0 THEN [{{'text': '', 'delimiter': ''}}] ELSE l END AS l FROM y),
-w AS (SELECT id, turn, CAST(unnest(range(0, len(l))) AS INTEGER) AS seg_no, unnest(l) AS s FROM z)
-SELECT id, turn, seg_no, s.text AS text, s.delimiter AS delimiter FROM w""",
+{sentence_sql('t', 'id, turn', 'text')} SELECT * FROM sentences""",
     "ngram_candidates": f"""WITH b0 AS (SELECT item_id AS id, {seg_list('text')} AS l FROM benchmark), b AS (SELECT id, unnest(range(0, len(l))) AS seg, unnest(l) AS text FROM b0
   UNION ALL SELECT -i - 1, 0, text FROM {values(fx.INPUTS, 'text')}), ins AS (SELECT id, seg, {words('text')} AS words FROM b), {candidate_sql('ins', 'id, seg')} SELECT * FROM cands""",
     "best_match_at_pos": f"{SMALL_TRACE} SELECT * FROM trace",
     "match_type": f"""{SMALL_TRACE} SELECT i, pos, len, CASE WHEN pos = 0 AND len = len(words) AND variant = 0 THEN 'full' WHEN len > 1 THEN CASE WHEN variant = 0 THEN 'phrase' ELSE 'phrase-normalized' END
 ELSE CASE WHEN variant = 0 THEN 'word' ELSE 'word-normalized' END END AS match_type FROM trace JOIN ins USING (i)""".replace("len = len(words)", "trace.len = len(ins.words)"),
-    "match_trace": f"""WITH {BUILT}, best AS (SELECT source_text AS candidate, translated_text AS translation FROM built WHERE source_lang = 'en' AND target_lang = 'de' QUALIFY {BEST}),
-ins0 AS (SELECT conv_id AS id, turn, text FROM conversations UNION ALL SELECT item_id, -1, text FROM benchmark), ins AS (SELECT id, turn, {words('text')} AS words FROM ins0), {candidate_sql('ins', 'id, turn')}
-SELECT id, turn, pos, len, variant, candidate AS matched, translation FROM cands JOIN best USING (candidate) QUALIFY {TRACE.format(keys='id, turn')}""",
+    "match_trace": f"""WITH {BUILT}, {EN_BEST}, {TO_TARGETS}, ins AS (SELECT id, turn, target_lang, {words('text')} AS words FROM inputs), {candidate_sql('ins', 'id, turn, target_lang')}
+SELECT id, turn, target_lang, pos, len, variant, candidate AS matched, translation FROM cands JOIN best USING (target_lang, candidate) QUALIFY {TRACE.format(keys='id, turn, target_lang')}""",
+    "translate_segments": f"""WITH RECURSIVE {SMALL_BEST},
+parted AS (SELECT CAST(i AS INTEGER) AS i, 'pt_BR' AS target_lang, text FROM {values(fx.INPUTS, 'text')}), {cover_sql('i')}
+SELECT i, translation, matched_text, match_type, consumed_words FROM covered""",
+    "translate_literals": f"""WITH RECURSIVE {SMALL_BEST},
+inputs AS (SELECT CAST(i AS INTEGER) AS i, 'pt_BR' AS target_lang, text FROM {values(fx.INPUTS, 'text')}), {translate_sql('i')} SELECT * FROM translated""",
+    "translate_text": f"WITH RECURSIVE {BUILT}, {EN_BEST}, {TO_TARGETS}, {translate_sql('id, turn, target_lang')} SELECT * FROM translated",
+    "upsert": f"""WITH {EXISTING}, gained AS (SELECT e.id, {', '.join('e.' + k.strip() for k in KEY.split(','))}, e.frequency + coalesce(f.frequency, 0) AS frequency FROM existing e LEFT JOIN fresh f USING ({KEY})),
+new_ AS (SELECT * FROM fresh ANTI JOIN existing USING ({KEY})),
+added AS (SELECT (SELECT coalesce(max(id), 0) FROM existing) + row_number() OVER (ORDER BY first_line, {KEY}) AS id, {KEY}, frequency FROM new_)
+SELECT * FROM gained UNION ALL SELECT * FROM added""",
+    "import_stats_existing": f"""WITH {EXISTING}, n AS (SELECT count(*) AS n FROM imported), d AS (SELECT count(*) AS d FROM fresh ANTI JOIN existing USING ({KEY})), r AS (SELECT count(*) AS r FROM raw_pairs)
+SELECT r AS processed, d AS inserted, n - d AS updated_frequency, r - n AS ignored, n - d AS duplicate, CAST(0 AS BIGINT) AS resumed FROM n, d, r""",
 }

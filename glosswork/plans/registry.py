@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import lang, quality, text
 from glosswork.operators import phrase_table as pt
 from glosswork.operators import translate as tr
+from glosswork.operators.shared import kept
 from glosswork.plans import fixtures as fx
 from glosswork.plans.oracle import ORACLE_SQL
 from glosswork.sources import moses
@@ -120,11 +121,11 @@ def filter_query(name: str, rule):
     QUERIES[f"filter_{name}"] = run
 
 
-filter_query("len", lambda x: (x == "") | quality.bad_length(x))
+filter_query("len", lambda x: (x == "") | quality.bad_length(quality.side(x)))
 for _name, _pattern in quality.TECHNICAL.items():
     filter_query(_name, quality.matches(_pattern))
-filter_query("symbols", quality.too_many_symbols)
-filter_query("strange", quality.strange)
+filter_query("symbols", lambda x: quality.too_many_symbols(quality.side(x)))
+filter_query("strange", lambda x: quality.strange(quality.side(x)))
 
 
 def stored_query(name: str, rule):
@@ -137,14 +138,14 @@ def stored_query(name: str, rule):
 
 stored_query("control", quality.control_noise)
 stored_query("junk", lambda x: quality.any_of({n: x.rlike(p) for n, p in quality.STORED_JUNK.items()}))
-stored_query("symbols", quality.too_many_stored_symbols)
-stored_query("broken", quality.broken)
+stored_query("symbols", lambda x: quality.too_many_stored_symbols(quality.side(x)))
+stored_query("broken", lambda x: quality.broken(quality.side(x)))
 
 
 @query
 def filter_same(spark, sf_dir):
-    lines = fx.parallel_lines(spark, sf_dir).select("target_lang", "line_no", quality.same_text(F.col("source_raw"), F.col("target_raw")).alias("hit"))
-    pairs = fx.literal(spark, fx.PAIRS, "source string, target string").select(F.lit("lit").alias("target_lang"), F.col("i").cast("bigint").alias("line_no"), quality.same_text(F.col("source"), F.col("target")).alias("hit"))
+    lines = fx.parallel_lines(spark, sf_dir).select("target_lang", "line_no", quality.same_text(quality.side(F.col("source_raw")), quality.side(F.col("target_raw"))).alias("hit"))
+    pairs = fx.literal(spark, fx.PAIRS, "source string, target string").select(F.lit("lit").alias("target_lang"), F.col("i").cast("bigint").alias("line_no"), quality.same_text(quality.side(F.col("source")), quality.side(F.col("target"))).alias("hit"))
     return lines.union(pairs)
 
 
@@ -213,12 +214,12 @@ def normalize_stored_langs(spark, sf_dir):
 
 @query
 def cleanup_invalid(spark, sf_dir):
-    return pt.cleanup(pt.build(fx.imported(spark, sf_dir)))
+    return pt.cleanup(pt.build(fx.unfiltered(spark, sf_dir)))
 
 
 @query
 def cleanup_stats(spark, sf_dir):
-    return pt.cleanup_stats(fx.imported(spark, sf_dir))
+    return pt.cleanup_stats(fx.unfiltered(spark, sf_dir))
 
 
 @query
@@ -243,19 +244,31 @@ def available_pairs(spark, sf_dir):
 
 @query
 def has_pair(spark, sf_dir):
-    table = fx.imported(spark, sf_dir)
     asked = [("en", "de"), ("EN-gb", "fr"), ("de", "fr"), ("", "en")]
-    return spark.createDataFrame([(a, b, pt.has_pair(table, a, b)) for a, b in asked], "source_lang string, target_lang string, found boolean")
+    return pt.pairs_found(fx.imported(spark, sf_dir), spark.createDataFrame(asked, "source_lang string, target_lang string"))
 
 
 @query
 def import_progress(spark, sf_dir):
     pages = fx.table(spark, sf_dir, "pages")
     manifest = pages.select(text.import_key(F.col("url"), F.col("url"), F.lit("en"), F.lit("de")).alias("import_key"), F.col("page_id").alias("processed_lines"), (F.col("page_id") % 2 == 0).alias("completed"))
-    asked = pages.where("page_id % 7 = 0").select(text.import_key(F.col("url"), F.col("url"), F.lit("en"), F.lit("de")).alias("import_key")).distinct()
+    asked = pages.select(text.import_key(F.col("url"), F.col("url"), F.lit("en"), F.lit("de")).alias("import_key")).distinct()
     return manifest.join(asked, "import_key", "left_semi")
 
 
+@query
+def upsert(spark, sf_dir):
+    """All pairs onto a table that has those from English already."""
+    pairs = fx.imported(spark, sf_dir)
+    return pt.upsert(kept(pt.build(pairs.where("source_lang = 'en'")), "existing"), pairs)
+
+
+@query
+def import_stats_existing(spark, sf_dir):
+    existing = pt.build(fx.imported(spark, sf_dir).where("source_lang = 'en'"))
+    return pt.import_stats(fx.raw_pairs(spark, sf_dir), existing)
+
+
 # Matching and translation.
 @query
 def line_split(spark, sf_dir):
@@ -312,9 +325,9 @@ def translate_literals(spark, sf_dir):
 def match_trace(spark, sf_dir):
     table = pt.build(fx.imported(spark, sf_dir))
     worded = fx.inputs(spark, sf_dir).withColumn("words", text.words(F.col("text")))
-    return tr.match_trace(worded, ["id", "turn"], tr.lookup_table(table))
+    return tr.match_trace(worded, ["id", "turn", "target_lang"], tr.lookup_table(table))
 
 
 @query
 def translate_text(spark, sf_dir):
-    return tr.translate(fx.inputs(spark, sf_dir), pt.build(fx.imported(spark, sf_dir)), ["id", "turn"])
+    return tr.translate(fx.inputs(spark, sf_dir), pt.build(fx.imported(spark, sf_dir)), ["id", "turn", "target_lang"])

@@ -45,7 +45,7 @@ def test_languages(spark):
     (("amount in units (real)", "yy"), "catalog"), (("wow!!!! a", "yy"), "symbols"), (("no no no no", "yy"), "strange"), (("open file", "abrir"), None), (("ab😀 cdefgh", "yy"), None), (("😀😀abcdefghi", "yy"), "symbols"),
 ])
 def test_import_rules(spark, pair, reason):
-    got = spark.createDataFrame([pair], "s string, t string").select(quality.first_reason(quality.import_rules(F.col("s"), F.col("t"))).alias("r")).first()[0]
+    got = spark.createDataFrame([pair], "s string, t string").select(quality.first_reason(quality.import_rules(quality.side(F.col("s")), quality.side(F.col("t")))).alias("r")).first()[0]
     assert got == reason
 
 

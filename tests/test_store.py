@@ -1,5 +1,9 @@
+import io
+
 import pytest
 
+from glosswork import cli
+from glosswork.operators import phrase_table as pt
 from glosswork.operators.store import NotReadyError, PhraseStore, Translator
 from glosswork.sources import moses
 from glosswork.streaming.translate_stream import translate_stream
@@ -49,7 +53,11 @@ def test_import_both_ways_and_translate(spark, tmp_path, pair):
     assert again["resumed"] == 4 and store.table().count() == 5
     translator = Translator(store.table())
     assert translator.translate_text("Open file!", "en", "pt") == "Abrir arquivo!"
-    assert translator.statistics == {"translations": 1, "by_type": {"full": 1}}
+    seen = translator.statistics
+    assert (seen["translations"], seen["by_type"]) == (1, {"full": 1}) and seen["last_ms"] == seen["mean_ms"] == seen["total_ms"] > 0
+    assert translator.trace("the open file", "en", "pt")[0] == "miss at word 0: the open file" and "hit  at word 0: open file -> abrir arquivo" in translator.trace("the open file", "en", "pt")
+    assert seen["lookups"] == 14 and seen["lookup_hits"] == 4
+    assert store.report()[0] == "5 translations, total frequency 6" and "languages: en, pt_BR" in store.report()
     assert Translator(None).translate_text("Open file!") == "Open file!"
 
 
@@ -66,6 +74,56 @@ def test_misaligned_and_resume(spark, tmp_path, pair):
         moses.read_pair(spark, *pair, "en", "pt", 99)
 
 
+def test_batches_publish_rows_and_progress_together(spark, tmp_path, monkeypatch):
+    left = write(tmp_path / "B.en-de.en", [f"word {'abcdefghij'[i % 10]} line {'klmnopqrst'[i // 10]}" for i in range(50)])
+    right = write(tmp_path / "B.en-de.de", [f"wort {'abcdefghij'[i % 10]} zeile {'klmnopqrst'[i // 10]}" for i in range(50)])
+    store, real, calls = PhraseStore(spark, str(tmp_path / "store")).initialize(), PhraseStore._publish, []
+
+    def breaking(self, **tables):
+        calls.append(sorted(tables))
+        if len(calls) == 3:
+            raise OSError("lost")
+        real(self, **tables)
+
+    monkeypatch.setattr(PhraseStore, "_publish", breaking)
+    with pytest.raises(OSError):
+        store.import_moses(left, right, "en", "de", batch_lines=20)
+    monkeypatch.undo()
+    assert calls == [["progress", "translations"]] * 3 and store.last_error == "lost"
+    before = store.table()
+    assert before.count() == 40 and [(r["processed_lines"], r["completed"]) for r in store.progress().collect()] == [(40, False)]
+    assert store.import_moses(left, right, "en", "de", batch_lines=20) == {"processed": 50, "inserted": 10, "updated_frequency": 0, "ignored": 0, "duplicate": 0, "resumed": 40}
+    assert store.table().agg({"frequency": "sum", "id": "max"}).first().asDict() == {"sum(frequency)": 50, "max(id)": 50}
+    # A table that is being read stays for some more writes, then its files go.
+    assert before.count() == 40
+    for _ in range(5):
+        store.write(store.table())
+    assert len([x for x in (tmp_path / "store").iterdir() if x.name.startswith("translations-")]) <= 5
+
+
+def test_adopts_older_forms(spark, tmp_path):
+    store = PhraseStore(spark, str(tmp_path / "store"))
+    legacy = spark.createDataFrame([("file", "arquivo", "EN", "pt"), ("file", "arquivo", "en", "pt_BR"), ("open", "abrir", "en", "pt")], "source_text string, translated_text string, source_lang string, target_lang string")
+    assert store.adopt(legacy) and sorted((r["source_text"], r["frequency"]) for r in store.table().collect()) == [("file", 2), ("open", 1)]
+    assert not store.adopt(store.table()) and pt.migrate(store.table())[1] is False
+    assert PhraseStore(spark, str(tmp_path / "new")).create().report() == ["The phrase table is empty; import a dataset first."]
+
+
+def test_paths_and_console(spark, tmp_path, pair, monkeypatch, capsys):
+    (tmp_path / "datasets").mkdir()
+    for f in pair:
+        (tmp_path / "datasets" / f.rsplit("/", 1)[1]).write_bytes(open(f, "rb").read())
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    monkeypatch.chdir(tmp_path / "a")
+    assert moses.datasets_path(str(tmp_path / "a" / "b")) == str(tmp_path / "datasets")
+    monkeypatch.setenv(moses.ENVIRONMENT, str(tmp_path / "elsewhere"))
+    assert moses.datasets_path() == str(tmp_path / "elsewhere")
+    monkeypatch.setattr("sys.stdin", io.StringIO("2\n1\n1\nen\npt\nOpen file.\n\n0\n"))
+    assert cli.main(["--store", str(tmp_path / "store"), "--datasets", str(tmp_path / "datasets"), "--debug"]) == 0
+    shown = capsys.readouterr().out
+    assert "The phrase table is empty" in shown and "1. C en-pt_BR" in shown and "Abrir arquivo." in shown and "hit  at word 0: open file -> abrir arquivo" in shown
+
+
 def test_store_cleans_and_normalises(spark, tmp_path):
     store = PhraseStore(spark, str(tmp_path / "store"))
     rows = [(1, "file", "arquivo", "EN", "pt", 2), (2, "file", "arquivo", "en", "pt_BR", 3), (3, "123 45", "números", "en", "pt_BR", 1)]
