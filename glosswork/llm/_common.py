@@ -8,6 +8,7 @@ exactly afterwards, so results never depend on the filter's size.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 MAX_FILTER_BITS = 1 << 28  # 32 MiB, the most that a broadcast filter may take
 FILTER_HASHES = 4
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20  # of the rows that Python gets at once
 NULL_ID = (1 << 63) - 1
 BROADCAST_ROWS = 200_000  # a table of counted rows above this is joined by a shuffle
 
@@ -38,6 +40,21 @@ def work_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Rows go to Python and back in small batches while a job runs: whatever the texts' lengths, an executor and its Python
+    workers hold some MB of them at a time, and no large buffers stay with them."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def save(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -45,7 +62,8 @@ def save(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
-    (df if most is None else packed(df, most)).write.parquet(path)
+    with small_batches(spark):
+        (df if most is None else packed(df, most)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
@@ -123,7 +141,7 @@ def build_filter(keys: DataFrame, max_bits: int = MAX_FILTER_BITS) -> KeyFilter:
     Tasks set bits locally and send only changed 64-bit words, merged by ``bit_or``;
     the driver gets at most ``max_bits`` / 64 words, whatever the corpus holds.
     """
-    column = keys.columns[0]
+    column, spark = keys.columns[0], keys.sparkSession
     n = keys.count()
     bits = 1 << 13
     while bits < min(16 * n, max_bits):
@@ -138,7 +156,8 @@ def build_filter(keys: DataFrame, max_bits: int = MAX_FILTER_BITS) -> KeyFilter:
                 yield pd.DataFrame({"word": word.astype(np.int64), "value": value.view(np.int64)})
 
     words = np.zeros(bits // 64, dtype=np.uint64)
-    got = keys.mapInPandas(set_bits, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
+    with small_batches(spark):
+        got = keys.mapInPandas(set_bits, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
     words[got["word"].to_numpy()] = got["value"].to_numpy(dtype=np.int64).view(np.uint64)
     return KeyFilter(words)
 
