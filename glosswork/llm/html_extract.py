@@ -3,24 +3,32 @@
 Every page is read into a light tree.  Its containers are scored by the running text
 that they hold, less links and boilerplate, and the page votes for the generalised
 path of its best container, widened until no container with running text is left out
-beside it (an article or main element is not left): tag names with their classes, digits and ids dropped.
-Votes are added up by host and path in Spark; a host's winning path is the one most of
-its pages voted for.  In a second pass each page's text is taken from the container at
+beside it (an article is left only for a main element around it that holds no other article): tag names with their classes, digits
+and ids dropped.  Votes are added up by host and path in Spark; a host's winning path is the one most of
+its pages voted for.  In a second pass each page's text is taken from the containers at
 the winning path; a page that lacks it, or finds nothing there, uses its own best one.
 
-Within the container, boilerplate subtrees (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are left out, character
-references are decoded, white space within a block becomes one space, blocks are
+What is boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) is decided in three ways.
+Scripts, styles and hidden elements never show text.  Elements made for boilerplate, and those whose class, id or role names it, are
+only suspects: the largest suspect is cleared, with all it holds but further suspects, as long as the page's text outside of suspects is less
+than ``CLEARED`` of the suspect's own, so that a wrapper is never left out for its class.  And the host tells: a block of text that stands
+in ``RECURS`` of the distinct texts that voted for one path of a host (``LEAST_TEXTS`` at least) is left out.
+
+Character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined in page order by a blank line.
 
 Defined results: null or empty html gives the empty text; a page without a container
 counts its whole body as one; null urls share the empty host; ties between paths go to
-the longer path, then to the smaller string; repeated rows give repeated results; an
-empty table gives an empty result; only the named columns are read.
+the longer path, then to the smaller string; ties between suspects and between containers go to the one that comes first; repeated rows give
+repeated results and count once among a host's texts; a very long or deeply nested page is read in time linear in its length; an
+empty table gives an empty result; only the named columns are read, further columns of any name are left alone.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import heapq
 import html as references
 import re
 
@@ -33,117 +41,199 @@ from .url_filter import url_host
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SKIPPED_TAGS = frozenset(
-    "script style noscript template head nav footer aside form button select option textarea iframe object embed svg canvas "
-    "audio video map dialog menu input label fieldset title noembed noframes xmp".split())
+#: Elements whose text is not shown as text of the page.
+UNSEEN = frozenset("script style noscript template head textarea iframe object embed svg canvas audio video map title noembed noframes xmp select datalist".split())
+#: Elements made for what surrounds an article.
+SUSPECTS = frozenset("nav footer aside form button dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINERS = frozenset("article main section div body td center".split())
-#: Open elements that a start tag closes.
+#: Open elements that a start tag closes, and those that hide them from it.
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-#: Words of a class, id or role that mark a subtree as not belonging to the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|promotion|banners?|nav|navbar|navigation|menus?|breadcrumbs?|"
-    r"sidebars?|footer|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|"
-    r"login|search|comments?|replies|disqus|discussion|respond|related|recommended|recommendations|share|sharing|social|widgets?|"
-    r"pagination|pager|skip|hidden|complementary|contentinfo|dialog|copyright|legal|disclaimer|tags|byline-share)(?:$|[\s_-])", re.I)
+HIDES = {"li": {"ul", "ol", "menu", "table", "td", "th"}, "dt": {"dl", "table", "td", "th"}, "dd": {"dl", "table", "td", "th"}, "option": {"select", "datalist"}} | dict.fromkeys(("tr", "td", "th", "tbody", "tfoot"), {"table"})
+P_SCOPE = frozenset(("p", "td", "th", "table", "button", "caption"))
+LISTED = frozenset().union(*CLOSES.values(), *HIDES.values())
+#: Names in a class, id or role that make a suspect.  A name counts as a whole or as a part between hyphens and the like, but not beside
+#: a part of ``MODIFIERS``, which says something of the element that has it (has-sidebar, comments-open, entry-header).
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner banners nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs sidebar sidebars footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup popups modal "
+    "overlay newsletter subscribe signup login search comment comments replies disqus discussion respond related recommended recommendations share sharing "
+    "social widget widgets pagination pager skip hidden complementary contentinfo dialog copyright legal disclaimer tags".split())
+MODIFIERS = frozenset("has no with without is not open closed enabled disabled entry post article story content main page body".split())
+CLEARED, RECURS, LEAST_TEXTS = 0.1, 0.9, 10
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 GLUE = re.compile(r"(?<=[a-z])(?=[A-Z])")
+PARTS = re.compile(r"[^a-z]+")
 
 
-class Node:
-    __slots__ = ("tag", "marks", "parent", "children", "step", "skip")
+@functools.lru_cache(4096)
+def suspicious(marks: str) -> bool:
+    """Whether a class, id or role names boilerplate."""
+    for name in GLUE.sub("-", marks).lower().split():
+        parts = set(PARTS.split(name))
+        if parts & NAMES and not parts & MODIFIERS:
+            return True
+    return False
 
-    def __init__(self, tag: str, marks: str, hidden: bool, parent: Node | None):
-        self.tag, self.marks, self.parent, self.children = tag, marks, parent, []
-        classes = ".".join(sorted({DIGITS.sub("", x) for x in marks.split()} - {""})[:3])
-        self.step = f"{tag}.{classes}" if classes else tag
-        inner_header = tag == "header" and (parent is None or not within_article(parent))
-        self.skip = tag in SKIPPED_TAGS or hidden or inner_header or (
-            bool(marks) and tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(GLUE.sub("-", marks))))
 
+@functools.lru_cache(4096)
+def step_of(tag: str, marks: str) -> str:
+    classes = ".".join(sorted({DIGITS.sub("", x) for x in marks.split()} - {""})[:3])
+    return f"{tag}.{classes}" if classes else tag
 
-def within_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+
+class Node:
+    """An element; ``suspect`` and ``skip`` are settled by :func:`judge`."""
+
+    __slots__ = ("tag", "marks", "parent", "children", "skip", "suspect", "in_article", "text", "links")
+
+    def __init__(self, tag: str, marks: str, unseen: bool, parent: Node | None):
+        self.tag, self.marks, self.parent, self.children = tag, marks, parent, []
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.skip = unseen or tag in UNSEEN
+        self.suspect = tag in SUSPECTS or tag == "header" and not self.in_article or (
+            bool(marks) and tag not in ("html", "body", "article", "main") and suspicious(marks))
 
 
 def parse(page: str) -> Node:
-    """A light tree of ``page``; text children are strings with references decoded."""
+    """A light tree of ``page``, already judged; text children are strings with references decoded."""
     root = Node("html", "", False, None)
-    here, at, n = root, 0, len(page)
+    stack, paragraphs, listed, open_ = [root], [], [], {}
+    at, n = 0, len(page)
+
+    def close(node: Node) -> None:
+        """Close open elements up to ``node``."""
+        while stack[-1] is not node:
+            closed(stack.pop())
+        closed(stack.pop())
+
+    def closed(x: Node) -> None:
+        open_[x.tag] -= 1
+        if paragraphs and paragraphs[-1] is x:
+            paragraphs.pop()
+        if listed and listed[-1] is x:
+            listed.pop()
+
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
-        tag = m.group(2)
+        tag, here = m.group(2), stack[-1]
         if tag is None:
             piece = m.group()
             if piece[0] != "<" or len(piece) == 1:
-                here.children.append(references.unescape(piece))
+                here.children.append(references.unescape(piece) if "&" in piece else piece)
             elif piece.startswith("<![CDATA["):
                 here.children.append(piece[9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m.group(1):
-            target = here
-            while target is not None and target.tag != tag:
-                target = target.parent
-            if target is not None and target.parent is not None:
-                here = target.parent
+            if open_.get(tag):
+                while stack[-1].tag != tag:
+                    closed(stack.pop())
+                closed(stack.pop())
             elif tag == "p":
                 here.children.append(Node("p", "", False, here))
             continue
         if tag == "html":
             continue
-        if tag in CLOSES_P:
-            up = here
-            while up is not None and up.tag not in ("p", "td", "th", "table", "button", "caption"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                here = up.parent
+        if tag in CLOSES_P and paragraphs and paragraphs[-1].tag == "p":
+            close(paragraphs[-1])
         if tag in CLOSES:
-            up, last = here, None
-            while up is not None and up.tag not in SCOPE[tag]:
-                if up.tag in CLOSES[tag]:
-                    last = up
-                up = up.parent
+            last, i = None, len(listed) - 1
+            while i >= 0 and listed[i].tag not in HIDES[tag]:
+                if listed[i].tag in CLOSES[tag]:
+                    last = listed[i]
+                i -= 1
             if last is not None:
-                here = last.parent
-        if tag == "body" and here.tag == "head":
-            here = here.parent
-        marks, hidden = [], False
-        if m.group(3).strip(" /"):
-            for a in ATTRIBUTE.finditer(m.group(3)):
+                close(last)
+        if tag == "body" and stack[-1].tag == "head":
+            close(stack[-1])
+        here = stack[-1]
+        marks, unseen, rest = [], False, m.group(3)
+        if rest and rest.strip(" /"):
+            for a in ATTRIBUTE.finditer(rest):
                 name, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
                 if name in ("class", "id", "role"):
                     marks.append(value)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                    hidden = True
-        node = Node(tag, " ".join(marks), hidden, here)
+                    unseen = True
+        node = Node(tag, " ".join(marks), unseen, here)
         here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = n if end is None else page.find(">", end.start()) + 1 or n
-        elif tag not in VOID and (tag in BLOCKS or not m.group(3).endswith("/")):
-            here = node
+        elif tag not in VOID and (tag in BLOCKS or not rest.endswith("/")):
+            stack.append(node)
+            open_[tag] = open_.get(tag, 0) + 1
+            if tag in P_SCOPE:
+                paragraphs.append(node)
+            if tag in LISTED:
+                listed.append(node)
+    judge(root)
     return root
 
 
+def judge(root: Node) -> None:
+    """Count each element's running text (less twice its links, without suspects in it) and settle which suspects are left out."""
+    order, stack = [], [(root, False)]
+    while stack:
+        x, link = stack.pop()
+        order.append(x)
+        x.text = x.links = 0
+        link = link or x.tag == "a"
+        for c in x.children:
+            if isinstance(c, str):
+                size = len(c.strip())
+                x.text += size
+                x.links += size * link
+            elif not c.skip:
+                stack.append((c, link))
+    for x in reversed(order):
+        if x.parent is not None and not x.suspect:
+            x.parent.text += x.text
+            x.parent.links += x.links
+    outside, heap = max(0, root.text - 2 * root.links), []
+    around: dict[int, Node] = {id(root): root}  # the nearest suspect, or the root, that holds an element or is it
+    inner: dict[int, list[Node]] = {}
+    number: dict[int, int] = {}
+    for i, x in enumerate(order[1:]):
+        up = around[id(x.parent)]
+        around[id(x)] = x if x.suspect else up
+        if x.suspect:
+            number[id(x)] = i
+            inner.setdefault(id(up), []).append(x)
+    whole: dict[int, int] = {}
+    for x in reversed(order):  # a suspect's text with that of suspects in it
+        if x.suspect:
+            whole[id(x)] = max(0, x.text - 2 * x.links) + sum(whole[id(y)] for y in inner.get(id(x), ()))
+
+    def found(x: Node) -> None:
+        for y in inner.get(id(x), ()):
+            heapq.heappush(heap, (-whole[id(y)], number[id(y)], y))
+
+    found(root)
+    while heap:
+        size, _, x = heapq.heappop(heap)
+        if outside >= CLEARED * -size:
+            x.skip = True
+            continue
+        x.suspect = False
+        outside += max(0, x.text - 2 * x.links)
+        found(x)
+
+
 def path_of(node: Node) -> str:
     steps = []
     while node is not None:
         if node.tag not in ("html", "body"):
-            steps.append(node.step)
+            steps.append(step_of(node.tag, node.marks))
         node = node.parent
     return "/".join(reversed(steps))
 
@@ -157,53 +247,51 @@ def walk(node: Node):
         stack += [c for c in reversed(x.children) if isinstance(c, Node) and not c.skip]
 
 
-def blocks(container: Node) -> list[str]:
-    """The cleaned text blocks of a container in page order."""
-    out, run = [], []
+def blocks(container: Node) -> list[tuple[str, str]]:
+    """The cleaned text blocks of a container in page order, each with the step of the element that holds it."""
+    out, run, open_ = [], [], [container]
 
     def close():
         text = SPACE.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
-            out.append(text)
+            out.append((step_of(open_[-1].tag, open_[-1].marks), text))
 
-    stack: list = [iter([container])]
-    open_: list = [None]
-    first = True
+    stack: list = [iter(container.children)]
     while stack:
         child = next(stack[-1], None)
         if child is None:
             stack.pop()
-            done = open_.pop()
-            if done is not None and done.tag in BLOCKS:
+            if open_[-1].tag in BLOCKS:
                 close()
+            open_.pop()
         elif isinstance(child, str):
             run.append(child)
         elif child.tag == "br":
             run.append(" ")
-        elif first or not child.skip:
-            first = False
+        elif not child.skip:
             if child.tag in BLOCKS:
                 close()
             stack.append(iter(child.children))
             open_.append(child)
+    open_.append(container)
     close()
     return out
 
 
 def own_text(node: Node) -> tuple[int, int]:
-    """Characters of running text in paragraphs right below ``node``, and of links in it."""
+    """Characters of running text below ``node`` outside of its child containers, and of links in it."""
     total = links = 0
-    stack = [c for c in node.children if isinstance(c, str) or not c.skip and (c.tag not in CONTAINERS)]
-    inside = [(c, False) for c in stack]
+    inside = [(node, False)]
     while inside:
         x, link = inside.pop()
-        if isinstance(x, str):
-            size = len(x.strip())
-            total += size
-            links += size * link
-        else:
-            inside += [(c, link or x.tag == "a") for c in x.children if isinstance(c, str) or not c.skip and c.tag not in CONTAINERS]
+        for c in x.children:
+            if isinstance(c, str):
+                size = len(c.strip())
+                total += size
+                links += size * link
+            elif not c.skip and c.tag not in CONTAINERS:
+                inside.append((c, link or c.tag == "a"))
     return total, links
 
 
@@ -211,17 +299,19 @@ def best_container(root: Node) -> Node:
     """The container with the highest score: its own text less twice its links, half of what its child
     containers score, and a bonus for the tags meant for articles; then :func:`widened`."""
     order = [x for x in walk(root) if x is root or x.tag in CONTAINERS]
-    score = {}
+    score, outer = {}, {}
     for x in order:
         total, links = own_text(x)
         score[id(x)] = max(0.0, total - 2.0 * links)
-    own = dict(score)
+    own, around = dict(score), [(root, None)]
+    while around:  # each container's next container above
+        x, up = around.pop()
+        if id(x) in score:
+            outer[id(x)], up = up, x
+        around += [(c, up) for c in x.children if isinstance(c, Node) and not c.skip]
     for x in reversed(order):
-        up = x.parent
-        while up is not None and id(up) not in score:
-            up = up.parent
-        if up is not None:
-            score[id(up)] += 0.5 * score[id(x)]
+        if outer[id(x)] is not None:
+            score[id(outer[id(x)])] += 0.5 * score[id(x)]
     weight = {"article": 4.0, "main": 3.0}
     best = max(order, key=lambda x: score[id(x)] * weight.get(x.tag, 1.0))
     return widened(best, [x for x in order if own[id(x)] > 0]) if score[id(best)] > 0 else root
@@ -231,6 +321,10 @@ def widened(best: Node, texts: list[Node]) -> Node:
     """The lowest container, up to the next article or main element, that holds ``best`` and all running text there."""
     line = [best, *above(best)]
     end = next((i for i, x in enumerate(line) if x.tag in ("article", "main")), len(line) - 1)
+    if line[end].tag == "article":
+        outer = next((i for i in range(end + 1, len(line)) if line[i].tag == "main"), end)
+        if sum(x.tag == "article" for x in walk(line[outer])) == 1:
+            end = outer
     place, most = {id(x): i for i, x in enumerate(line)}, 0
     for x in texts:
         passed = []
@@ -246,23 +340,50 @@ def widened(best: Node, texts: list[Node]) -> Node:
     return line[most]
 
 
+def block_key(step: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{step}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def ballot(page: str | None) -> tuple[str | None, int, list[int]]:
+    """(generalised path of the page's best container, key of its text, keys of its blocks); no path for a page without text."""
+    best = best_container(parse(page or ""))
+    found = blocks(best)
+    if not found:
+        return None, 0, []
+    path = path_of(best)
+    return path, block_key("", "\n\n".join(t for _, t in found)), sorted({block_key(s, t) for s, t in found})
+
+
 def vote(page: str | None) -> str | None:
-    """The generalised path of a page's best container; None for a page without text."""
-    root = parse(page or "")
-    best = best_container(root)
-    return path_of(best) if blocks(best) else None
+    return ballot(page)[0]
+
+
+def at_path(root: Node, path: str) -> list[Node]:
+    """The outermost containers at a generalised path, found by following its steps."""
+    steps = path.split("/") if path else []
+    out, stack = [], [(root, 0)]
+    while stack:
+        x, depth = stack.pop()
+        if x.tag not in ("html", "body"):
+            if depth >= len(steps) or step_of(x.tag, x.marks) != steps[depth]:
+                continue
+            depth += 1
+        if depth == len(steps) and (x.tag in CONTAINERS or x is root):
+            out.append(x)
+        else:
+            stack += [(c, depth) for c in reversed(x.children) if isinstance(c, Node) and not c.skip]
+    return out
 
 
-def extract(page: str | None, winning: str | None) -> tuple[str, str | None]:
-    """(text, path used) of a page, from the containers at the winning path."""
-    root = parse(page or "")
-    at = [] if winning is None else [x for x in walk(root) if path_of(x) == winning and (x.tag in CONTAINERS or x is root)]
-    outer = [x for x in at if not any(path_of(y) == winning for y in above(x))]
-    found = [b for x in outer for b in blocks(x)]
-    if found:
-        return "\n\n".join(found), winning
-    best = best_container(root)
-    return "\n\n".join(blocks(best)), path_of(best)
+def extract(page: str | None, winning: str | None, recurring=()) -> tuple[str, str | None]:
+    """(text, path used) of a page, from the containers at the winning path, without the host's recurring blocks."""
+    root, known = parse(page or ""), set(recurring) if recurring is not None else set()
+    found, path = [b for x in at_path(root, winning) for b in blocks(x)] if winning is not None else [], winning
+    if not found:
+        best = best_container(root)
+        found, path = blocks(best), path_of(best)
+    kept = [t for s, t in found if not known or block_key(s, t) not in known]
+    return "\n\n".join(kept or [t for _, t in found]), path
 
 
 def above(node: Node):
@@ -272,10 +393,18 @@ def above(node: Node):
         node = node.parent
 
 
-def host_paths(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+def ballots(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """host, path (voted for), text and blocks (keys) of every page that has text."""
+    def poll(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([ballot(p) for p in pages], columns=["path", "text", "blocks"])
+
+    got = pages.select(url_host(F.col(url_col)).alias("host"), F.pandas_udf(poll, "path string, text long, blocks array<long>")(html_col).alias("got"))
+    return got.select("host", "got.*").where("path is not null")
+
+
+def host_paths(cast: DataFrame) -> DataFrame:
     """The vote: host, path and votes of every path that a page of the host chose."""
-    poll = F.pandas_udf(lambda pages: pd.Series([vote(p) for p in pages], dtype=object), "string")
-    return pages.select(url_host(F.col(url_col)).alias("host"), poll(F.col(html_col)).alias("path")).where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    return cast.groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
 def winners(votes: DataFrame) -> DataFrame:
@@ -284,14 +413,28 @@ def winners(votes: DataFrame) -> DataFrame:
     return votes.groupBy("host").agg(best.alias("best")).select("host", F.col("best.path").alias("winning"), F.col("best.votes").alias("votes"))
 
 
+def recurring_blocks(cast: DataFrame) -> DataFrame:
+    """host, path and the keys of the blocks that stand in ``RECURS`` of the distinct texts of that path.
+
+    Texts and blocks are counted in partial sums by key; a list is no longer than one page's blocks / ``RECURS``.
+    """
+    own = ["host", "path"]
+    once = save(cast.groupBy(*own, "text").agg(F.min("blocks").alias("blocks")), "host-texts")
+    sizes = save(once.groupBy(*own).agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS), "host-sizes")
+    counts = save(once.select(*own, F.explode("blocks").alias("key")).groupBy(*own, "key").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS * LEAST_TEXTS), "host-blocks")
+    return counts.join(sizes, own).where(F.col("n") >= RECURS * F.col("texts")).groupBy(*own).agg(F.collect_list("key").alias("recurring"))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, path (the container used)."""
-    won = save(winners(host_paths(pages)), "host-paths").select(F.col("host").alias("_host"), "winning")
+    cast = save(ballots(pages), "host-ballots")
+    won = winners(host_paths(cast)).withColumnRenamed("winning", "path").join(recurring_blocks(cast), ["host", "path"], "left")
+    won = save(won.select(F.col("host").alias("_host"), F.col("path").alias("winning"), "recurring"), "host-paths")
     asked = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("_host"))
     joined = small_join(asked, won, ["_host"], "left", won.count())
 
-    def run(text: pd.Series, winning: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(t, None if pd.isna(w) else w) for t, w in zip(text, winning, strict=True)], columns=["text", "path"])
+    def run(text: pd.Series, winning: pd.Series, recurring: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([extract(t, None if pd.isna(w) else w, r) for t, w, r in zip(text, winning, recurring, strict=True)], columns=["text", "path"])
 
-    got = joined.select("page_id", "url", F.pandas_udf(run, "text string, path string")("html", "winning").alias("got"))
+    got = joined.select("page_id", "url", F.pandas_udf(run, "text string, path string")("html", "winning", "recurring").alias("got"))
     return got.select("page_id", "url", "got.text", F.length("got.text").cast("long").alias("n_chars"), "got.path")
