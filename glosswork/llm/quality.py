@@ -2,11 +2,12 @@
 
 A logistic document classifier on form features gives every document evidence.  Its
 probabilities are summed by host and by path within host (here: source, and lang
-within source) in one grouped aggregation.  Site posteriors are beta-binomial means:
+within source) in one grouped aggregation; labels are evidence of their own, counted in place of the classifier's
+probability where a document has one.  Site posteriors are beta-binomial means:
 a host is shrunk toward the global rate, a path toward its host, each by a
 concentration estimated from the spread between sites (method of moments), so sparse
 sites stay near their prior.  The site's posterior odds, relative to the global ones,
-are added to the document's log-odds.
+are added to the document's log-odds; as a document's own evidence is part of its site's, it is taken out of the site's sums first.
 
 The classifier is fitted on at most ``MAX_LABELLED`` labelled documents (those with the
 smallest hash of doc_id); everything else reads all documents.
@@ -15,7 +16,8 @@ Defined results: null text counts as empty, an empty text gets the features of n
 words; null source or lang is a site of its own; without labels of both classes the
 classifier says 1 everywhere, so that nothing is rejected; a label that repeats a
 doc_id counts once (lowest quality); rows are judged singly, so repeated rows are kept
-or rejected alike; an empty table gives an empty result.
+or rejected alike (a label goes to all rows of its doc_id); a score of exactly ``KEEP_FROM`` is kept; a very long text is measured whole; rows travel as
+one struct beside the operator's own columns, so that no further column's name can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import save, small_join
+from ._common import BROADCAST_ROWS, save, small_batches, small_join
 
 MAX_LABELLED = 20_000
 FEATURES = [
@@ -98,19 +100,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Class
             yield got.assign(doc_id=batch["doc_id"].to_numpy(), label=batch["label"].to_numpy().astype(float))
 
     schema = ", ".join(f"{c} double" for c in FEATURES) + ", doc_id long, label double"
-    got = labelled.mapInPandas(measure, schema).toPandas().sort_values(["doc_id", *FEATURES])
+    with small_batches(docs.sparkSession):
+        got = labelled.mapInPandas(measure, schema).toPandas()
+    got = got.sort_values(["doc_id", *FEATURES])
     return fit(got[FEATURES].to_numpy(), got["label"].to_numpy())
 
 
-def document_probability(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """``docs`` with the column _p, the classifier's probability that a document is good."""
-    if model is None:
-        return docs.withColumn("_p", F.lit(1.0))
+def judged_rows(docs: DataFrame, model: Classifier | None, host: str, path: str) -> DataFrame:
+    """(row, p, host, path): each row of ``docs`` as one struct, the classifier's probability that it is good, and its site's key."""
+    def key(name: str) -> Column:
+        return F.coalesce(F.concat(F.lit("x"), F.col(name).cast("string")), F.lit(""))
 
-    def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))))
+    if model is None:
+        p = F.lit(1.0)
+    else:
+        def judge(texts: pd.Series) -> pd.Series:
+            return pd.Series(model.probability(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))))
 
-    return docs.withColumn("_p", F.pandas_udf(judge, "double")("text"))
+        p = F.pandas_udf(judge, "double")("text")
+    return docs.select(F.struct(*docs.columns).alias("row"), p.alias("p"), key(host).alias("host"), key(path).alias("path"))
 
 
 def concentration(n: float, rate: float, sum_n2: float, spread: float, sites: float) -> float:
@@ -124,9 +132,9 @@ def concentration(n: float, rate: float, sum_n2: float, spread: float, sites: fl
     return 1e6 if between <= chance * 1e-6 else min(1e6, max(1.0, chance / between - 1))
 
 
-def site_sums(judged: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+def site_sums(evidence: DataFrame) -> DataFrame:
     """The grouped aggregation: expected good documents and documents by (host, path)."""
-    return judged.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.sum("_p").alias("good"), F.count("*").alias("n"))
+    return evidence.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count("*").alias("n"))
 
 
 def shrink(paths: DataFrame) -> DataFrame:
@@ -142,7 +150,7 @@ def shrink(paths: DataFrame) -> DataFrame:
     k_path = concentration(n, rate, p[0] or 0, p[1] or 0, p[2])
     return both.select(
         "host", "path", F.lit(rate).alias("global_rate"), "host_rate",
-        ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("site_rate"))
+        ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("site_rate"), (F.col("n") + k_path).alias("strength"))
 
 
 def log_odds(p: Column) -> Column:
@@ -150,30 +158,37 @@ def log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = MAX_LABELLED) -> DataFrame:
-    """``docs``, all columns, with _p, _host_rate, _site_rate, _score and _keep."""
-    model = train(docs, labels, most)
-    judged = document_probability(docs, model)
-    sites = save(shrink(save(site_sums(judged.select("_p", host, path), host, path), "site-sums")), "sites")
-    side = sites.select(
-        F.coalesce(F.concat(F.lit("x"), "host"), F.lit("")).alias("_host"), F.coalesce(F.concat(F.lit("x"), "path"), F.lit("")).alias("_path"),
-        F.col("host_rate").alias("_host_rate"), F.col("site_rate").alias("_site_rate"), F.col("global_rate").alias("_global_rate"))
-    keyed = judged.withColumns({
-        "_host": F.coalesce(F.concat(F.lit("x"), F.col(host).cast("string")), F.lit("")),
-        "_path": F.coalesce(F.concat(F.lit("x"), F.col(path).cast("string")), F.lit(""))})
-    joined = small_join(keyed, side, ["_host", "_path"], "left", sites.count())
-    score = log_odds(F.col("_p")) + log_odds(F.col("_site_rate")) - log_odds(F.col("_global_rate"))
-    scored = joined.withColumn("_score", 1 / (1 + F.exp(-score)))
-    return scored.withColumn("_keep", F.col("_score") >= KEEP_FROM).drop("_host", "_path", "_global_rate")
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = MAX_LABELLED, with_text: bool = True) -> DataFrame:
+    """(row, p, good, host_rate, site_rate, score, keep): each row of ``docs`` as one struct, beside its judgement.
+
+    Rows are written once with their probabilities, so that features are computed in one pass; without their texts, if these are not asked for.
+    """
+    judged = judged_rows(docs, train(docs, labels, most), host, path)
+    judged = save(judged if with_text else judged.withColumn("row", F.col("row").dropFields("text")), "site-judged")
+    told = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("told_id")).agg(F.min("quality").cast("double").alias("told"))
+    told = save(told, "site-labels")
+    n_told = told.count()
+
+    def evidence(rows: DataFrame) -> DataFrame:
+        side = F.broadcast(told) if n_told <= BROADCAST_ROWS else told
+        return rows.join(side, F.col("id") == F.col("told_id"), "left").withColumn("good", F.coalesce("told", "p"))
+
+    light = judged.select(F.col("row.doc_id").cast("long").alias("id"), "p", "host", "path")
+    sites = save(shrink(save(site_sums(evidence(light)), "site-sums")), "sites")
+    joined = small_join(evidence(judged.withColumn("id", F.col("row.doc_id").cast("long"))), sites, ["host", "path"], "left", sites.count())
+    # The site's rate without this document's own evidence.
+    others = (F.col("site_rate") * F.col("strength") - F.col("good")) / F.greatest(F.col("strength") - 1, F.lit(LIKELY))
+    score = log_odds(F.col("p")) + log_odds(others) - log_odds(F.col("global_rate"))
+    scored = joined.withColumn("score", 1 / (1 + F.exp(-score))).withColumn("keep", F.col("score") >= KEEP_FROM)
+    return scored.select("row", "p", "good", "host_rate", "site_rate", "score", "keep")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, doc_p, host_rate, site_rate, score, kept."""
-    return classify(docs.select("doc_id", "text", "source", "lang"), labels).select(
-        "doc_id", F.col("_p").alias("doc_p"), F.col("_host_rate").alias("host_rate"), F.col("_site_rate").alias("site_rate"),
-        F.col("_score").alias("score"), F.col("_keep").alias("kept"))
+    got = classify(docs.select("doc_id", "text", "source", "lang"), labels, with_text=False)
+    return got.select("row.doc_id", F.col("p").alias("doc_p"), "host_rate", "site_rate", "score", F.col("keep").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    return classify(docs, labels).where("_keep").select(*docs.columns)
+    return classify(docs, labels).where("keep").select("row.*")
