@@ -1,20 +1,22 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample (``MAX_SAMPLE`` vectors, smallest hashes of vec_id) a neighbour graph is
-built and cut into balanced parts; a small network learns, from a vector alone, in which parts
+built and cut into balanced parts, as many as grow with the root of the table; a small network learns, from a vector alone, in which parts
 its neighbours lie.  Every row is indexed under its most probable part.  A query goes to
 its several most probable parts - as many as a held-out share of the sample needs for
 ``TARGET_RECALL``, and beyond these until they hold as many candidates as asked for - and is
 reranked there by exact inner products in double precision.
 
 Parts are packed into tiles of bounded size: small parts share one, a part that holds a third of all
-rows is dealt into many by hash.  A tile is one matrix product in which a query sees only
-the parts it probes, and gives the query's best of all these; the best of its tiles are merged.
+rows is dealt into many by hash.  Every row of the index travels once, to its tile; a query travels to the tiles of its own parts only.
+In a task a tile's rows come first and its queries stream past them, so that memory follows the tile, however many queries there are.
+A query sees only the parts it probes, and gets the best of all these from each tile; the best of its tiles are merged.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 rows without vec_id; of rows that repeat a vec_id the smallest vector counts; shorter vectors
-are filled with zeros; a query gets fewer rows than asked for only if the table holds no more;
-a table too small to learn from (64 rows at the default arguments) is one part; an empty table gives an empty result.
+are filled with zeros; candidates of one score go by vec_id; a query gets fewer rows than asked for only if the table holds no more;
+a table too small to learn from (64 rows at the default arguments) is one part; an empty table gives an empty result; further columns of any name
+are left alone.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql.window import Window
 from ._common import save
 
 MAX_SAMPLE, GRAPH_NEIGHBOURS, HIDDEN = 6_000, 16, 96
-ROWS_A_PART, MOST_PARTS = 640, 64
+LEARNED_FROM = 20  # sampled vectors a part, at least
 TARGET_RECALL = 0.95
-TILE_ROWS, TILE_QUERIES = 16_384, 2_048
+TILE_ROWS = 16_384
 NEAREST, QUERY_EVERY = 20, 20
 
 
@@ -45,6 +47,11 @@ def neighbours(points: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray
     return np.concatenate(out)
 
 
+def number_of_parts(rows: int, sampled: int) -> int:
+    """About a sixth of the root of the table, as far as the sample can tell so many apart."""
+    return int(max(2, min(round(rows**0.5 / 6), sampled // LEARNED_FROM)))
+
+
 def balanced_parts(graph: np.ndarray, points: np.ndarray, parts: int, seed: int = 5, slack: float = 1.1) -> np.ndarray:
     """Cut a neighbour graph into parts of at most ``slack`` times the mean size.
 
@@ -194,12 +201,12 @@ def shelve(counts: dict[int, int], size: int = TILE_ROWS) -> dict[int, tuple[int
 
 def nearest_vectors(embeddings: DataFrame, nearest: int = NEAREST, query_every: int = QUERY_EVERY,
                     parts: int | None = None, probes: int | None = None) -> DataFrame:
-    """For each row whose vec_id ``query_every`` divides: query_id, rank, vec_id, score of its nearest."""
+    """For each row whose vec_id ``query_every`` divides: query_id, rank, vec_id, score of its nearest, and how many rows were scored for it."""
     spark = embeddings.sparkSession
     rows = usable(embeddings)
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).toPandas()
-    parts = parts or int(min(MOST_PARTS, max(2, n // ROWS_A_PART)))
+    parts = parts or number_of_parts(n, len(sample))
     if len(sample) > max(4 * GRAPH_NEIGHBOURS, 4 * parts, nearest + 1):
         model, learned = learn(np.stack(sample["vec"].to_numpy()).astype(float), parts, nearest)
         probes = probes or learned
@@ -215,43 +222,59 @@ def nearest_vectors(embeddings: DataFrame, nearest: int = NEAREST, query_every:
 
     home = F.pandas_udf(lambda v: pd.Series(order(v)[:, 0]), "int")
     index = save(rows.withColumn("part", home("vec")), "ann-index")
-    # At most MOST_PARTS counts come to the driver.
+    # As many counts come to the driver as there are parts, at most MAX_SAMPLE / LEARNED_FROM.
     counts = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
     places = shelve(counts)
     size = np.array([counts.get(p, 0) for p in range(parts)])
 
-    def route(vecs: pd.Series) -> pd.Series:
+    def route(vecs: pd.Series) -> pd.DataFrame:
         # The query itself may be one of the rows and is no candidate.
         by = order(vecs)
-        need = np.maximum(probes, (size[by].cumsum(axis=1) - 1 < nearest).sum(axis=1) + 1)
-        return pd.Series([own[:m] for own, m in zip(by, need, strict=True)], dtype=object)
+        within = size[by].cumsum(axis=1)
+        need = np.minimum(np.maximum(probes, (within - 1 < nearest).sum(axis=1) + 1), by.shape[1])
+        return pd.DataFrame({"parts": [own[:m] for own, m in zip(by, need, strict=True)], "scored": np.take_along_axis(within, need[:, None] - 1, axis=1)[:, 0] if len(by) else []})
 
-    probed = F.pandas_udf(route, "array<int>")
     if not places:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("scored")).limit(0)
     shelf_of = F.create_map(*[F.lit(x) for p, (shelf, _) in sorted(places.items()) for x in (p, shelf)])
-    shelves = F.filter(F.transform("probed", lambda p: F.element_at(shelf_of, p)), lambda x: x.isNotNull())
-    asked = rows.where(F.col("vec_id") % query_every == 0).withColumn("probed", probed("vec"))
-    asked = save(asked.withColumn("shelf", F.explode(F.array_distinct(shelves))), "ann-queries")
-    columns = dict(places.values())
-    lines = {r["shelf"]: -(-r["count"] // TILE_QUERIES) for r in asked.groupBy("shelf").count().collect()}
-    grid = F.broadcast(spark.createDataFrame([(x, n, lines[x]) for x, n in sorted(columns.items()) if x in lines], "shelf int, columns int, lines int"))
-    number = lambda size: F.pmod(F.xxhash64("vec_id"), F.col(size)).cast("int")
-    spread = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
-    left = index.withColumn("shelf", F.element_at(shelf_of, F.col("part"))).join(grid, "shelf").select("shelf", number("columns").alias("column"), spread("lines").alias("line"), "vec_id", "vec", "part")
-    right = asked.join(grid, "shelf").select("shelf", spread("columns").alias("column"), number("lines").alias("line"), "vec_id", "vec", "probed")
-
-    def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    columns_of = F.create_map(*[F.lit(x) for shelf, columns in sorted(dict(places.values()).items()) for x in (shelf, columns)])
+    shelves = F.filter(F.transform("to.parts", lambda p: F.element_at(shelf_of, p)), lambda x: x.isNotNull())
+    asked = rows.where(F.col("vec_id") % query_every == 0).withColumn("to", F.pandas_udf(route, "parts array<int>, scored long")("vec"))
+    asked = asked.select("vec_id", "vec", F.col("to.parts").alias("probed"), F.col("to.scored").alias("scored"), F.explode(F.array_distinct(shelves)).alias("shelf"))
+    every_column = F.explode(F.sequence(F.lit(0), F.element_at(columns_of, F.col("shelf")) - 1))
+    right = asked.select("shelf", every_column.alias("column"), F.lit(True).alias("asks"), "vec_id", "vec", F.lit(-1).alias("part"), "probed", "scored")
+    placed = index.withColumn("shelf", F.element_at(shelf_of, F.col("part")))
+    own_column = F.pmod(F.xxhash64("vec_id"), F.element_at(columns_of, F.col("shelf"))).cast("int")
+    left = placed.select("shelf", own_column.alias("column"), F.lit(False).alias("asks"), "vec_id", "vec", "part", F.lit(None).cast("array<int>").alias("probed"), F.lit(0).cast("long").alias("scored"))
+
+    def search(batches):
+        here, held = None, []
+        for batch in batches:
+            at = batch[["shelf", "column", "asks"]].to_numpy().astype(np.int64)
+            ends = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(batch)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.iloc[a:b]
+                if tuple(at[a, :2]) != here:
+                    here, held, tile = tuple(at[a, :2]), [], None
+                if not at[a, 2]:
+                    held.append((np.stack(part["vec"].to_numpy()), part["vec_id"].to_numpy(), part["part"].to_numpy()))
+                elif held:
+                    tile = tile or tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    yield answers(part, *tile)
+
+    def answers(queries, points, numbers, part_of):
         allowed = np.zeros((len(queries), parts), dtype=bool)
         for i, own in enumerate(queries["probed"]):
             allowed[i, own] = True
-        got = list(best_in_tile(np.stack(queries["vec"].to_numpy()), queries["vec_id"].to_numpy(), allowed, np.stack(candidates["vec"].to_numpy()),
-                                candidates["vec_id"].to_numpy(), candidates["part"].to_numpy(), nearest))
-        return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in got], [len(v) for _, v, _ in got]), "vec_id": np.concatenate([v for _, v, _ in got]), "score": np.concatenate([s for _, _, s in got])})
-
-    key = ["shelf", "column", "line"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+        got = list(best_in_tile(np.stack(queries["vec"].to_numpy()), queries["vec_id"].to_numpy(), allowed, points, numbers, part_of, nearest))
+        sizes = [len(v) for _, v, _ in got]
+        return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in got], sizes), "vec_id": np.concatenate([v for _, v, _ in got]),
+                             "score": np.concatenate([s for _, _, s in got]), "scored": np.repeat(queries["scored"].to_numpy(), sizes)})
+
+    key = ["shelf", "column"]
+    dealt = save(right, "ann-queries").union(left).repartition(*key).sortWithinPartitions(*key, "asks", "vec_id")
+    found = dealt.mapInPandas(search, "query_id long, vec_id long, score double, scored long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score", "scored")
