@@ -12,14 +12,16 @@ read the same characters from the same state, so the ids are those of the whole
 Encoding is that of the byte-level vocabulary file (a parameter), run by the rank
 encoder of the same merges; the file's special strings are cut out first, as its own library does.
 
-Defined results: null text counts as empty and gives no tokens; repeated rows give
-repeated results; an empty table gives an empty result; only doc_id and text are read.
+Defined results: null text counts as empty and gives no tokens; null ids stay null, repeated rows give
+repeated results; of special strings that start at one place the longest counts; a very long text is encoded chunk by chunk and its joins repaired
+in one task; an empty table gives an empty result; only doc_id and text are read, further columns of any name are left alone.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
+import json
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,31 +30,61 @@ from pyspark.sql import functions as F
 
 from ._common import build_filter, id_or_last, mix64, null_again, save
 
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 32  # characters that the rolling hash sees
 CUT_BITS = 9  # a cut every 512 characters on average
 SHORTEST = 64  # shorter chunks are encoded where they stand
-WIDTH = "<u2"  # ids of chunks travel as 16-bit words; the vocabulary has fewer than 65,536
 REACH = 4  # how far before its end a chunk's last pre-tokens may depend on what follows
-SPECIAL = {"<|endoftext|>": 50256}
 #: Byte-level pre-tokens, as the vocabulary was made with (fixed value of the format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Vocabulary(NamedTuple):
+    """What a vocabulary file says: ids of byte strings in the order of their merges, and of special strings."""
+
+    ranks: dict[bytes, int]
+    special: dict[str, int]
+
+    @property
+    def width(self) -> str:
+        """The type in which ids of chunks travel."""
+        return "<u2" if max([0, *self.ranks.values()]) < 1 << 16 else "<u4"
+
+
+def read_vocabulary(path: str) -> Vocabulary:
+    """A byte-level BPE file of the tokenizers library, whose ids follow the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, before = whole["model"], whole["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space") or whole["normalizer"]:
+        raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
+    # The format shows a byte as itself if it is a visible character of Latin-1, else as the next character from U+0100 on.
+    shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+    hidden = [b for b in range(256) if b not in shown]
+    of = {c: b for b, c in shown.items()} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+    ranks = {bytes(of[c] for c in token): number for token, number in model["vocab"].items() if token not in special}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or merged and merged[0] < len(of):
+        raise ValueError(f"the ids of {path} do not follow the order of its merges")
+    return Vocabulary(ranks, special)
+
+
 class Codec:
-    """The encoder and decoder that a task holds; made from a ranks file's bytes."""
+    """The encoder and decoder that a task holds."""
 
-    def __init__(self, ranks: bytes):
+    def __init__(self, vocabulary: Vocabulary):
         import regex
         import tiktoken
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.encoding = tiktoken.Encoding("corpus", pat_str=PRE_TOKEN, mergeable_ranks=table, special_tokens={})
+        self.vocabulary = vocabulary
+        self.encoding = tiktoken.Encoding("corpus", pat_str=PRE_TOKEN, mergeable_ranks=vocabulary.ranks, special_tokens={})
         self.encode = self.encoding.encode_ordinary
         self.pre_tokens = regex.compile(PRE_TOKEN)
-        self.special = regex.compile("|".join(map(regex.escape, SPECIAL)))
+        self.special_ids, self.width = vocabulary.special, vocabulary.width
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.special_ids, key=lambda x: (-len(x), x)))) or r"(?!)")
         self.bytes_of = self.encoding.decode_bytes
-        self.special_bytes = {i: s.encode() for s, i in SPECIAL.items()}
+        self.special_bytes = {i: s.encode() for s, i in self.special_ids.items()}
 
     def decode(self, ids: list[int]) -> str:
         if not self.special_bytes.keys() & set(ids):
@@ -67,14 +99,16 @@ class Codec:
         return b"".join([*parts, self.bytes_of(run)]).decode("utf-8", "replace")
 
 
-CODECS: dict[str, Codec] = {}
+CODECS: dict[int, Codec] = {}
 
 
-def codec(ranks: bytes) -> Codec:
-    key = hashlib.sha256(ranks).hexdigest()
-    if key not in CODECS:
-        CODECS[key] = Codec(ranks)
-    return CODECS[key]
+def codec(shipped) -> Codec:
+    """The codec of a broadcast vocabulary; a worker holds one at a time."""
+    vocabulary = shipped.value
+    if id(vocabulary) not in CODECS:
+        CODECS.clear()
+        CODECS[id(vocabulary)] = Codec(vocabulary)
+    return CODECS[id(vocabulary)]
 
 
 def cuts(text: str) -> list[int]:
@@ -97,13 +131,13 @@ def chunk_key(chunk: str) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def pieces(text: str, special) -> list[tuple[int, int, int | None]]:
+def pieces(text: str, c: Codec) -> list[tuple[int, int, int | None]]:
     """Ordinary stretches (start, end, None) and special strings (start, end, id) of ``text``, in order."""
-    if "<|" not in text:
+    if not any(s in text for s in c.special_ids):
         return [(0, len(text), None)]
     out, at = [], 0
-    for m in special.finditer(text):
-        out += [(at, m.start(), None), (*m.span(), SPECIAL[m.group()])]
+    for m in c.special.finditer(text):
+        out += [(at, m.start(), None), (*m.span(), c.special_ids[m.group()])]
         at = m.end()
     return [*out, (at, len(text), None)]
 
@@ -154,7 +188,7 @@ def join_chunks(text: str, known: dict[int, tuple[int, list[int]]], c: Codec) ->
 
 def encode_text(text: str, known: dict[int, tuple[int, list[int]]], c: Codec) -> list[int]:
     out: list[int] = []
-    for start, end, special in pieces(text, c.special):
+    for start, end, special in pieces(text, c):
         if special is not None:
             out.append(special)
         elif end > start:
@@ -165,7 +199,7 @@ def encode_text(text: str, known: dict[int, tuple[int, list[int]]], c: Codec) ->
 
 def chunks_of(text: str, c: Codec) -> list[tuple[int, int]]:
     """Spans of the chunks worth sharing."""
-    return [(start + a, start + b) for start, end, special in pieces(text, c.special) if special is None
+    return [(start + a, start + b) for start, end, special in pieces(text, c) if special is None
             for bounds in [cuts(text[start:end])] for a, b in zip(bounds, bounds[1:]) if b - a >= SHORTEST]
 
 
@@ -177,18 +211,17 @@ def digests(ids: list[int], c: Codec) -> tuple[int, str, str]:
 def vocabulary_file() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(RANKS)
+    return public_tokenizers.path(VOCABULARY)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for)."""
     spark = docs.sparkSession
-    with open(ranks_path or vocabulary_file(), "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())
+    words = spark.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_file()))
     texts = docs.select(id_or_last(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
-        c = codec(ranks.value)
+        c = codec(words)
         for batch in batches:
             found: dict[int, int] = {}
             for text in batch["text"]:
@@ -204,7 +237,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, with_ids: b
     def first_pass(batches):
         from pyspark import TaskContext
 
-        c, row = codec(ranks.value), TaskContext.get().partitionId() << 40
+        c, row = codec(words), TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -223,6 +256,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, with_ids: b
 
     marks = "array<struct<start:int,end:int,k1:long,k2:long>>"
     rows = save(texts.mapInPandas(first_pass, f"row long, doc_id long, text string, marks {marks}, {final}"), "bpe-rows")
+    shared.destroy()
     open_rows = rows.where("text is not null").select("row", "doc_id", "text", "marks")
 
     def contents(batches):
@@ -233,9 +267,9 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, with_ids: b
             yield pd.DataFrame([(*k, t) for k, t in found.items()], columns=["k1", "k2", "chunk"])
 
     def encode_chunks(batches):
-        c = codec(ranks.value)
+        c = codec(words)
         for batch in batches:
-            yield pd.DataFrame({"k1": batch["k1"], "k2": batch["k2"], "code": [np.asarray(c.encode(x), dtype="<u4").astype(WIDTH).tobytes() for x in batch["chunk"]]})
+            yield pd.DataFrame({"k1": batch["k1"], "k2": batch["k2"], "code": [np.asarray(c.encode(x), dtype="<u4").astype(c.width).tobytes() for x in batch["chunk"]]})
 
     once = open_rows.select("text", "marks").mapInPandas(contents, "k1 long, k2 long, chunk string").groupBy("k1", "k2").agg(F.min("chunk").alias("chunk"))
     codes = save(once.mapInPandas(encode_chunks, "k1 long, k2 long, code binary"), "bpe-codes")
@@ -243,16 +277,18 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, with_ids: b
     located = uses.join(codes, ["k1", "k2"]).groupBy("row").agg(F.collect_list(F.struct("start", "end", "code")).alias("known"))
 
     def assemble(batches):
-        c = codec(ranks.value)
+        c = codec(words)
         for batch in batches:
             out = []
             for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["known"], strict=True):
-                known = {m["start"]: (m["end"], np.frombuffer(m["code"], dtype=WIDTH).tolist()) for m in own}
+                known = {m["start"]: (m["end"], np.frombuffer(m["code"], dtype=c.width).tolist()) for m in own}
                 ids = encode_text(text, known, c)
                 out.append((doc_id, *digests(ids, c), ids if with_ids else None))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     assembled = open_rows.select("row", "doc_id", "text").join(located, "row").select("doc_id", "text", "known").mapInPandas(assemble, f"doc_id long, {final}")
+    assembled = save(assembled, "bpe-joined")
+    words.destroy()
     every = rows.where("text is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids").union(assembled)
     every = null_again(every, "doc_id")
     return every if with_ids else every.drop("ids")
