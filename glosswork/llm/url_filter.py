@@ -8,13 +8,15 @@ cascade holds the listed keys, level 2 the universe keys that level 1 wrongly ac
 level 3 the listed keys that level 2 wrongly accepts, and so on until nothing is
 wrongly accepted; the parity of the level at which a key is first refused then is its
 exact membership.  Judging a URL needs no join: the cascade is a few bit arrays whose
-size follows the rule list (level 1 takes about log2(universe / rules) bits a rule).
+size follows the rule list (level 1 takes about log2(universe / rules) bits a rule), never the corpus; the list and the keys that
+level 1 wrongly accepts, about as many, are all that the driver holds.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path, meet no
 rule and get the default verdict.  Of several rules that fit, the longest (host plus
 path) wins; between equally long ones the longer host, then ``block``.  A rule listed
 twice counts once, as ``block`` if either says so.  Repeated rows give repeated
-results, an empty table an empty result; further columns are not read.
+results, an empty table an empty result; a very long url is judged whole; a rule whose path does not start with ``/`` fits no url with a path;
+further columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -72,6 +74,7 @@ class Cascade:
 
     def __init__(self):
         self.levels: list[np.ndarray] = []
+        self.bits: list[int] = []
         self.hashes: list[int] = []
 
     @staticmethod
@@ -84,14 +87,16 @@ class Cascade:
     def add_level(self, a: np.ndarray, b: np.ndarray, rate: float) -> None:
         hashes = max(1, round(-np.log2(rate)))
         bits = max(64, int(np.ceil(1.4427 * hashes * max(1, len(a)))))
-        level = np.zeros(bits, dtype=bool)
-        level[self.positions(a, b, len(self.levels), hashes, bits).ravel()] = True
+        level = np.zeros(-(-bits // 8), dtype=np.uint8)
+        at = np.unique(self.positions(a, b, len(self.levels), hashes, bits).ravel())
+        np.bitwise_or.at(level, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         self.levels.append(level)
+        self.bits.append(bits)
         self.hashes.append(hashes)
 
     def accepted(self, a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
-        bits = self.levels[level]
-        return bits[self.positions(a, b, level, self.hashes[level], len(bits))].all(axis=1)
+        at = self.positions(a, b, level, self.hashes[level], self.bits[level])
+        return ((self.levels[level][(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).all(axis=1)
 
     def depth(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many levels in a row accept each key."""
@@ -140,6 +145,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
                 yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
     other_a, other_b = collected(hashed.mapInPandas(wrong, "a long, b long").distinct())
+    shipped.destroy()
     inside, outside = (listed_a, listed_b), (other_a, other_b)
     while len(outside[0]):
         if len(cascade.levels) > 64:
@@ -159,7 +165,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     blocked = {host + path for verdict, host, path in rules if verdict == "block"}
     allowed = {host + path for verdict, host, path in rules if verdict != "block"} - blocked
     lengths = sorted({len(path) for _, _, path in rules}) or [0]
-    host_length = {host + path: len(host) for _, host, path in sorted(rules)}
     parts = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
     universe = keyed.select(F.explode("keys").alias("key"))
@@ -175,11 +180,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
 
     member = F.pandas_udf(judge, "array<int>")
     judged = keyed.withColumn("found", member(F.transform("keys", lambda k: key_hash(k, 0)), F.transform("keys", lambda k: key_hash(k, 1))))
-    lengths_of = F.create_map(*[F.lit(x) for k, n in sorted(host_length.items()) for x in (k, n)]) if host_length else None
+    # A host holds no "/", so a key's path begins at its first.
     hits = F.filter(F.arrays_zip("keys", "found"), lambda x: x["found"] > 0)
     order = lambda x: F.struct(
         F.length(x["keys"]).alias("n"),
-        (F.element_at(lengths_of, x["keys"]) if lengths_of is not None else F.lit(0)).alias("h"),
+        F.length(F.substring_index(x["keys"], "/", 1)).alias("h"),
         x["found"].alias("found"), x["keys"].alias("key"))
     best = F.array_max(F.transform(hits, order))
     return judged.withColumn("best", best).select(
