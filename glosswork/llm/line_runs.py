@@ -1,25 +1,27 @@
-"""Line dedup over the suffix structure of line sequences.
+"""Line dedup over a suffix array of line sequences.
 
 The corpus is one sequence of line ids: all documents by doc_id, each one's lines that
-are not blank, a suffix ending with its document.  Distributed prefix doubling
-names, for h = 1, 2, 4, ..., the class of every suffix by its first h lines; the class of
-2h lines is named by the pair of classes at a position and h lines on.  A class's name
-is its smallest position, so a name below its own position tells of an earlier copy.
-A class of h lines is a longest-common-prefix interval of depth h; only suffixes whose
-class has several members go on, so doubling ends with the longest repeated run.
+are not blank.  Lines that occur once in the corpus are found by counting hashes and, through a filter of bounded
+size, never travel; a suffix runs to the next of these or to the end of its document.
 
-Later copies are deleted: a line goes if it lies in a run of at least ``MIN_LINES`` lines that
-also starts earlier, or if the line alone has at least ``MIN_WORDS`` words and occurs earlier.
-(Any length m is named by two overlapping classes of the largest power of two within m.)
+Distributed prefix doubling ranks the suffixes: after level j equal ranks mean equal first 2^j lines (or equal whole suffixes).  A rank is the
+number of smaller suffixes, so that a group that splits keeps the order of all others; only groups with several members that have not
+ended go on.  A group's parts are counted before they are ordered, so what is sorted is counts by (rank, next rank), never a group's members.
+Sorted by their last ranks the suffixes are a suffix array.  The longest common prefix of two neighbours there is read
+from their ranks by level: the highest level that agrees gives so many lines, then both go on behind these, until they differ.
 
-Lines that occur once in the corpus are found by counting hashes and, through a filter of bounded
-size, never travel.  Names are minima by key with partial aggregation, joined back by
-joins whose skewed partitions split.
+Neighbours that share at least ``MIN_LINES`` lines make an interval; its members start the same run, and all but the first in
+corpus order are later copies, whose lines go.  As every later part of a run starts a run itself, so go whole maximal
+runs.  A line alone goes if it has at least ``MIN_WORDS`` words and occurs earlier.
+
+Joins that bring ranks or intervals back to their members have plain tables on both sides, of which adaptive
+execution splits a hot one.
 
 Lines are compared without white space at their ends, by 128-bit hashes.  Defined
 results: null text is empty and has no lines; blank lines count in ``n_lines`` but
 are neither compared nor deleted; a null doc_id comes last; rows that repeat both doc_id and
-text are one document; an empty table gives an empty result; only doc_id and text are read.
+text are one document; of copies with one doc_id the smaller digest of the text comes first; a very long text is one row, its lines are
+ranked like all others; an empty table gives an empty result; only doc_id and text are read, further columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def lines_of(text: str) -> list[tuple[int, str]]:
 
 
 def line_sequence(docs: DataFrame) -> DataFrame:
-    """The repeated lines in corpus order: pos, stop (end of the document), h1, h2, words, and its document."""
+    """The documents in corpus order with their repeated lines: place, end of the suffix, number, h1, h2, words."""
     spark = docs.sparkSession
     texts = docs.select(id_or_last(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -74,11 +76,13 @@ def line_sequence(docs: DataFrame) -> DataFrame:
                 own = lines_of(text)
                 keys = [line_key(line) for _, line in own]
                 hit = repeated.value.test(np.array([k for k, _ in keys], dtype=np.int64).view(np.uint64))
-                marks = [(at, number, *key, len(line.split())) for at, ((number, line), key, h) in enumerate(zip(own, keys, hit, strict=True)) if h]
+                at = np.flatnonzero(hit)
+                ends = np.repeat(at[np.append(np.flatnonzero(np.diff(at) > 1), len(at) - 1)] + 1, np.diff(np.append(np.flatnonzero(np.diff(at, prepend=-2) > 1), len(at)))) if len(at) else at
+                marks = [(int(i), int(end), own[i][0], *keys[i], len(own[i][1].split())) for i, end in zip(at, ends, strict=True)]
                 out.append((doc_id, text_key(text), text.count("\n") + 1 if text else 0, len(own), marks))
             yield pd.DataFrame(out, columns=["doc_id", "digest", "n_lines", "n_full", "marks"])
 
-    mark_type = "array<struct<at:int,number:int,h1:long,h2:long,words:int>>"
+    mark_type = "array<struct<at:int,stop:int,number:int,h1:long,h2:long,words:int>>"
     marked = texts.mapInPandas(mark, f"doc_id long, digest binary, n_lines long, n_full long, marks {mark_type}")
     marked = marked.groupBy("doc_id", "digest").agg(*[F.min(c).alias(c) for c in ("n_lines", "n_full", "marks")])
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -96,58 +100,154 @@ def line_sequence(docs: DataFrame) -> DataFrame:
     return save(ordered.mapInPandas(place, f"doc_id long, digest binary, n_lines long, n_full long, marks {mark_type}, part int, base long"), "line-documents")
 
 
-def positions(placed: DataFrame) -> DataFrame:
-    """(pos, stop, h1, h2, words, number, doc_id, digest): offsets of the range partitions are added up on the driver, one number each."""
-    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n_full").alias("n")).collect()}
+def offsets_of(placed: DataFrame, value: str) -> DataFrame:
+    """(part, offset): sums of ``value`` over earlier range partitions, one number a partition, added up on the driver."""
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum(value).alias("n")).collect()}
     offset, rows = 0, []
     for part in sorted(sizes):
         rows.append((part, offset))
         offset += sizes[part]
-    offsets = placed.sparkSession.createDataFrame(rows, "part int, offset long")
-    based = placed.join(F.broadcast(offsets), "part").withColumn("start", F.col("base") + F.col("offset"))
-    return based.select("doc_id", "digest", "start", (F.col("start") + F.col("n_full")).alias("stop"), F.explode("marks").alias("m")).select(
-        (F.col("start") + F.col("m.at")).alias("pos"), "stop", "m.h1", "m.h2", "m.words", "m.number", "doc_id", "digest")
+    return F.broadcast(placed.sparkSession.createDataFrame(rows, "part int, offset long"))
 
 
-def named(keyed: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Classes by ``keys`` with several members, named by their smallest position: pos, stop, name."""
-    classes = keyed.groupBy(*keys).agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return save(keyed.join(classes, keys).select("pos", "stop", "name"), name)
+def positions(placed: DataFrame) -> DataFrame:
+    """(pos, rest, h1, h2, words, number, doc_id, digest) of the repeated lines; rest: lines to the end of the suffix."""
+    based = placed.join(offsets_of(placed, "n_full"), "part").withColumn("start", F.col("base") + F.col("offset"))
+    return based.select("doc_id", "digest", "start", F.explode("marks").alias("m")).select(
+        (F.col("start") + F.col("m.at")).alias("pos"), (F.col("m.stop") - F.col("m.at")).cast("long").alias("rest"), "m.h1", "m.h2", "m.words", "m.number", "doc_id", "digest")
 
 
-def pairs_at(level: DataFrame, shift: int, length: int) -> DataFrame:
-    """Suffixes of at least ``length`` lines with their class and that of ``shift`` lines on."""
-    on = level.select((F.col("pos") - shift).alias("pos"), F.col("name").alias("next"))
-    return level.where(F.col("pos") + length <= F.col("stop")).withColumnRenamed("name", "this").join(on, "pos")
+def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``before``, the sum of ``value`` over all rows that are smaller in ``order``; written to the shared folder."""
+    def add(batches):
+        from pyspark import TaskContext
 
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sums = total + np.concatenate([[0], np.cumsum(batch[value].to_numpy(dtype=np.int64))])
+            total = int(sums[-1])
+            yield batch.assign(part=part, before=sums[:-1])
+
+    schema = ", ".join(f"{n} {kind}" for n, kind in df.dtypes) + ", part int, before long"
+    summed = save(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(add, schema), name)
+    return summed.join(offsets_of(summed, value), "part").withColumn("before", F.col("before") + F.col("offset")).drop("part", "offset")
+
+
+def suffix_ranks(located: DataFrame) -> list[DataFrame]:
+    """The levels of prefix doubling: (pos, rest, rank, open, and at the first level, first: the class's smallest pos)."""
+    classes = located.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("rest").alias("longest"), F.min("pos").alias("first"))
+    classes = save(running(classes, ["h1", "h2"], "n", "line-classes"), "line-ranked")
+    go_on = (F.col("n") > 1) & (F.col("longest") > 1)
+    levels = [save(located.join(classes, ["h1", "h2"]).select("pos", "rest", F.col("before").alias("rank"), go_on.alias("open"), "first"), "line-level")]
+    h = 1
+    while levels[-1].where("open").limit(1).count():
+        now = None
+        for i, level in enumerate(levels):
+            settled = (level if i == len(levels) - 1 else level.where("not open")).select("pos", "rank")
+            now = settled if now is None else now.union(settled)
+        behind = now.select((F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
+        mine = levels[-1].where("open").select("pos", "rest", "rank")
+        # A suffix that has ended comes before those that go on.
+        keyed = save(mine.join(behind, "pos", "left").select("pos", "rest", "rank", F.when(F.col("rest") > h, F.col("next")).otherwise(-1).alias("next")), "line-keyed")
+        parts = keyed.groupBy("rank", "next").agg(F.count("*").alias("n"), F.max("rest").alias("longest"))
+        parts = running(parts, ["rank", "next"], "n", "line-parts")
+        starts = save(parts.groupBy("rank").agg(F.min("before").alias("start")), "line-starts")
+        h *= 2
+        parts = save(parts.join(starts, "rank").select(
+            "rank", "next", (F.col("rank") + F.col("before") - F.col("start")).alias("fresh"), ((F.col("n") > 1) & (F.col("longest") > h)).alias("open")), "line-split")
+        levels.append(save(keyed.join(parts, ["rank", "next"]).select("pos", "rest", F.col("fresh").alias("rank"), "open"), "line-level"))
+    return levels
+
+
+def neighbours(levels: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(suffix array: part, nth, pos; ranks: pos, rest, ranks by level), and in the array each suffix's neighbour before it that shares a line:
+    prev, prev_rest, prev_ranks."""
+    every = [level.select("pos", "rest", F.struct(F.lit(j).alias("j"), "rank").alias("r")) for j, level in enumerate(levels)]
+    union = every[0]
+    for level in every[1:]:
+        union = union.union(level)
+    ranks = union.groupBy("pos").agg(F.min("rest").alias("rest"), F.transform(F.array_sort(F.collect_list("r")), lambda r: r["rank"]).alias("ranks"))
+    ranks = save(ranks, "line-ranks")
+
+    def pair(batches):
+        from pyspark import TaskContext
 
-def repeated_runs(located: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(lines to delete: pos; longest doublings: pos, run) by prefix doubling."""
-    level, h = named(located.select("pos", "stop", "h1", "h2"), ["h1", "h2"], "line-level"), 1
-    again = level.where("name < pos").select("pos")
-    gone = located.where(F.col("words") >= min_words).select("pos").join(again, "pos", "left_semi")
-    longest = again.withColumn("run", F.lit(1).cast("long"))
+        part, nth, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            rows = batch[["pos", "rest", "ranks"]]
+            before = pd.concat([pd.DataFrame([last] if last else [(None, None, None)], columns=rows.columns), rows.iloc[:-1]], ignore_index=True)
+            near = np.array([b is not None and a[0] == b[0] for a, b in zip(rows["ranks"], before["ranks"], strict=True)], dtype=bool)
+            out = rows.reset_index(drop=True).assign(part=part, nth=np.arange(nth, nth + len(rows)))
+            out["prev"], out["prev_rest"] = (before[c].astype("Int64").where(near) for c in ("pos", "rest"))
+            out["prev_ranks"] = before["ranks"].where(near, None)
+            nth += len(rows)
+            if len(rows):
+                last = tuple(rows.iloc[-1])
+            yield out
+
+    order = [F.element_at("ranks", -1), F.col("pos")]
+    sorted_ = ranks.repartitionByRange(*order).sortWithinPartitions(*order)
+    array = save(sorted_.mapInPandas(pair, "pos long, rest long, ranks array<long>, part int, nth long, prev long, prev_rest long, prev_ranks array<long>"), "line-suffixes")
+    # The first suffix of a range partition: its neighbour is the last of the one before; two rows a partition come to the driver.
+    edge = F.struct("nth", "pos", "rest", "ranks")
+    edges = sorted(array.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).collect(), key=lambda r: r["part"])
+    rows = [(b["first"]["pos"], a["last"]["pos"], a["last"]["rest"], a["last"]["ranks"]) for a, b in zip(edges, edges[1:], strict=False) if a["last"]["ranks"][0] == b["first"]["ranks"][0]]
+    seam = F.broadcast(array.sparkSession.createDataFrame(rows, "pos long, seam long, seam_rest long, seam_ranks array<long>"))
+    whole = array.join(seam, "pos", "left").select(
+        "part", "nth", "pos", "rest", "ranks", *[F.coalesce(f"prev{x}", f"seam{x}").alias(f"prev{x}") for x in ("", "_rest", "_ranks")])
+    return whole, ranks
+
+
+def common_prefixes(array: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(pos, prev, lcp): how many lines each suffix shares with its neighbour in the suffix array, where these are any."""
+    start = array.where("prev is not null").select(
+        "pos", "prev", F.col("pos").alias("a"), F.col("rest").alias("a_rest"), F.col("ranks").alias("a_ranks"),
+        F.col("prev").alias("b"), F.col("prev_rest").alias("b_rest"), F.col("prev_ranks").alias("b_ranks"))
+    agree = F.size(F.filter(F.zip_with("a_ranks", "b_ranks", lambda x, y: x.eqNullSafe(y)), lambda same: same))
+    shared = F.when(F.col("agree") > 0, F.pow(F.lit(2.0), F.col("agree") - 1).cast("long")).otherwise(0)
+    found, open_ = [], start
     while True:
-        if h <= min_lines < 2 * h:
-            windows = level if h == min_lines else named(pairs_at(level, min_lines - h, min_lines), ["this", "next"], "line-run")
-            inside = F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1)))
-            gone = gone.union(windows.where("name < pos").select(inside.alias("pos")))
-        bigger = named(pairs_at(level, h, 2 * h), ["this", "next"], "line-level")
-        h *= 2
-        later = bigger.where("name < pos").select("pos").withColumn("run", F.lit(h).cast("long"))
-        longest = longest.union(later)
-        level = bigger
-        if not level.limit(1).count():
-            return gone.distinct(), longest
+        step = open_.withColumn("agree", agree).withColumn("shared", shared).withColumn("gain", F.least("shared", "a_rest", "b_rest"))
+        # Behind lines that agree both go on, unless one has ended.
+        step = step.withColumn("more", (F.col("gain") > 0) & (F.col("gain") < F.least("a_rest", "b_rest")))
+        step = save(step.select("pos", "prev", "gain", "more", (F.col("a") + F.col("gain")).alias("a"), (F.col("b") + F.col("gain")).alias("b")), "line-prefixes")
+        found.append(step.select("pos", "prev", "gain"))
+        again = step.where("more").select("pos", "prev", "a", "b")
+        if not again.limit(1).count():
+            break
+        side = lambda x: ranks.select(F.col("pos").alias(x), F.col("rest").alias(f"{x}_rest"), F.col("ranks").alias(f"{x}_ranks"))
+        open_ = again.join(side("a"), "a").join(side("b"), "b")
+    every = found[0]
+    for part in found[1:]:
+        every = every.union(part)
+    return save(every.groupBy("pos", "prev").agg(F.sum("gain").alias("lcp")), "line-lcp")
+
+
+def repeated_runs(located: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(lines to delete: pos; longest runs: pos, run - the most lines from there on that also stand elsewhere)."""
+    levels = suffix_ranks(located)
+    array, ranks = neighbours(levels)
+    lcp = common_prefixes(array, ranks)
+    placed = array.select("part", "nth", "pos").join(lcp.select("pos", "lcp"), "pos", "left")
+    placed = placed.select("part", "nth", "pos", F.when(F.coalesce("lcp", F.lit(0)) < min_lines, 1).otherwise(0).alias("cut"))
+    intervals = running(placed.withColumnRenamed("part", "block"), ["block", "nth"], "cut", "line-cuts").select("pos", (F.col("before") + F.col("cut")).alias("interval"))
+    intervals = save(intervals, "line-intervals")
+    firsts = save(intervals.groupBy("interval").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select("interval", "first"), "line-firsts")
+    later = intervals.join(firsts, "interval").where("pos <> first")
+    gone = later.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
+    again = levels[0].where("pos <> first").select("pos")
+    alone = located.where(F.col("words") >= min_words).select("pos").join(again, "pos", "left_semi")
+    runs = lcp.select("pos", "lcp").union(lcp.select("prev", "lcp")).groupBy("pos").agg(F.max("lcp").alias("run"))
+    return gone.union(alone).distinct(), runs
 
 
 def dedup_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: doc_id, digest, n_lines, n_removed, removed (line numbers from 0), longest (the largest
-    power of two lines that one of its runs shares with an earlier place)."""
+    """One row per document: doc_id, digest, n_lines, n_removed, removed (line numbers from 0), longest (the most lines in
+    a row that also stand at another place of the corpus, blank ones not counted)."""
     placed = line_sequence(docs)
     located = save(positions(placed), "line-positions")
     gone, longest = repeated_runs(located, min_lines, min_words)
-    lines = located.join(gone.withColumn("gone", F.lit(True)), "pos", "left").join(longest.groupBy("pos").agg(F.max("run").alias("run")), "pos", "left")
+    lines = located.join(gone.withColumn("gone", F.lit(True)), "pos", "left").join(longest, "pos", "left")
     key = [F.col("doc_id") == F.col("_id"), F.col("digest") == F.col("_digest")]
     found = lines.where("gone or run is not null").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
         F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("removed"), F.max("run").alias("longest"))
