@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import save
+from ._common import hash_sample, save
 
 MAX_SAMPLE, GRAPH_NEIGHBOURS, HIDDEN = 6_000, 16, 96
 LEARNED_FROM = 20  # sampled vectors a part, at least
@@ -205,7 +205,7 @@ def nearest_vectors(embeddings: DataFrame, nearest: int = NEAREST, query_every:
     spark = embeddings.sparkSession
     rows = usable(embeddings)
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).toPandas()
+    sample = hash_sample(rows, F.xxhash64("vec_id"), MAX_SAMPLE, n, "vec_id").toPandas()
     parts = parts or number_of_parts(n, len(sample))
     if len(sample) > max(4 * GRAPH_NEIGHBOURS, 4 * parts, nearest + 1):
         model, learned = learn(np.stack(sample["vec"].to_numpy()).astype(float), parts, nearest)

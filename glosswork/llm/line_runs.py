@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import build_filter, id_or_last, null_again, save
+from ._common import BROADCAST_ROWS, build_filter, id_or_last, null_again, save
 
 MIN_LINES, MIN_WORDS = 3, 10
 
@@ -139,29 +139,38 @@ def suffix_ranks(located: DataFrame) -> list[DataFrame]:
     classes = save(running(classes, ["h1", "h2"], "n", "line-classes"), "line-ranked")
     go_on = (F.col("n") > 1) & (F.col("longest") > 1)
     levels = [save(located.join(classes, ["h1", "h2"]).select("pos", "rest", F.col("before").alias("rank"), go_on.alias("open"), "first"), "line-level")]
-    h = 1
-    while levels[-1].where("open").limit(1).count():
+    h, n_open = 1, levels[0].where("open").count()
+    while n_open:
         now = None
         for i, level in enumerate(levels):
             settled = (level if i == len(levels) - 1 else level.where("not open")).select("pos", "rank")
             now = settled if now is None else now.union(settled)
         behind = now.select((F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
         mine = levels[-1].where("open").select("pos", "rest", "rank")
+        if n_open <= BROADCAST_ROWS:  # few suffixes go on: the ranks of all others stay where they are
+            behind = behind.join(F.broadcast(mine.select("pos")), "pos", "left_semi")
         # A suffix that has ended comes before those that go on.
-        keyed = save(mine.join(behind, "pos", "left").select("pos", "rest", "rank", F.when(F.col("rest") > h, F.col("next")).otherwise(-1).alias("next")), "line-keyed")
+        keyed = mine.join(behind, "pos", "left").select("pos", "rest", "rank", F.when(F.col("rest") > h, F.col("next")).otherwise(-1).alias("next"))
+        keyed = save(keyed, "line-keyed", n_open)
         parts = keyed.groupBy("rank", "next").agg(F.count("*").alias("n"), F.max("rest").alias("longest"))
         parts = running(parts, ["rank", "next"], "n", "line-parts")
-        starts = save(parts.groupBy("rank").agg(F.min("before").alias("start")), "line-starts")
+        starts = save(parts.groupBy("rank").agg(F.min("before").alias("start")), "line-starts", n_open)
         h *= 2
         parts = save(parts.join(starts, "rank").select(
-            "rank", "next", (F.col("rank") + F.col("before") - F.col("start")).alias("fresh"), ((F.col("n") > 1) & (F.col("longest") > h)).alias("open")), "line-split")
-        levels.append(save(keyed.join(parts, ["rank", "next"]).select("pos", "rest", F.col("fresh").alias("rank"), "open"), "line-level"))
+            "rank", "next", (F.col("rank") + F.col("before") - F.col("start")).alias("fresh"), ((F.col("n") > 1) & (F.col("longest") > h)).alias("open")), "line-split", n_open)
+        levels.append(save(keyed.join(parts, ["rank", "next"]).select("pos", "rest", F.col("fresh").alias("rank"), "open"), "line-level", n_open))
+        n_open = levels[-1].where("open").count()
     return levels
 
 
+def levels_shared(a, b) -> int:
+    """On how many levels two suffixes' ranks agree; if on one, then on all before."""
+    return sum(x == y for x, y in zip(a, b, strict=False))
+
+
 def neighbours(levels: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(suffix array: part, nth, pos; ranks: pos, rest, ranks by level), and in the array each suffix's neighbour before it that shares a line:
-    prev, prev_rest, prev_ranks."""
+    """(suffix array: part, nth, pos, rest, and of the neighbour before it that shares a line: prev, prev_rest and agree, the levels
+    on which their ranks agree; ranks: pos, rest, ranks by level)."""
     every = [level.select("pos", "rest", F.struct(F.lit(j).alias("j"), "rank").alias("r")) for j, level in enumerate(levels)]
     union = every[0]
     for level in every[1:]:
@@ -174,55 +183,59 @@ def neighbours(levels: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
 
         part, nth, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            rows = batch[["pos", "rest", "ranks"]]
-            before = pd.concat([pd.DataFrame([last] if last else [(None, None, None)], columns=rows.columns), rows.iloc[:-1]], ignore_index=True)
-            near = np.array([b is not None and a[0] == b[0] for a, b in zip(rows["ranks"], before["ranks"], strict=True)], dtype=bool)
-            out = rows.reset_index(drop=True).assign(part=part, nth=np.arange(nth, nth + len(rows)))
-            out["prev"], out["prev_rest"] = (before[c].astype("Int64").where(near) for c in ("pos", "rest"))
-            out["prev_ranks"] = before["ranks"].where(near, None)
-            nth += len(rows)
-            if len(rows):
-                last = tuple(rows.iloc[-1])
-            yield out
+            pos, rest, own = batch["pos"].tolist(), batch["rest"].tolist(), [x.tolist() for x in batch["ranks"]]
+            before = [last, *zip(pos, rest, own, strict=True)]
+            agree = [levels_shared(b[2], x) if b else 0 for b, x in zip(before, own, strict=False)]
+            near = [b if n else (None, None) for b, n in zip(before, agree, strict=False)]
+            yield pd.DataFrame({"pos": pos, "rest": rest, "part": part, "nth": np.arange(nth, nth + len(pos)), "agree": agree,
+                                "prev": pd.array([b[0] for b in near], dtype="Int64"), "prev_rest": pd.array([b[1] for b in near], dtype="Int64")})
+            last, nth = before[-1], nth + len(pos)
 
     order = [F.element_at("ranks", -1), F.col("pos")]
     sorted_ = ranks.repartitionByRange(*order).sortWithinPartitions(*order)
-    array = save(sorted_.mapInPandas(pair, "pos long, rest long, ranks array<long>, part int, nth long, prev long, prev_rest long, prev_ranks array<long>"), "line-suffixes")
+    array = save(sorted_.mapInPandas(pair, "pos long, rest long, part int, nth long, agree int, prev long, prev_rest long"), "line-suffixes")
     # The first suffix of a range partition: its neighbour is the last of the one before; two rows a partition come to the driver.
-    edge = F.struct("nth", "pos", "rest", "ranks")
-    edges = sorted(array.groupBy("part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).collect(), key=lambda r: r["part"])
-    rows = [(b["first"]["pos"], a["last"]["pos"], a["last"]["rest"], a["last"]["ranks"]) for a, b in zip(edges, edges[1:], strict=False) if a["last"]["ranks"][0] == b["first"]["ranks"][0]]
-    seam = F.broadcast(array.sparkSession.createDataFrame(rows, "pos long, seam long, seam_rest long, seam_ranks array<long>"))
+    ends = array.groupBy("part").agg(F.min_by("pos", "nth").alias("first"), F.max_by("pos", "nth").alias("last")).orderBy("part").collect()
+    wanted = array.sparkSession.createDataFrame([(r[x],) for r in ends for x in ("first", "last")], "pos long").distinct()
+    known = {r["pos"]: r for r in ranks.join(F.broadcast(wanted), "pos").collect()}
+    rows = [(b["first"], a["last"], known[a["last"]]["rest"], n) for a, b in zip(ends, ends[1:], strict=False)
+            for n in [levels_shared(known[a["last"]]["ranks"], known[b["first"]]["ranks"])] if n]
+    seam = F.broadcast(array.sparkSession.createDataFrame(rows, "pos long, seam long, seam_rest long, seam_agree int"))
     whole = array.join(seam, "pos", "left").select(
-        "part", "nth", "pos", "rest", "ranks", *[F.coalesce(f"prev{x}", f"seam{x}").alias(f"prev{x}") for x in ("", "_rest", "_ranks")])
+        "part", "nth", "pos", "rest", F.coalesce("seam_agree", "agree").alias("agree"), F.coalesce("prev", "seam").alias("prev"), F.coalesce("prev_rest", "seam_rest").alias("prev_rest"))
     return whole, ranks
 
 
 def common_prefixes(array: DataFrame, ranks: DataFrame) -> DataFrame:
     """(pos, prev, lcp): how many lines each suffix shares with its neighbour in the suffix array, where these are any."""
-    start = array.where("prev is not null").select(
-        "pos", "prev", F.col("pos").alias("a"), F.col("rest").alias("a_rest"), F.col("ranks").alias("a_ranks"),
-        F.col("prev").alias("b"), F.col("prev_rest").alias("b_rest"), F.col("prev_ranks").alias("b_ranks"))
+    open_ = array.where("prev is not null").select(
+        "pos", "prev", F.col("pos").alias("a"), F.col("rest").alias("a_rest"), F.col("prev").alias("b"), F.col("prev_rest").alias("b_rest"), "agree")
     agree = F.size(F.filter(F.zip_with("a_ranks", "b_ranks", lambda x, y: x.eqNullSafe(y)), lambda same: same))
     shared = F.when(F.col("agree") > 0, F.pow(F.lit(2.0), F.col("agree") - 1).cast("long")).otherwise(0)
-    found, open_ = [], start
+    side = lambda x: ranks.select(F.col("pos").alias(x), F.col("rest").alias(f"{x}_rest"), F.col("ranks").alias(f"{x}_ranks"))
+    found = []
     while True:
-        step = open_.withColumn("agree", agree).withColumn("shared", shared).withColumn("gain", F.least("shared", "a_rest", "b_rest"))
+        step = open_.withColumn("gain", F.least(shared, "a_rest", "b_rest"))
         # Behind lines that agree both go on, unless one has ended.
         step = step.withColumn("more", (F.col("gain") > 0) & (F.col("gain") < F.least("a_rest", "b_rest")))
         step = save(step.select("pos", "prev", "gain", "more", (F.col("a") + F.col("gain")).alias("a"), (F.col("b") + F.col("gain")).alias("b")), "line-prefixes")
         found.append(step.select("pos", "prev", "gain"))
         again = step.where("more").select("pos", "prev", "a", "b")
-        if not again.limit(1).count():
+        n = again.count()
+        if not n:
             break
-        side = lambda x: ranks.select(F.col("pos").alias(x), F.col("rest").alias(f"{x}_rest"), F.col("ranks").alias(f"{x}_ranks"))
-        open_ = again.join(side("a"), "a").join(side("b"), "b")
+        open_ = again.join(few(side("a"), again, "a", n), "a").join(few(side("b"), again, "b", n), "b").withColumn("agree", agree)
     every = found[0]
     for part in found[1:]:
         every = every.union(part)
     return save(every.groupBy("pos", "prev").agg(F.sum("gain").alias("lcp")), "line-lcp")
 
 
+def few(table: DataFrame, asked: DataFrame, key: str, n: int) -> DataFrame:
+    """``table``, or if few rows ask for it only what they ask for, found where it lies."""
+    return table.join(F.broadcast(asked.select(key).distinct()), key, "left_semi") if n <= BROADCAST_ROWS else table
+
+
 def repeated_runs(located: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lines to delete: pos; longest runs: pos, run - the most lines from there on that also stand elsewhere)."""
     levels = suffix_ranks(located)

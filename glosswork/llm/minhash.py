@@ -43,7 +43,7 @@ WORDS = 5
 SIMILARITY = 0.8
 COORDINATES, ROWS = 125, 5  # 25 bands of 5
 LEAST_AGREEMENT = 0.65
-TILE_ROWS, TILE_KEYS = 512, 500_000  # of each side of a tile: rows, shingles
+TILE_ROWS, TILE_KEYS = 256, 500_000  # of each side of a tile: rows, shingles
 VERIFY_AT_ONCE = 256  # pairs verified before classes are looked at anew, times 4 each turn
 SLICE = 1_000_000  # characters handled at once
 STRIPS = 250_000  # strips that throw their darts at once

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, save, small_batches, small_join
+from ._common import BROADCAST_ROWS, hash_sample, save, small_batches, small_join
 
 MAX_LABELLED = 20_000
 FEATURES = [
@@ -90,8 +90,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Classifier | None:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Classifier | None:
     """Fit on at most ``most`` labelled documents, chosen by a hash of doc_id."""
-    sample = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    sample = hash_sample(known, F.xxhash64("doc_id"), most, known.count(), "doc_id")
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def measure(batches):
