@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann_partitions import nearest_vectors
 from .bpe_chunks import encode_documents
 from .exact_dedup import duplicate_classes
+from .fill_middle import fim_digests
+from .filter_audit import audit
 from .html_extract import extract_pages
 from .line_runs import removed_lines
 from .minhash import near_classes
 from .mixing import sampled_rows
 from .quality import quality_scores
 from .sanitize import personal_data
+from .suffix_dedup import repeats_removed
 from .url_filter import filter_urls
 
 
@@ -60,6 +63,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,6 +86,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -100,5 +118,65 @@ WITH p AS (
   FROM p
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+""",
+    "op11_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+""",
+    "op13_filter_audit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM t
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN w.doc_id > first OR (w.doc_id IS NULL AND first IS NOT NULL) THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), m AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE b.c NOT IN (a.c) AND c.c NOT IN (a.c, b.c) AND d.c NOT IN (a.c, b.c, c.c) AND e.c NOT IN (a.c, b.c, c.c, d.c)
+), s AS (
+  SELECT filter_order, step, substr(filter_order, CAST(step AS INTEGER), 1) AS c, substr(filter_order, 1, CAST(step AS INTEGER) - 1) AS before FROM o, range(1, 6) r(step)
+), g AS (
+  SELECT part, filter_order, step, c,
+         sum(CASE WHEN length(translate(fails, before || c, '')) = length(fails) THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN contains(fails, c) AND length(translate(fails, before, '')) = length(fails) THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN contains(fails, c) AND length(translate(fails, before, '')) < length(fails) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = c THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN contains(fails, c) AND length(translate(fails, before, '')) = length(fails) THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN contains(fails, c) AND length(translate(fails, before, '')) = length(fails) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, c
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM g
 """,
 }
