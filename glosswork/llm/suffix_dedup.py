@@ -4,7 +4,8 @@ Spark deals the corpus's strings out so that equal ones meet, tasks sort them as
 
 1. The key of a string is the least hash of its ``GRAM``-byte parts.  Strings that follow one another mostly share a key; such a
    row of strings is one *piece* of text, cut out once.  Keys are counted by documents; only pieces whose key stands in several
-   documents go on (a filter of bounded size; what passes it without need costs time and changes nothing).
+   documents go on.  Up to ``FILTER_KEYS`` counted keys are a broadcast filter (what passes it without need costs time and changes
+   nothing); more of them meet the pieces' places in a shuffle join.
 2. Equal pieces are aggregated before they travel, whatever number of documents hold them, with the smallest doc_id.
 3. Distinct pieces meet by key, in blocks of some MB, each a text of its own.  Its suffix array is made by **two-stage sorting**: only
    suffixes smaller than their successors are sorted directly (to ``LENGTH`` bytes); a scan over the buckets of first bytes, smallest first, induces
@@ -38,6 +39,7 @@ from ._common import build_filter, drop_saved, id_or_last, mix64, null_again, sa
 LENGTH = 50
 MAX_RUN = 62  # strings of a piece; their verdicts are bits of a long
 STRETCH, BLOCK_BYTES = 1 << 20, 2 << 20
+FILTER_KEYS = 1 << 23  # at 8 bits a key and more
 MOST_PIECES = 20_000
 ROLL = 0x9E3779B97F4A7C15
 
@@ -271,32 +273,62 @@ def shared_keys(texts: DataFrame, length: int) -> DataFrame:
     return save(found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key"), "suffix-keys")
 
 
+CUT = "doc_id long, hash long, at long, strings int, key long"
+
+
 def cut_pieces(texts: DataFrame, length: int) -> DataFrame:
     """Every place of a piece whose key may stand in several documents: doc_id, hash, at, strings, key, piece, f1, f2."""
     keys = shared_keys(texts, length)
-    shared = texts.sparkSession.sparkContext.broadcast(build_filter(keys))
+    texts = texts.where(F.octet_length("text") >= length)
+    if keys.count() > FILTER_KEYS:
+        cuts = cut_joined(texts, keys, length)
+        cuts = save(cuts.select("*", *names(F.col("piece"))), "suffix-cuts")
+    else:
+        shared = texts.sparkSession.sparkContext.broadcast(build_filter(keys, 8 * FILTER_KEYS))
 
-    def cut(batches):
-        for batch in batches:
-            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = binary_column(batch.column(2))
-            for start, strings, key in pieces(data, offsets, length):
+        def cut(batches):
+            for ids, hashes, data, doc, at, start, strings, key in placed(batches, length):
                 hit = shared.value.test(key)
-                start, strings, key = start[hit], strings[hit], key[hit]
-                for a in range(0, len(start), 20_000):
-                    s, n = start[a:a + 20_000], strings[a:a + 20_000]
-                    doc = np.searchsorted(offsets, s, "right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(s - offsets[doc]), pa.array(n.astype(np.int32)), pa.array(key[a:a + 20_000].view(np.int64)), slices(data, s, n + length - 1)],
-                        names=["doc_id", "hash", "at", "strings", "key", "piece"])
-
-    cuts = texts.where(F.octet_length("text") >= length).mapInArrow(cut, "doc_id long, hash long, at long, strings int, key long, piece binary")
-    cuts = save(cuts.select("*", *names(F.col("piece"))), "suffix-cuts")
-    shared.destroy()
+                for a in range(0, int(hit.sum()), 20_000):
+                    own = np.flatnonzero(hit)[a:a + 20_000]
+                    columns = [ids[doc[own]], hashes[doc[own]], at[own], strings[own].astype(np.int32), key[own].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), slices(data, start[own], strings[own] + length - 1)], names=["doc_id", "hash", "at", "strings", "key", "piece"])
+
+        cuts = save(texts.mapInArrow(cut, f"{CUT}, piece binary").select("*", *names(F.col("piece"))), "suffix-cuts")
+        shared.destroy()
     drop_saved(keys)
     return cuts
 
 
+def placed(batches, length: int):
+    """By stretches of batches (doc_id, hash, text): ids, hashes, bytes, and of the pieces row, place in the document and in the bytes, strings, key."""
+    for batch in batches:
+        ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data, offsets = binary_column(batch.column(2))
+        for start, strings, key in pieces(data, offsets, length):
+            doc = np.searchsorted(offsets, start, "right") - 1
+            yield ids, hashes, data, doc, start - offsets[doc], start, strings, key
+
+
+def cut_joined(texts: DataFrame, keys: DataFrame, length: int) -> DataFrame:
+    """The pieces with one of ``keys``, by a join of their places, of which then those of a document are cut from its text."""
+    def places(batches):
+        for ids, hashes, _, doc, at, _, strings, key in placed(batches, length):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[doc], hashes[doc], at, strings.astype(np.int32), key.view(np.int64)))], names=["doc_id", "hash", "at", "strings", "key"])
+
+    def cut(batches):
+        for batch in batches:
+            for doc_id, digest, text, own in zip(batch["doc_id"], batch["hash"], batch["text"], batch["own"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                out = pd.DataFrame(list(own)).assign(doc_id=doc_id, hash=digest)
+                out["piece"] = [raw[a:a + n + length - 1] for a, n in zip(out["at"], out["strings"], strict=True)]
+                yield out[["doc_id", "hash", "at", "strings", "key", "piece"]]
+
+    found = texts.mapInArrow(places, CUT).join(keys, "key", "left_semi")
+    found = save(found.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("at", "strings", "key")).alias("own")), "suffix-places")
+    return texts.join(found, ["doc_id", "hash"]).select("doc_id", "hash", "text", "own").mapInPandas(cut, f"{CUT}, piece binary")
+
+
 def judge(distinct: DataFrame, length: int) -> DataFrame:
     """(f1, f2, low, bits) of the pieces (key, piece, low, high) that take bytes from any document."""
     def blocks(batches):

@@ -138,8 +138,9 @@ def passages(seed, n):
     return texts + [texts[0]] * 40 + [texts[1] + "!"] * 40
 
 
-@pytest.mark.parametrize("length,most,stretch,block", [(50, 20_000, 1 << 20, 2 << 20), (50, 3, 300, 500), (24, 0, 1000, 2000)])
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch, length, most, stretch, block):
+@pytest.mark.parametrize("length,most,stretch,block,keys", [(50, 20_000, 1 << 20, 2 << 20, 1 << 23), (50, 3, 300, 500, 0), (24, 0, 1000, 2000, 1 << 10)])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, length, most, stretch, block, keys):
+    monkeypatch.setattr(suffix_dedup, "FILTER_KEYS", keys)
     monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     texts = [*ODD, "x" * 49, "x" * 50, "y" * 51, *passages(3, 120)]
