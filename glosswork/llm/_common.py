@@ -167,8 +167,8 @@ def build_filter(keys: DataFrame, max_bits: int = MAX_FILTER_BITS) -> KeyFilter:
 
     words = np.zeros(bits // 64, dtype=np.uint64)
     with small_batches(spark):
-        got = keys.mapInPandas(set_bits, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
-    words[got["word"].to_numpy()] = got["value"].to_numpy(dtype=np.int64).view(np.uint64)
+        got = keys.mapInPandas(set_bits, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    words[got["word"].to_numpy()] = got["value"].to_numpy().astype(np.int64).view(np.uint64)
     return KeyFilter(words)
 
 
