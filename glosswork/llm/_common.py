@@ -45,24 +45,34 @@ def small_batches(spark: SparkSession):
     """Rows go to Python and back in small batches while a job runs: whatever the texts' lengths, an executor and its Python
     workers hold some MB of them at a time, and no large buffers stay with them."""
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
-    before = {key: spark.conf.get(key) for key in wanted}
+    with settings(spark, wanted):
+        yield
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings while a job runs."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def save(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors.
+    """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors.  The job's shuffle files go when it ends.
 
     ``most``: the most rows that it can have, if they are short and counted; they go to about a file for each 100,000.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
-    with small_batches(spark):
+    with small_batches(spark), settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         (df if most is None else packed(df, most)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path

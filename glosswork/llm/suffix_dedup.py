@@ -256,7 +256,7 @@ def names(piece: Column) -> list[Column]:
 
 
 def shared_keys(texts: DataFrame, length: int) -> DataFrame:
-    """Keys that stand in documents of different doc_id."""
+    """Keys that may stand in several documents: in two of one stretch, or in two stretches."""
     def count(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -267,22 +267,21 @@ def shared_keys(texts: DataFrame, length: int) -> DataFrame:
                 key, doc = key[order], doc[order]
                 head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 tail = np.append(head[1:], len(key)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(doc[head]), pa.array(doc[tail])], names=["key", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(np.where(doc[head] == doc[tail], 1, 2).astype(np.int64))], names=["key", "n"])
 
-    found = texts.where(F.octet_length("text") >= length).select("doc_id", "text").mapInArrow(count, "key long, low long, high long")
-    return save(found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key"), "suffix-keys")
+    found = texts.where(F.octet_length("text") >= length).select("doc_id", "text").mapInArrow(count, "key long, n long")
+    return save(found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "suffix-keys")
 
 
 CUT = "doc_id long, hash long, at long, strings int, key long"
 
 
 def cut_pieces(texts: DataFrame, length: int) -> DataFrame:
-    """Every place of a piece whose key may stand in several documents: doc_id, hash, at, strings, key, piece, f1, f2."""
+    """Every place of a piece whose key may stand in several documents: doc_id, hash, at, strings, key, piece."""
     keys = shared_keys(texts, length)
     texts = texts.where(F.octet_length("text") >= length)
     if keys.count() > FILTER_KEYS:
-        cuts = cut_joined(texts, keys, length)
-        cuts = save(cuts.select("*", *names(F.col("piece"))), "suffix-cuts")
+        cuts = save(cut_joined(texts, keys, length), "suffix-cuts")
     else:
         shared = texts.sparkSession.sparkContext.broadcast(build_filter(keys, 8 * FILTER_KEYS))
 
@@ -294,7 +293,7 @@ def cut_pieces(texts: DataFrame, length: int) -> DataFrame:
                     columns = [ids[doc[own]], hashes[doc[own]], at[own], strings[own].astype(np.int32), key[own].view(np.int64)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), slices(data, start[own], strings[own] + length - 1)], names=["doc_id", "hash", "at", "strings", "key", "piece"])
 
-        cuts = save(texts.mapInArrow(cut, f"{CUT}, piece binary").select("*", *names(F.col("piece"))), "suffix-cuts")
+        cuts = save(texts.mapInArrow(cut, f"{CUT}, piece binary"), "suffix-cuts")
         shared.destroy()
     drop_saved(keys)
     return cuts
@@ -378,7 +377,7 @@ def covered(cuts: DataFrame, length: int, most_pieces: int) -> DataFrame:
         found = found.union(save(judge_alone(distinct.join(small(hot), "key", "left_semi"), length), "suffix-alone"))
     else:
         found = save(judge(distinct, length), "suffix-judged")
-    places = cuts.select("doc_id", "hash", "at", "strings", "f1", "f2").join(found, ["f1", "f2"])
+    places = cuts.select("doc_id", "hash", "at", "strings", *names(F.col("piece"))).join(found, ["f1", "f2"])
     all_bits = F.expr("shiftleft(1L, strings) - 1")
     places = places.select("doc_id", "hash", "at", "strings", F.when(F.col("doc_id") > F.col("low"), all_bits).otherwise(F.col("bits")).alias("bits")).where("bits <> 0")
     out = save(places.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("at", "strings", "bits")).alias("cover")), "suffix-cover")
