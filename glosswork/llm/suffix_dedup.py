@@ -40,7 +40,7 @@ LENGTH = 50
 MAX_RUN = 62  # strings of a piece; their verdicts are bits of a long
 STRETCH, BLOCK_BYTES = 1 << 20, 2 << 20
 FILTER_KEYS = 1 << 23  # at 8 bits a key and more
-MOST_PIECES = 20_000
+MOST_PIECES = 4_000
 ROLL = 0x9E3779B97F4A7C15
 
 
@@ -373,15 +373,18 @@ def covered(cuts: DataFrame, length: int, most_pieces: int) -> DataFrame:
     distinct = save(distinct.select("key", "piece", "low", "high", *names(F.col("piece"))), "suffix-pieces")
     hot = save(distinct.groupBy("key").count().where(F.col("count") > most_pieces).select("key"), "suffix-hot")
     if hot.limit(1).count():
-        found = save(judge(distinct.join(small(hot), "key", "left_anti"), length), "suffix-judged")
-        found = found.union(save(judge_alone(distinct.join(small(hot), "key", "left_semi"), length), "suffix-alone"))
+        judged = [save(judge(distinct.join(small(hot), "key", "left_anti"), length), "suffix-judged"), save(judge_alone(distinct.join(small(hot), "key", "left_semi"), length), "suffix-alone")]
+        found = judged[0].union(judged[1])
     else:
-        found = save(judge(distinct, length), "suffix-judged")
+        judged = [save(judge(distinct, length), "suffix-judged")]
+        found = judged[0]
+    drop_saved(distinct)
     places = cuts.select("doc_id", "hash", "at", "strings", *names(F.col("piece"))).join(found, ["f1", "f2"])
     all_bits = F.expr("shiftleft(1L, strings) - 1")
     places = places.select("doc_id", "hash", "at", "strings", F.when(F.col("doc_id") > F.col("low"), all_bits).otherwise(F.col("bits")).alias("bits")).where("bits <> 0")
     out = save(places.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("at", "strings", "bits")).alias("cover")), "suffix-cover")
-    drop_saved(distinct)
+    for table in judged:
+        drop_saved(table)
     return out
 
 
