@@ -7,7 +7,6 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from glosswork.operators import phrase_table as pt
 from glosswork.operators.store import PhraseStore, Translator
 from glosswork.sources.moses import datasets_path, scan
 
@@ -21,14 +20,14 @@ def ask(prompt: str) -> str | None:
 def translate_menu(store: PhraseStore, debug: bool) -> None:
     source, target = ask("source language [en]: "), ask("target language [pt_BR]: ")
     source, target = source or "en", target or "pt_BR"
-    if not pt.has_pair(store.table(), source, target):
+    if not store.has_pair(source, target):
         print("no translations for this pair")
         return
-    translator = Translator(store.table())
+    translator = Translator(store.lookup())
     while (line := ask("> ")) not in (None, ""):
         print(translator.translate_text(line, source, target))
         if debug:
-            print(*translator.trace(line, source, target), translator.statistics, sep="\n")
+            print(*translator.last_trace(), translator.statistics, sep="\n")
 
 
 def import_menu(store: PhraseStore, directory: str) -> None:

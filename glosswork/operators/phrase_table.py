@@ -199,14 +199,25 @@ def pairs_found(table: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(there, ["source_lang", "target_lang"], "left").select("source_lang", "target_lang", F.coalesce("there", F.lit(False)).alias("found"))
 
 
+def count_by_pair(table: DataFrame) -> DataFrame:
+    """source_lang, target_lang, translation_count, total_frequency."""
+    return table.groupBy("source_lang", "target_lang").agg(F.count("*").alias("translation_count"), F.sum("frequency").cast("bigint").alias("total_frequency"))
+
+
 def table_summary(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("translation_count"), F.coalesce(F.sum("frequency"), F.lit(0)).cast("bigint").alias("total_frequency"))
 
 
-def pair_summary(table: DataFrame) -> DataFrame:
-    """The first ``PAIR_LIMIT`` language pairs with counts and a line to print (fixed format)."""
-    sums = table.groupBy("source_lang", "target_lang").agg(F.count("*").alias("translation_count"), F.sum("frequency").cast("bigint").alias("total_frequency"))
+def summary_of_pairs(pairs: DataFrame) -> DataFrame:
+    """:func:`table_summary` from the counts by language pair."""
+    return pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("translation_count", "total_frequency")])
+
+
+def pair_lines(pairs: DataFrame) -> DataFrame:
+    """The first ``PAIR_LIMIT`` of counted language pairs with a line to print (fixed format)."""
     line = F.format_string("%s -> %s (%d pares, frequência %d)", "source_lang", "target_lang", "translation_count", "total_frequency")
-    return sums.withColumn("line", line).orderBy("source_lang", "target_lang").limit(PAIR_LIMIT)
+    return pairs.withColumn("line", line).orderBy("source_lang", "target_lang").limit(PAIR_LIMIT)
 
 
+def pair_summary(table: DataFrame) -> DataFrame:
+    return pair_lines(count_by_pair(table))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.lang import is_language_token, normalize_language
 from glosswork.functions.text import trim_all
+from glosswork.sources.aligned import aligned_files
 
 MIN_SIZE, MAX_RATIO = 8, 10.0
 FIRST_LINE_BYTES = 1024
@@ -20,7 +21,7 @@ ENVIRONMENT = "GLOSSWORK_DATASETS_PATH"
 
 
 class MisalignedError(ValueError):
-    """One of two aligned files has more lines than the other; nothing has been imported."""
+    """One of two aligned files has more lines than the other."""
 
 
 class ResumeError(ValueError):
@@ -129,13 +130,16 @@ def misalignment(source: DataFrame, target: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("aligned", F.col("source_lines") == F.col("target_lines"))
 
 
-def read_pair(spark: SparkSession, source_file: str, target_file: str, source_lang: str, target_lang: str, resume: int = 0) -> DataFrame:
-    """Aligned lines of two files; raises before anything is written if they do not align or end before ``resume``."""
-    source, target = read_lines(spark, source_file), read_lines(spark, target_file)
-    facts = misalignment(source, target).first()
-    if resume > min(facts["source_lines"], facts["target_lines"]):
-        raise ResumeError(f"cannot resume at line {resume} of {min(facts['source_lines'], facts['target_lines'])}")
-    if not facts["aligned"]:
-        raise MisalignedError(f"{source_file} has {facts['source_lines']} lines, {target_file} has {facts['target_lines']}")
-    lines = zip_lines(source, target).where(F.col("line_no") >= resume)
+def in_languages(lines: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
+    """Numbered line pairs as an import wants them."""
     return lines.select(F.lit(source_lang).alias("source_lang"), F.lit(target_lang).alias("target_lang"), "line_no", "source_raw", "target_raw")
+
+
+def read_pair(spark: SparkSession, source_file: str, target_file: str, source_lang: str, target_lang: str, resume: int = 0) -> DataFrame:
+    """Aligned lines of two files; raises if they do not align or end before ``resume``."""
+    files = aligned_files(spark, source_file, target_file)
+    if resume > min(files.lengths):
+        raise ResumeError(f"cannot resume at line {resume} of {min(files.lengths)}")
+    if files.lengths[0] != files.lengths[1]:
+        raise MisalignedError(f"{source_file} has {files.lengths[0]} lines, {target_file} has {files.lengths[1]}")
+    return in_languages(files.lines(resume), source_lang, target_lang)
