@@ -9,6 +9,7 @@ exactly afterwards, so results never depend on the filter's size.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 
 import numpy as np
@@ -16,10 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import shared
+
 MAX_FILTER_BITS = 1 << 28  # 32 MiB, the most that a broadcast filter may take
 FILTER_HASHES = 4
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20  # of the rows that Python gets at once
 NULL_ID = (1 << 63) - 1
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("llm_scratch", default=None)
 BROADCAST_ROWS = 200_000  # a table of counted rows above this is joined by a shuffle
 
 
@@ -65,15 +69,30 @@ def settings(spark: SparkSession, wanted: dict[str, str]):
                 spark.conf.set(key, value)
 
 
-def save(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """All that :func:`save` and the numbering write inside goes when the block ends, but for what is saved to stay."""
+    where = f"{work_dir(spark)}/llm-{uuid.uuid4().hex}"
+    token = _scratch.set(where)
+    try:
+        with shared.scratch(spark):
+            yield
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save(df: DataFrame, name: str, most: int | None = None, stay: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors.  The job's shuffle files go when it ends.
 
     ``most``: the most rows that it can have, if they are short and counted; they go to about a file for each 100,000.
+    ``stay``: outlives a :func:`scratch`.  ``codec``: the files' compression, if not the session's.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
+    path = f"{stay and work_dir(spark) or _scratch.get() or work_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
     with small_batches(spark), settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        (df if most is None else packed(df, most)).write.parquet(path)
+        (df if most is None else packed(df, most)).write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

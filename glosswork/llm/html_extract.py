@@ -8,11 +8,11 @@ and ids dropped.  Votes are added up by host and path in Spark; a host's winning
 its pages voted for.  In a second pass each page's text is taken from the containers at
 the winning path; a page that lacks it, or finds nothing there, uses its own best one.
 
-What is boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) is decided in three ways.
+What is boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) is decided so.
 Scripts, styles and hidden elements never show text.  Elements made for boilerplate, and those whose class, id or role names it, are
-only suspects: the largest suspect is cleared, with all it holds but further suspects, as long as the page's text outside of suspects is less
-than ``CLEARED`` of the suspect's own, so that a wrapper is never left out for its class.  And the host tells: a block of text that stands
-in ``RECURS`` of the distinct texts that voted for one path of a host (``LEAST_TEXTS`` at least) is left out.
+only suspects, and go unless the page would lose its text: a suspect that wraps the page's only article, main or first heading is cleared (unless its name
+says comments, footer, notice or advert), and if no running text at all is left outside of suspects, the largest one is.  Clearing one leaves the
+suspects inside it suspects.  However long a thread of comments is, it never outweighs an article.  Nothing else is dropped.
 
 Character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined in page order by a blank line.
@@ -20,17 +20,17 @@ trimmed and joined in page order by a blank line.
 Defined results: null or empty html gives the empty text; a page without a container
 counts its whole body as one; null urls share the empty host; ties between paths go to
 the longer path, then to the smaller string; ties between suspects and between containers go to the one that comes first; repeated rows give
-repeated results and count once among a host's texts; a very long or deeply nested page is read in time linear in its length; an
-empty table gives an empty result; only the named columns are read, further columns of any name are left alone.
+repeated results and a vote each; a tag whose quoted value never ends is taken to end at the next ``>``, as are all later ones of that page; a very long or
+deeply nested page is read in time linear in its length; an empty table gives an empty result; only the named columns are read, further columns of any name are left alone.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import html as references
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +56,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 HIDES = {"li": {"ul", "ol", "menu", "table", "td", "th"}, "dt": {"dl", "table", "td", "th"}, "dd": {"dl", "table", "td", "th"}, "option": {"select", "datalist"}} | dict.fromkeys(("tr", "td", "th", "tbody", "tfoot"), {"table"})
 P_SCOPE = frozenset(("p", "td", "th", "table", "button", "caption"))
 LISTED = frozenset().union(*CLOSES.values(), *HIDES.values())
+#: Elements that show where an article is, and names that no wrapper of one has.
+HEADS = frozenset("article main h1".split())
+NEVER_WRAP = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion footer cookie cookies consent gdpr notice notices "
+    "newsletter subscribe comment comments replies disqus discussion respond recommended recommendations pagination pager copyright".split())
 #: Names in a class, id or role that make a suspect.  A name counts as a whole or as a part between hyphens and the like, but not beside
 #: a part of ``MODIFIERS``, which says something of the element that has it (has-sidebar, comments-open, entry-header).
 NAMES = frozenset(
@@ -64,8 +69,9 @@ NAMES = frozenset(
     "overlay newsletter subscribe signup login search comment comments replies disqus discussion respond related recommended recommendations share sharing "
     "social widget widgets pagination pager skip hidden complementary contentinfo dialog copyright legal disclaimer tags".split())
 MODIFIERS = frozenset("has no with without is not open closed enabled disabled entry post article story content main page body".split())
-CLEARED, RECURS, LEAST_TEXTS = 0.1, 0.9, 10
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)|[^<]++|<", re.S)
+#: The rest of a tag; a quote opens a value only behind an equals sign.
+REST = re.compile(r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+)[^>=]*+)*+>")
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
@@ -76,17 +82,30 @@ PARTS = re.compile(r"[^a-z]+")
 @functools.lru_cache(4096)
 def suspicious(marks: str) -> bool:
     """Whether a class, id or role names boilerplate."""
+    return bool(named(marks))
+
+
+@functools.lru_cache(4096)
+def named(marks: str) -> frozenset[str]:
+    """The names of boilerplate in a class, id or role."""
+    found: set[str] = set()
     for name in GLUE.sub("-", marks).lower().split():
         parts = set(PARTS.split(name))
-        if parts & NAMES and not parts & MODIFIERS:
-            return True
-    return False
+        if not parts & MODIFIERS:
+            found |= parts & NAMES
+    return frozenset(found)
 
 
 @functools.lru_cache(4096)
 def step_of(tag: str, marks: str) -> str:
+    """Tag and classes without digits; what separates steps of a path is escaped."""
     classes = ".".join(sorted({DIGITS.sub("", x) for x in marks.split()} - {""})[:3])
-    return f"{tag}.{classes}" if classes else tag
+    return (f"{tag}.{classes}" if classes else tag).replace("%", "%25").replace("/", "%2F")
+
+
+@functools.lru_cache(64)
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}[\s/>]", re.I)
 
 
 class Node:
@@ -105,8 +124,9 @@ class Node:
 def parse(page: str) -> Node:
     """A light tree of ``page``, already judged; text children are strings with references decoded."""
     root = Node("html", "", False, None)
-    stack, paragraphs, listed, open_ = [root], [], [], {}
-    at, n = 0, len(page)
+    stack, paragraphs, open_ = [root], [], {}
+    depths: dict[str, list[int]] = {tag: [] for tag in LISTED}  # of the open elements of these tags in the stack
+    at, n, broken, unclosed = 0, len(page), False, set()
 
     def close(node: Node) -> None:
         """Close open elements up to ``node``."""
@@ -118,8 +138,8 @@ def parse(page: str) -> Node:
         open_[x.tag] -= 1
         if paragraphs and paragraphs[-1] is x:
             paragraphs.pop()
-        if listed and listed[-1] is x:
-            listed.pop()
+        if x.tag in LISTED:
+            depths[x.tag].pop()
 
     while at < n:
         m = TOKEN.match(page, at)
@@ -132,7 +152,10 @@ def parse(page: str) -> Node:
             elif piece.startswith("<![CDATA["):
                 here.children.append(piece[9:].removesuffix("]]>"))
             continue
-        tag = tag.lower()
+        end = None if broken else REST.match(page, at)
+        broken = broken or end is None
+        start, at = at, end.end() if end else page.find(">", at) + 1 or n
+        tag, rest = tag.lower(), page[start:at - 1] if page[at - 1] == ">" else page[start:at]
         if m.group(1):
             if open_.get(tag):
                 while stack[-1].tag != tag:
@@ -146,17 +169,14 @@ def parse(page: str) -> Node:
         if tag in CLOSES_P and paragraphs and paragraphs[-1].tag == "p":
             close(paragraphs[-1])
         if tag in CLOSES:
-            last, i = None, len(listed) - 1
-            while i >= 0 and listed[i].tag not in HIDES[tag]:
-                if listed[i].tag in CLOSES[tag]:
-                    last = listed[i]
-                i -= 1
-            if last is not None:
-                close(last)
+            hidden = max((depths[x][-1] for x in HIDES[tag] if depths[x]), default=-1)
+            behind = [depths[x][i] for x in CLOSES[tag] for i in (bisect_right(depths[x], hidden),) if i < len(depths[x])]
+            if behind:
+                close(stack[min(behind)])
         if tag == "body" and stack[-1].tag == "head":
             close(stack[-1])
         here = stack[-1]
-        marks, unseen, rest = [], False, m.group(3)
+        marks, unseen = [], False
         if rest and rest.strip(" /"):
             for a in ATTRIBUTE.finditer(rest):
                 name, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
@@ -167,15 +187,17 @@ def parse(page: str) -> Node:
         node = Node(tag, " ".join(marks), unseen, here)
         here.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            end = None if tag in unclosed else raw_end(tag).search(page, at)
+            if end is None:
+                unclosed.add(tag)
             at = n if end is None else page.find(">", end.start()) + 1 or n
         elif tag not in VOID and (tag in BLOCKS or not rest.endswith("/")):
-            stack.append(node)
             open_[tag] = open_.get(tag, 0) + 1
             if tag in P_SCOPE:
                 paragraphs.append(node)
             if tag in LISTED:
-                listed.append(node)
+                depths[tag].append(len(stack))
+            stack.append(node)
     judge(root)
     return root
 
@@ -203,29 +225,37 @@ def judge(root: Node) -> None:
     around: dict[int, Node] = {id(root): root}  # the nearest suspect, or the root, that holds an element or is it
     inner: dict[int, list[Node]] = {}
     number: dict[int, int] = {}
+    heads: dict[int, bool] = {}  # whether a suspect, or the root, holds a head that no suspect in it hides
     for i, x in enumerate(order[1:]):
         up = around[id(x.parent)]
         around[id(x)] = x if x.suspect else up
         if x.suspect:
             number[id(x)] = i
             inner.setdefault(id(up), []).append(x)
+        if x.tag in HEADS and x.text > 0:
+            heads[id(around[id(x)])] = True
     whole: dict[int, int] = {}
+    wraps: dict[int, bool] = {}
     for x in reversed(order):  # a suspect's text with that of suspects in it
         if x.suspect:
             whole[id(x)] = max(0, x.text - 2 * x.links) + sum(whole[id(y)] for y in inner.get(id(x), ()))
+            may = x.tag not in ("footer", "nav") and not named(x.marks) & NEVER_WRAP
+            wraps[id(x)] = may and (heads.get(id(x), False) or any(wraps[id(y)] for y in inner.get(id(x), ())))
+    headed = heads.get(id(root), False)
 
     def found(x: Node) -> None:
         for y in inner.get(id(x), ()):
-            heapq.heappush(heap, (-whole[id(y)], number[id(y)], y))
+            heapq.heappush(heap, (not wraps[id(y)], -whole[id(y)], number[id(y)], y))
 
     found(root)
     while heap:
-        size, _, x = heapq.heappop(heap)
-        if outside >= CLEARED * -size:
+        _, size, _, x = heapq.heappop(heap)
+        if not (wraps[id(x)] and not headed or outside == 0 and size < 0):
             x.skip = True
             continue
         x.suspect = False
         outside += max(0, x.text - 2 * x.links)
+        headed = headed or heads.get(id(x), False)
         found(x)
 
 
@@ -247,24 +277,23 @@ def walk(node: Node):
         stack += [c for c in reversed(x.children) if isinstance(c, Node) and not c.skip]
 
 
-def blocks(container: Node) -> list[tuple[str, str]]:
-    """The cleaned text blocks of a container in page order, each with the step of the element that holds it."""
+def blocks(container: Node) -> list[str]:
+    """The cleaned text blocks of a container in page order."""
     out, run, open_ = [], [], [container]
 
     def close():
         text = SPACE.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
-            out.append((step_of(open_[-1].tag, open_[-1].marks), text))
+            out.append(text)
 
     stack: list = [iter(container.children)]
     while stack:
         child = next(stack[-1], None)
         if child is None:
             stack.pop()
-            if open_[-1].tag in BLOCKS:
+            if open_.pop().tag in BLOCKS:
                 close()
-            open_.pop()
         elif isinstance(child, str):
             run.append(child)
         elif child.tag == "br":
@@ -274,7 +303,6 @@ def blocks(container: Node) -> list[tuple[str, str]]:
                 close()
             stack.append(iter(child.children))
             open_.append(child)
-    open_.append(container)
     close()
     return out
 
@@ -340,22 +368,10 @@ def widened(best: Node, texts: list[Node]) -> Node:
     return line[most]
 
 
-def block_key(step: str, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{step}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def ballot(page: str | None) -> tuple[str | None, int, list[int]]:
-    """(generalised path of the page's best container, key of its text, keys of its blocks); no path for a page without text."""
-    best = best_container(parse(page or ""))
-    found = blocks(best)
-    if not found:
-        return None, 0, []
-    path = path_of(best)
-    return path, block_key("", "\n\n".join(t for _, t in found)), sorted({block_key(s, t) for s, t in found})
-
-
 def vote(page: str | None) -> str | None:
-    return ballot(page)[0]
+    """The generalised path of the page's best container; none for a page without text."""
+    best = best_container(parse(page or ""))
+    return path_of(best) if blocks(best) else None
 
 
 def at_path(root: Node, path: str) -> list[Node]:
@@ -375,15 +391,14 @@ def at_path(root: Node, path: str) -> list[Node]:
     return out
 
 
-def extract(page: str | None, winning: str | None, recurring=()) -> tuple[str, str | None]:
-    """(text, path used) of a page, from the containers at the winning path, without the host's recurring blocks."""
-    root, known = parse(page or ""), set(recurring) if recurring is not None else set()
+def extract(page: str | None, winning: str | None) -> tuple[str, str | None]:
+    """(text, path used) of a page, from the containers at the winning path."""
+    root = parse(page or "")
     found, path = [b for x in at_path(root, winning) for b in blocks(x)] if winning is not None else [], winning
     if not found:
         best = best_container(root)
         found, path = blocks(best), path_of(best)
-    kept = [t for s, t in found if not known or block_key(s, t) not in known]
-    return "\n\n".join(kept or [t for _, t in found]), path
+    return "\n\n".join(found), path
 
 
 def above(node: Node):
@@ -394,12 +409,9 @@ def above(node: Node):
 
 
 def ballots(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """host, path (voted for), text and blocks (keys) of every page that has text."""
-    def poll(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([ballot(p) for p in pages], columns=["path", "text", "blocks"])
-
-    got = pages.select(url_host(F.col(url_col)).alias("host"), F.pandas_udf(poll, "path string, text long, blocks array<long>")(html_col).alias("got"))
-    return got.select("host", "got.*").where("path is not null")
+    """host and path (voted for) of every page that has text."""
+    poll = F.pandas_udf(lambda pages: pd.Series([vote(p) for p in pages], dtype=object), "string")
+    return pages.select(url_host(F.col(url_col)).alias("host"), poll(html_col).alias("path")).where("path is not null")
 
 
 def host_paths(cast: DataFrame) -> DataFrame:
@@ -413,28 +425,14 @@ def winners(votes: DataFrame) -> DataFrame:
     return votes.groupBy("host").agg(best.alias("best")).select("host", F.col("best.path").alias("winning"), F.col("best.votes").alias("votes"))
 
 
-def recurring_blocks(cast: DataFrame) -> DataFrame:
-    """host, path and the keys of the blocks that stand in ``RECURS`` of the distinct texts of that path.
-
-    Texts and blocks are counted in partial sums by key; a list is no longer than one page's blocks / ``RECURS``.
-    """
-    own = ["host", "path"]
-    once = save(cast.groupBy(*own, "text").agg(F.min("blocks").alias("blocks")), "host-texts")
-    sizes = save(once.groupBy(*own).agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS), "host-sizes")
-    counts = save(once.select(*own, F.explode("blocks").alias("key")).groupBy(*own, "key").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS * LEAST_TEXTS), "host-blocks")
-    return counts.join(sizes, own).where(F.col("n") >= RECURS * F.col("texts")).groupBy(*own).agg(F.collect_list("key").alias("recurring"))
-
-
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, path (the container used)."""
-    cast = save(ballots(pages), "host-ballots")
-    won = winners(host_paths(cast)).withColumnRenamed("winning", "path").join(recurring_blocks(cast), ["host", "path"], "left")
-    won = save(won.select(F.col("host").alias("_host"), F.col("path").alias("winning"), "recurring"), "host-paths")
+    won = save(winners(host_paths(ballots(pages))).select(F.col("host").alias("_host"), "winning"), "host-paths")
     asked = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("_host"))
     joined = small_join(asked, won, ["_host"], "left", won.count())
 
-    def run(text: pd.Series, winning: pd.Series, recurring: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(t, None if pd.isna(w) else w, r) for t, w, r in zip(text, winning, recurring, strict=True)], columns=["text", "path"])
+    def run(text: pd.Series, winning: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([extract(t, None if pd.isna(w) else w) for t, w in zip(text, winning, strict=True)], columns=["text", "path"])
 
-    got = joined.select("page_id", "url", F.pandas_udf(run, "text string, path string")("html", "winning", "recurring").alias("got"))
+    got = joined.select("page_id", "url", F.pandas_udf(run, "text string, path string")("html", "winning").alias("got"))
     return got.select("page_id", "url", "got.text", F.length("got.text").cast("long").alias("n_chars"), "got.path")

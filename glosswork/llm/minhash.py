@@ -455,18 +455,21 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, k: int = COORDINATE
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns; rows without doc_id stay.
+    """One document of each class, with all its columns, of any names; rows without doc_id stay.
 
-    Where ids repeat, documents are told apart by doc_id and text, numbered in this order.
+    Where ids repeat, documents are told apart by doc_id and text, numbered in this order; of rows that repeat both the one with the smallest hash stays.
     """
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        gone = near_classes(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    rows = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_sha": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
-    numbers = save(number_rows(rows.select("_id", "_sha").distinct(), ["_id", "_sha"], name="_no"), "near-numbers")
-    rows = save(rows.join(numbers, ["_id", "_sha"]), "near-numbered")
-    gone = near_classes(rows.select(F.col("_no").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = rows.join(gone, rows["_no"] == gone["_gone"], "left_anti")
-    tie = F.xxhash64(*[name for name, kind in docs.dtypes if "map<" not in kind])
-    one = left.groupBy("_no").agg(F.min_by(F.struct(*docs.columns), tie).alias("_row")).select("_row.*")
-    return one.union(docs.where("doc_id is null"))
+    text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    # A row travels as one struct beside its keys, so that no column's name can clash.
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("sha"))
+    if not rows.groupBy("id").count().where("count > 1").limit(1).count():
+        gone = near_classes(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone"))
+        one = rows.join(gone, rows["id"] == gone["gone"], "left_anti")
+    else:
+        numbers = save(number_rows(rows.select("id", "sha").distinct(), ["id", "sha"], name="no"), "near-numbers")
+        rows = save(rows.join(numbers, ["id", "sha"]), "near-numbered")
+        gone = near_classes(rows.select(F.col("no").alias("doc_id"), F.col("row")["text"].alias("text"))).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+        left = rows.join(gone, rows["no"] == gone["gone"], "left_anti")
+        tie = F.xxhash64(*[F.col("row")[name] for name, kind in docs.dtypes if "map<" not in kind])
+        one = left.groupBy("no").agg(F.min_by("row", tie).alias("row"))
+    return one.select("row.*").union(docs.where("doc_id is null"))

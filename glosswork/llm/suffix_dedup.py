@@ -281,7 +281,7 @@ def cut_pieces(texts: DataFrame, length: int) -> DataFrame:
     keys = shared_keys(texts, length)
     texts = texts.where(F.octet_length("text") >= length)
     if keys.count() > FILTER_KEYS:
-        cuts = save(cut_joined(texts, keys, length), "suffix-cuts")
+        cuts = save(cut_joined(texts, keys, length), "suffix-cuts", codec="zstd")
     else:
         shared = texts.sparkSession.sparkContext.broadcast(build_filter(keys, 8 * FILTER_KEYS))
 
@@ -293,7 +293,7 @@ def cut_pieces(texts: DataFrame, length: int) -> DataFrame:
                     columns = [ids[doc[own]], hashes[doc[own]], at[own], strings[own].astype(np.int32), key[own].view(np.int64)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), slices(data, start[own], strings[own] + length - 1)], names=["doc_id", "hash", "at", "strings", "key", "piece"])
 
-        cuts = save(texts.mapInArrow(cut, f"{CUT}, piece binary"), "suffix-cuts")
+        cuts = save(texts.mapInArrow(cut, f"{CUT}, piece binary"), "suffix-cuts", codec="zstd")
         shared.destroy()
     drop_saved(keys)
     return cuts

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import pathlib
 import random
 import re
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from glosswork.llm._common import work_dir
 from glosswork.llm import bpe_chunks, mixing, quality
 
 from .test_operators import brute_classes, sentences
@@ -30,7 +32,11 @@ def test_stages(spark):
         after = kept.count()
         assert 0 < after <= before, name
         docs, before = kept.persist(), after
+    shared = pathlib.Path(work_dir(spark).removeprefix("file:"))
+    there = set(shared.rglob("*.parquet"))
     last = corpus_pipeline.run(spark, folder)
+    left = {f.parent.name for f in set(shared.rglob("*.parquet")) - there}
+    assert len(left) == 1 and left.pop().endswith("-stage-encoding")
     assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == before
     assert corpus_pipeline.run(spark, folder).exceptAll(last).count() == 0
 
