@@ -1,8 +1,8 @@
 """The corpus pipeline: stages of the corpus operators, each on what the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
-stage's rows to the shared folder and gives them to the next.  All stages but the last
-return the columns of documents.
+stage's rows to the shared folder and gives them to the next; what a stage wrote on its way, and the rows of the stage before, go
+then, so that only the result's files are left.  All stages but the last return the columns of documents.
 
 Defined results are those of the operators' modules: null texts are empty; a null doc_id is
 a document of its own in the near-duplicate stage; an empty table passes through.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswork.llm._common import save
+from glosswork.llm._common import drop_saved, save, scratch
 from glosswork.llm.bpe_chunks import encode_documents
 from glosswork.llm.exact_dedup import deduplicate
 from glosswork.llm.minhash import keep_one_each
@@ -58,7 +58,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            kept = save(stage(spark, docs, sf_dir), f"stage-{name}", stay=True)
+        drop_saved(docs)
+        docs = kept
     return docs
 
 
