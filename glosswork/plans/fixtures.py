@@ -5,12 +5,15 @@ Literal rows are plain tuples, so that queries and their SQL share them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.functions.text import normalize_for_lookup, normalize_whitespace, split_sentences
+from glosswork.functions.text import normalize_for_lookup, normalize_whitespace, split_sentences, words
 from glosswork.operators.numbering import number_rows
-from glosswork.operators.phrase_table import bidirectional, import_pairs
+from glosswork.operators.phrase_table import KEY, bidirectional, import_pairs, with_ids
+from glosswork.operators.shared import shared_folder
 
 TARGETS = ["de", "es", "fr"]
 
@@ -60,7 +63,7 @@ FILES = [
     ("Half.en-es.en", 50, "x"), ("Tiny.en-fr.en", 7, "x"), ("Tiny.en-fr.fr", 8, "y"), ("Blank.en-fr.en", 80, "   "), ("Blank.en-fr.fr", 80, "y"), ("Wrong.en-fr.de", 80, "x"), ("Same.en-en.en", 80, "x"),
     ("nodots", 80, "x"), ("Case.en-fr.EN", 80, "x"), ("Case.en-fr.fr", 80, "x"), (".en-fr.en", 80, "x"), ("Bad.e1-fr.fr", 80, "x"), ("Long.eng-por_BR.eng", 80, "x"), ("Long.eng-por_BR.por_BR", 90, "x"),
 ]
-ZIP_LEFT, ZIP_RIGHT = ["one", "two", "three", "four"], ["um", "dois", "três"]
+LINES_A_FILE = 50_000
 
 
 def literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -119,7 +122,43 @@ def unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("line_no", normalize_for_lookup(normalize_whitespace("source_raw")).alias("source_text"), normalize_whitespace("target_raw").alias("translated_text"), "source_lang", "target_lang")
 
 
-def small_table(spark: SparkSession) -> DataFrame:
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language codes in many spellings, from the documents' languages and sources, and the literal ones: id, n, code."""
+    docs = table(spark, sf_dir, "documents")
+    made = F.array("lang", F.upper("lang"), F.concat_ws("-", "lang", F.upper("lang")), F.concat_ws("_", "lang", "source"), F.concat(F.lit(" "), "lang", F.lit("-")), F.col("source"), F.concat_ws("-", F.lit("pt"), "lang"))
+    lit = literal(spark, CODES, "code string").select((-F.col("i") - 1).cast("bigint").alias("id"), F.lit(0).alias("n"), "code")
+    return docs.select(F.col("doc_id").alias("id"), F.posexplode(made).alias("n", "code")).union(lit)
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with aligned files of the parallel lines, ``LINES_A_FILE`` lines each: docs0.en-de.en beside docs0.en-de.de, and so on."""
+    lines = parallel_lines(spark, sf_dir).withColumn("part", F.floor((F.col("line_no") - 1) / LINES_A_FILE))
+    sides = F.explode(F.array(*[F.struct(F.col(f"{side}_lang").alias("language"), F.col(f"{side}_raw").alias("value")) for side in ("source", "target")])).alias("s")
+    named = lines.select(F.format_string("docs%d.en-%s", "part", "target_lang").alias("pair"), "line_no", sides).select(F.concat_ws(".", "pair", "s.language").alias("file"), "line_no", "s.value")
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    # A file is one task's, of bounded length; its only part is then given the file's name.
+    named.repartition("file").sortWithinPartitions("file", "line_no").select("file", "value").write.partitionBy("file").text(f"{folder}/parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for made in fs.listStatus(path(f"{folder}/parts")):
+        if made.isDirectory():
+            name = made.getPath().getName().removeprefix("file=")
+            part = next(f.getPath() for f in fs.listStatus(made.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(part, path(f"{folder}/{name}"))
+    fs.delete(path(f"{folder}/parts"), True)
+    return folder.removeprefix("file://") if folder.startswith("file:") else folder
+
+
+def small_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that the benchmark's sentences begin with, and the literal table: from English to Brazilian Portuguese."""
+    own = table(spark, sf_dir, "benchmark").select(F.explode(split_sentences(F.col("text"))).alias("s")).select(words(F.col("s")).alias("w"))
+    phrases = own.select(F.explode(F.array(*[F.array_join(F.slice("w", a, n), " ") for a, n in ((1, 1), (1, 2), (2, 3))])).alias("source_text")).where("source_text <> ''")
+    counted = phrases.groupBy("source_text").agg(F.count("*").alias("frequency")).select(
+        "source_text", F.concat(F.lit("x"), "source_text").alias("translated_text"), F.lit("en").alias("source_lang"), F.lit("pt_BR").alias("target_lang"), "frequency")
+    return with_ids(counted, KEY, 100).union(literal_table(spark))
+
+
+def literal_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TABLE, "id bigint, source_text string, translated_text string, source_lang string, target_lang string, frequency bigint")
 
 

@@ -232,8 +232,14 @@ cands AS (SELECT {keys}, CAST(pos AS INTEGER) AS pos, CAST(len AS INTEGER) AS le
   UNION ALL SELECT {keys}, CAST(pos AS INTEGER), CAST(len AS INTEGER), CAST(1 AS INTEGER), array_to_string(short, ' ') FROM shorts WHERE len(short) >= 2 AND len(short) < len)"""
 
 
+FILES = f"""{PARALLEL}, filed AS (SELECT 'docs' || CAST((line_no - 1) // {fx.LINES_A_FILE} AS VARCHAR) AS corpus, target_lang AS target, (line_no - 1) % {fx.LINES_A_FILE} AS n, source_raw, target_raw FROM parallel),
+sides AS (SELECT corpus || '.en-' || target || '.en' AS file_name, n, source_raw AS line FROM filed UNION ALL SELECT corpus || '.en-' || target || '.' || target, n, target_raw FROM filed),
+f AS (SELECT file_name, CAST(sum(strlen(line) + 1) AS BIGINT) AS size, arg_min(line, n) AS first_line FROM sides GROUP BY file_name
+  UNION ALL SELECT file_name, size, first_line FROM {values(fx.FILES, 'file_name, size, first_line')})"""
+
+
 def listing(more: str = "") -> str:
-    return f"WITH f AS (SELECT * FROM {values(fx.FILES, 'file_name, size, first_line')}){more}"
+    return f"WITH {FILES}{more}"
 
 
 TOKEN = "'^[A-Za-z]{2,3}(_[A-Za-z0-9]{2,8})?$'"
@@ -242,13 +248,26 @@ e AS (SELECT *, p[len(p)] AS language, p[len(p) - 1] AS lang_pair, array_to_stri
 g AS (SELECT *, split_part(lang_pair, '-', 1) AS src, substr(lang_pair, strpos(lang_pair, '-') + 1) AS tgt FROM e WHERE strpos(lang_pair, '-') > 0),
 h AS (SELECT * FROM g WHERE corpus_name <> '' AND regexp_matches(language, {TOKEN}) AND regexp_matches(src, {TOKEN}) AND regexp_matches(tgt, {TOKEN}) AND language IN (src, tgt))"""
 READABLE = f"(size >= 8 AND {trim('first_line')} <> '')"
-ZIP = f"WITH a AS (SELECT i AS line_no, v AS value FROM {values(fx.ZIP_LEFT, 'v')}), b AS (SELECT i AS line_no, v AS value FROM {values(fx.ZIP_RIGHT, 'v')})"
-LEGACY = f"WITH t AS (SELECT * FROM {values(fx.LEGACY, KEY)})"
-SMALL = f"""small AS (SELECT id, source_text, translated_text, source_lang, target_lang, frequency FROM (VALUES {', '.join('(' + ', '.join(q(c) for c in r) + ')' for r in fx.TABLE)}) AS v(id, {KEY}, frequency)),
+CODES = f"""c0 AS (SELECT doc_id, [lang, upper(lang), concat_ws('-', lang, upper(lang)), concat_ws('_', lang, source), ' ' || lang || '-', source, concat_ws('-', 'pt', lang)] AS l FROM documents),
+codes AS (SELECT doc_id AS id, CAST(unnest(range(0, len(l))) AS INTEGER) AS n, unnest(l) AS code FROM c0 UNION ALL SELECT -i - 1, 0, code FROM {values(fx.CODES, 'code')})"""
+
+
+def spelt(x: str) -> str:
+    return f"CASE length(translated_text) % 3 WHEN 0 THEN upper({x}) WHEN 1 THEN {x} || '-at' ELSE {x} END"
+
+
+LEGACY = f"""WITH {IMPORTED}, t AS (SELECT source_text, translated_text, {spelt('source_lang')} AS source_lang, {spelt('target_lang')} AS target_lang FROM imported
+  UNION ALL SELECT {KEY} FROM {values(fx.LEGACY, KEY)})"""
+SMALL = f"""bs AS (SELECT item_id AS id, {seg_list('text')} AS l FROM benchmark), bt AS (SELECT id, unnest(range(0, len(l))) AS seg, unnest(l) AS text FROM bs),
+bw AS (SELECT {words('text')} AS w FROM bt), bp AS (SELECT unnest([array_to_string(w[1:1], ' '), array_to_string(w[1:2], ' '), array_to_string(w[2:4], ' ')]) AS p FROM bw),
+bc AS (SELECT p, count(*) AS n FROM bp WHERE p <> '' GROUP BY p),
+small AS (SELECT id, source_text, translated_text, source_lang, target_lang, frequency FROM (VALUES {', '.join('(' + ', '.join(q(c) for c in r) + ')' for r in fx.TABLE)}) AS v(id, {KEY}, frequency)
+  UNION ALL SELECT 100 + row_number() OVER (ORDER BY p), p, 'x' || p, 'en', 'pt_BR', n FROM bc),
 best AS (SELECT source_text AS candidate, translated_text AS translation FROM small WHERE source_lang = 'en' AND target_lang = 'pt_BR' QUALIFY {BEST})"""
-SMALL_INPUTS = f"ins AS (SELECT CAST(i AS INTEGER) AS i, {words('text')} AS words FROM {values(fx.INPUTS, 'text')})"
+SMALL_PARTS = f"(SELECT id, seg, text FROM bt UNION ALL SELECT -i - 1, 0, text FROM {values(fx.INPUTS, 'text')})"
+SMALL_INPUTS = f"ins AS (SELECT id, seg, {words('text')} AS words FROM {SMALL_PARTS})"
 TRACE = "row_number() OVER (PARTITION BY {keys}, pos ORDER BY len DESC, variant) = 1"
-SMALL_TRACE = f"WITH {SMALL}, {SMALL_INPUTS}, {candidate_sql('ins', 'i')}, trace AS (SELECT i, pos, len, variant, candidate AS matched, translation FROM cands JOIN best USING (candidate) QUALIFY {TRACE.format(keys='i')})"
+SMALL_TRACE = f"WITH {SMALL}, {SMALL_INPUTS}, {candidate_sql('ins', 'id, seg')}, trace AS (SELECT id, seg, pos, len, variant, candidate AS matched, translation FROM cands JOIN best USING (candidate) QUALIFY {TRACE.format(keys='id, seg')})"
 ABBREVIATION = rf"(?i)(^|[\t-\r ])(mr|mrs|ms|dr|prof|sr|jr|etc|e\.g|i\.e|vs)({EDGE}*)\."
 
 
@@ -340,19 +359,21 @@ ORACLE_SQL = {
         CASE WHEN i <= len(m) AND NOT ends_with(w, m[i]) THEN w || m[i] ELSE w END), ' ') END AS marked""", f", t AS (SELECT id, pos, {MARKS} AS m FROM texts)", "t"),
     "wrappers": text_sql(f"{opening('text')} AS leading, {closing('text')} AS trailing"),
     "import_key": "SELECT page_id, sha256(url || '|' || url || '.b|en|pt_BR') AS import_key FROM pages",
-    "lang_normalize": f"SELECT CAST(i AS INTEGER) AS i, {canonical('code')} AS canonical FROM {values(fx.CODES, 'code')}",
-    "lang_variants": f"""WITH c AS (SELECT i, {canonical('code')} AS c, lower(translate({trim('code')}, '-', '_')) AS l FROM {values(fx.CODES, 'code')})
-SELECT CAST(i AS INTEGER) AS i, CASE WHEN c = '' THEN '' ELSE array_to_string(list_concat([c], CASE WHEN l <> c THEN [l] ELSE [] END, CASE WHEN c = 'pt_BR' THEN list_filter(['pt_br', 'pt'], lambda v: v <> l) ELSE [] END), '|') END AS variants FROM c""",
-    "lang_token_valid": f"SELECT CAST(i AS INTEGER) AS i, regexp_matches(code, {TOKEN}) AS valid FROM {values(fx.CODES, 'code')}",
-    "dataset_parse_name": f"{listing(PARSED)} SELECT CAST(i AS INTEGER) AS i, corpus_name, lang_pair, language FROM h",
-    "dataset_readable": f"{listing()} SELECT CAST(i AS INTEGER) AS i, {READABLE} AS readable FROM f",
-    "dataset_coherent": f"{listing()} SELECT CAST(a.i AS INTEGER) AS a, (least(a.size, b.size) >= 8 AND CAST(greatest(a.size, b.size) AS DOUBLE) / least(a.size, b.size) <= 10.0) AS coherent FROM f a JOIN f b ON a.i = b.i + 1",
+    "lang_normalize": f"WITH {CODES} SELECT id, n, {canonical('code')} AS canonical FROM codes",
+    "lang_variants": f"""WITH {CODES}, c AS (SELECT id, n, {canonical('code')} AS c, lower(translate({trim('code')}, '-', '_')) AS l FROM codes)
+SELECT id, n, CASE WHEN c = '' THEN '' ELSE array_to_string(list_concat([c], CASE WHEN l <> c THEN [l] ELSE [] END, CASE WHEN c = 'pt_BR' THEN list_filter(['pt_br', 'pt'], lambda v: v <> l) ELSE [] END), '|') END AS variants FROM c""",
+    "lang_token_valid": f"WITH {CODES} SELECT id, n, regexp_matches(code, {TOKEN}) AS valid FROM codes",
+    "dataset_parse_name": f"{listing(PARSED)} SELECT file_name, corpus_name, lang_pair, language FROM h",
+    "dataset_readable": f"{listing()} SELECT file_name, CAST(size AS BIGINT) AS size, {READABLE} AS readable FROM f",
+    "dataset_coherent": f"""{listing()}, k AS (SELECT *, array_to_string(string_split(file_name, '.')[1:2], '.') AS pair FROM f)
+SELECT a.file_name AS a, b.file_name AS b, (least(a.size, b.size) >= 8 AND CAST(greatest(a.size, b.size) AS DOUBLE) / least(a.size, b.size) <= 10.0) AS coherent FROM k a JOIN k b USING (pair)""",
     "dataset_scan": f"""{listing(PARSED)}, ok AS (SELECT * FROM h WHERE {READABLE})
-SELECT s.corpus_name, {canonical('s.src')} AS source_language, {canonical('s.tgt')} AS target_language, '/d/' || s.file_name AS source_file, '/d/' || t.file_name AS target_file
+SELECT s.corpus_name, {canonical('s.src')} AS source_language, {canonical('s.tgt')} AS target_language, s.file_name AS source_file, t.file_name AS target_file
 FROM ok s JOIN ok t ON s.corpus_name = t.corpus_name AND s.lang_pair = t.lang_pair AND s.language = s.src AND t.language = t.tgt AND s.src <> s.tgt
 WHERE CAST(greatest(s.size, t.size) AS DOUBLE) / least(s.size, t.size) <= 10.0""",
-    "moses_zip": f"{ZIP} SELECT CAST(a.line_no AS BIGINT) AS line_no, a.value AS source_raw, b.value AS target_raw FROM a JOIN b USING (line_no)",
-    "moses_misaligned": f"{ZIP} SELECT x AS source_lines, y AS target_lines, x = y AS aligned FROM (SELECT count(*) AS x FROM a), (SELECT count(*) AS y FROM b)",
+    "moses_zip": f"WITH {FILES} SELECT corpus AS corpus_name, target AS target_language, CAST(n AS BIGINT) AS line_no, source_raw, target_raw FROM filed",
+    "moses_misaligned": f"""WITH {FILES}, n AS (SELECT corpus, target, count(*) AS lines FROM filed GROUP BY ALL)
+SELECT a.corpus AS corpus_name, a.target AS source_of, b.target AS target_language, a.lines AS source_lines, b.lines AS target_lines, a.lines = b.lines AS aligned FROM n a JOIN n b USING (corpus)""",
     "bidirectional_pairs": f"WITH {PARALLEL} SELECT * FROM raw_pairs",
     "filter_len": f"WITH {FILTER_INPUTS} SELECT kind, id, pos, (text = '' OR {bad_length('text')}) AS hit FROM inputs1",
     **{f"filter_{n}": f"WITH {FILTER_INPUTS} SELECT kind, id, pos, {has('text', p)} AS hit FROM inputs1" for n, p in TECHNICAL.items()},
@@ -364,10 +385,11 @@ WHERE CAST(greatest(s.size, t.size) AS DOUBLE) / least(s.size, t.size) <= 10.0""
     "cleanup_broken": f"WITH {FILTER_INPUTS}, p AS (SELECT *, {pieces('text')} AS ps FROM inputs2) SELECT kind, id, pos, {broken('text', 'ps')} AS hit FROM p",
     "filter_same": f"""WITH {PARALLEL} SELECT target_lang, line_no, ({norm('source_raw')} <> '' AND {norm('source_raw')} = {norm('target_raw')}) AS hit FROM parallel
 UNION ALL SELECT 'lit', i, ({norm('source')} <> '' AND {norm('source')} = {norm('target')}) FROM {values(fx.PAIRS, 'source, target')}""",
-    "import_pair_rules": f"""WITH c AS (SELECT i, {ws('source')} AS s, {ws('target')} AS t FROM {values(fx.PAIRS, 'source, target')}), p AS (SELECT *, {pieces('s')} AS ps, {pieces('t')} AS pt FROM c)
-SELECT CAST(i AS INTEGER) AS i, NOT {rejected('s', 't', 'ps', 'pt')} AS valid FROM p""",
-    "cleanup_pair_rules": f"""WITH p AS (SELECT i, source AS s, target AS t, {pieces('source')} AS ps, {pieces('target')} AS pt FROM {values(fx.STORED, 'source, target')})
-SELECT CAST(i AS INTEGER) AS i, {invalid('s', 't', 'ps', 'pt')} AS invalid FROM p""",
+    "import_pair_rules": f"""WITH {PARALLEL}, c AS (SELECT target_lang, line_no, {ws('source_raw')} AS s, {ws('target_raw')} AS t FROM
+  (SELECT target_lang, line_no, source_raw, target_raw FROM parallel UNION ALL SELECT 'lit', i, source, target FROM {values(fx.PAIRS, 'source, target')})), p AS (SELECT *, {pieces('s')} AS ps, {pieces('t')} AS pt FROM c)
+SELECT target_lang, line_no, NOT {rejected('s', 't', 'ps', 'pt')} AS valid FROM p""",
+    "cleanup_pair_rules": f"""WITH {UNFILTERED}, c AS (SELECT source_lang, target_lang, line_no, source_text AS s, translated_text AS t FROM unfiltered UNION ALL SELECT 'lit', 'lit', i, source, target FROM {values(fx.STORED, 'source, target')}),
+p AS (SELECT *, {pieces('s')} AS ps, {pieces('t')} AS pt FROM c) SELECT source_lang, target_lang, line_no, {invalid('s', 't', 'ps', 'pt')} AS invalid FROM p""",
     "import_pipeline": f"WITH {IMPORTED} SELECT * FROM imported",
     "import_stats": f"""WITH {IMPORTED}, n AS (SELECT count(*) AS n, count(DISTINCT ({KEY})) AS d FROM imported), r AS (SELECT count(*) AS r FROM raw_pairs)
 SELECT r AS processed, d AS inserted, n - d AS updated_frequency, r - n AS ignored, n - d AS duplicate, CAST(0 AS BIGINT) AS resumed FROM n, r""",
@@ -388,8 +410,9 @@ SELECT *, source_lang || ' -> ' || target_lang || ' (' || translation_count || '
     "available_pairs": f"WITH {MERGED} SELECT source_lang, target_lang, count(*) AS translation_count FROM merged GROUP BY ALL",
     "has_pair": f"""WITH {IMPORTED}, a(source_lang, target_lang) AS (VALUES ('en', 'de'), ('EN-gb', 'fr'), ('de', 'fr'), ('', 'en'))
 SELECT a.source_lang, a.target_lang, EXISTS (SELECT 1 FROM imported m WHERE m.source_lang = {canonical('a.source_lang')} AND m.target_lang = {canonical('a.target_lang')}) AS found FROM a""",
-    "import_progress": """WITH m AS (SELECT sha256(url || '|' || url || '|en|de') AS import_key, page_id AS processed_lines, page_id % 2 = 0 AS completed, page_id FROM pages)
-SELECT import_key, processed_lines, completed FROM m WHERE import_key IN (SELECT import_key FROM m)""",
+    "import_progress": """WITH p AS (SELECT sha256(url || '|' || url || '|en|de') AS import_key, max(page_id) AS processed_lines, bool_and(page_id % 2 = 0) AS completed FROM pages WHERE url IS NOT NULL AND page_id % 3 <> 0 GROUP BY 1),
+a AS (SELECT sha256(url || '|' || url || '|en|de') AS import_key FROM pages WHERE url IS NOT NULL UNION SELECT sha256(url || '|' || url || '|en|fr') FROM pages WHERE url IS NOT NULL)
+SELECT a.import_key, processed_lines, completed, p.import_key IS NOT NULL AS found FROM a LEFT JOIN p USING (import_key)""",
     "line_split": f"""WITH t AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents UNION ALL SELECT -i - 1, string_split(text, chr(10)) FROM {values(fx.LINES, 'text')}),
 u AS (SELECT id, CAST(unnest(range(0, len(l))) AS INTEGER) AS line_no, unnest(l) AS line FROM t)
 SELECT id, line_no, regexp_extract(line, '^{EDGE}*') AS lead, {trim('line')} AS content, CASE WHEN {trim('line')} = '' THEN '' ELSE regexp_extract(line, '{EDGE}*$') END AS trail FROM u""",
@@ -398,15 +421,15 @@ SELECT id, line_no, regexp_extract(line, '^{EDGE}*') AS lead, {trim('line')} AS
     "ngram_candidates": f"""WITH b0 AS (SELECT item_id AS id, {seg_list('text')} AS l FROM benchmark), b AS (SELECT id, unnest(range(0, len(l))) AS seg, unnest(l) AS text FROM b0
   UNION ALL SELECT -i - 1, 0, text FROM {values(fx.INPUTS, 'text')}), ins AS (SELECT id, seg, {words('text')} AS words FROM b), {candidate_sql('ins', 'id, seg')} SELECT * FROM cands""",
     "best_match_at_pos": f"{SMALL_TRACE} SELECT * FROM trace",
-    "match_type": f"""{SMALL_TRACE} SELECT i, pos, len, CASE WHEN pos = 0 AND len = len(words) AND variant = 0 THEN 'full' WHEN len > 1 THEN CASE WHEN variant = 0 THEN 'phrase' ELSE 'phrase-normalized' END
-ELSE CASE WHEN variant = 0 THEN 'word' ELSE 'word-normalized' END END AS match_type FROM trace JOIN ins USING (i)""".replace("len = len(words)", "trace.len = len(ins.words)"),
+    "match_type": f"""{SMALL_TRACE} SELECT id, seg, pos, trace.len AS len, CASE WHEN pos = 0 AND trace.len = len(ins.words) AND variant = 0 THEN 'full' WHEN trace.len > 1 THEN CASE WHEN variant = 0 THEN 'phrase' ELSE 'phrase-normalized' END
+ELSE CASE WHEN variant = 0 THEN 'word' ELSE 'word-normalized' END END AS match_type FROM trace JOIN ins USING (id, seg)""",
     "match_trace": f"""WITH {BUILT}, {EN_BEST}, {TO_TARGETS}, ins AS (SELECT id, turn, target_lang, {words('text')} AS words FROM inputs), {candidate_sql('ins', 'id, turn, target_lang')}
 SELECT id, turn, target_lang, pos, len, variant, candidate AS matched, translation FROM cands JOIN best USING (target_lang, candidate) QUALIFY {TRACE.format(keys='id, turn, target_lang')}""",
     "translate_segments": f"""WITH RECURSIVE {SMALL_BEST},
-parted AS (SELECT CAST(i AS INTEGER) AS i, 'pt_BR' AS target_lang, text FROM {values(fx.INPUTS, 'text')}), {cover_sql('i')}
-SELECT i, translation, matched_text, match_type, consumed_words FROM covered""",
+parted AS (SELECT id, seg, 'pt_BR' AS target_lang, text FROM {SMALL_PARTS}), {cover_sql('id, seg')}
+SELECT id, seg, translation, matched_text, match_type, consumed_words FROM covered""",
     "translate_literals": f"""WITH RECURSIVE {SMALL_BEST},
-inputs AS (SELECT CAST(i AS INTEGER) AS i, 'pt_BR' AS target_lang, text FROM {values(fx.INPUTS, 'text')}), {translate_sql('i')} SELECT * FROM translated""",
+inputs AS (SELECT item_id AS id, 'pt_BR' AS target_lang, text FROM benchmark UNION ALL SELECT -i - 1, 'pt_BR', text FROM {values(fx.INPUTS, 'text')}), {translate_sql('id')} SELECT * FROM translated""",
     "translate_text": f"WITH RECURSIVE {BUILT}, {EN_BEST}, {TO_TARGETS}, {translate_sql('id, turn, target_lang')} SELECT * FROM translated",
     "upsert": f"""WITH {EXISTING}, gained AS (SELECT e.id, {', '.join('e.' + k.strip() for k in KEY.split(','))}, e.frequency + coalesce(f.frequency, 0) AS frequency FROM existing e LEFT JOIN fresh f USING ({KEY})),
 new_ AS (SELECT * FROM fresh ANTI JOIN existing USING ({KEY})),

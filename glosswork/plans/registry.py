@@ -11,7 +11,7 @@ from glosswork.operators import translate as tr
 from glosswork.operators.shared import kept
 from glosswork.plans import fixtures as fx
 from glosswork.plans.oracle import ORACLE_SQL
-from glosswork.sources import moses
+from glosswork.sources import aligned, moses
 
 ENTRY_QUERY = "translate_text"
 QUERIES: dict = {}
@@ -52,60 +52,77 @@ def import_key(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", text.import_key(F.col("url"), F.concat(F.col("url"), F.lit(".b")), F.lit("en"), F.lit("pt_BR")).alias("import_key"))
 
 
-@query
-def lang_normalize(spark, sf_dir):
-    return fx.literal(spark, fx.CODES, "code string").select("i", lang.normalize_language(F.col("code")).alias("canonical"))
+# Language codes of the documents in many spellings, and literal ones.
+def code_query(name: str, column: str, make):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fx.codes(spark, sf_dir).select("id", "n", make(F.col("code")).alias(column))
 
+    QUERIES[name] = run
 
-@query
-def lang_variants(spark, sf_dir):
-    return fx.literal(spark, fx.CODES, "code string").select("i", joined(lang.lookup_variants(F.col("code"))).alias("variants"))
 
+code_query("lang_normalize", "canonical", lang.normalize_language)
+code_query("lang_variants", "variants", lambda x: joined(lang.lookup_variants(x)))
+code_query("lang_token_valid", "valid", lang.is_language_token)
 
-@query
-def lang_token_valid(spark, sf_dir):
-    return fx.literal(spark, fx.CODES, "code string").select("i", lang.is_language_token(F.col("code")).alias("valid"))
+
+# Sources: files written from the documents, beside literal listings.
+def literal_listing(spark: SparkSession) -> DataFrame:
+    return fx.literal(spark, fx.FILES, "file_name string, size bigint, first_line string").select(F.concat(F.lit("/d/"), "file_name").alias("file_path"), "file_name", "size", "first_line")
 
 
-# Sources.
-def listing(spark: SparkSession) -> DataFrame:
-    return fx.literal(spark, fx.FILES, "file_name string, size bigint, first_line string").withColumn("file_path", F.concat(F.lit("/d/"), "file_name"))
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moses.list_files(spark, fx.written_files(spark, sf_dir)).union(literal_listing(spark))
 
 
 @query
 def dataset_parse_name(spark, sf_dir):
-    return listing(spark).withColumns(moses.parse_name(F.col("file_name"))).where("valid").select("i", "corpus_name", "lang_pair", "language")
+    return listing(spark, sf_dir).withColumns(moses.parse_name(F.col("file_name"))).where("valid").select("file_name", "corpus_name", "lang_pair", "language")
 
 
 @query
 def dataset_readable(spark, sf_dir):
-    return listing(spark).select("i", moses.is_readable(F.col("size"), F.col("first_line")).alias("readable"))
+    return listing(spark, sf_dir).select("file_name", "size", moses.is_readable(F.col("size"), F.col("first_line")).alias("readable"))
 
 
 @query
 def dataset_coherent(spark, sf_dir):
-    a = listing(spark).select(F.col("i").alias("a"), F.col("size").alias("a_size"))
-    b = listing(spark).select((F.col("i") + 1).alias("a"), F.col("size").alias("b_size"))
-    return a.join(b, "a").select("a", moses.is_coherent(F.col("a_size"), F.col("b_size")).alias("coherent"))
+    """Each file beside those of the same language pair and corpus, itself included."""
+    named = listing(spark, sf_dir).withColumn("pair", F.expr("substring_index(file_name, '.', 2)"))
+    a, b = named.select("pair", F.col("file_name").alias("a"), F.col("size").alias("a_size")), named.select("pair", F.col("file_name").alias("b"), F.col("size").alias("b_size"))
+    return a.join(b, "pair").select("a", "b", moses.is_coherent(F.col("a_size"), F.col("b_size")).alias("coherent"))
 
 
 @query
 def dataset_scan(spark, sf_dir):
-    return moses.datasets(listing(spark))
+    last = lambda c: F.element_at(F.split(c, "/"), -1).alias(c)
+    found = moses.scan(spark, fx.written_files(spark, sf_dir)).union(moses.datasets(literal_listing(spark)))
+    return found.select("corpus_name", "source_language", "target_language", last("source_file"), last("target_file"))
 
 
-def zip_sides(spark: SparkSession) -> list[DataFrame]:
-    return [spark.createDataFrame(list(enumerate(x)), "line_no bigint, value string") for x in (fx.ZIP_LEFT, fx.ZIP_RIGHT)]
+def pairs_of_files(spark: SparkSession, sf_dir: str) -> list:
+    return moses.scan(spark, fx.written_files(spark, sf_dir)).collect()
 
 
 @query
 def moses_zip(spark, sf_dir):
-    return moses.zip_lines(*zip_sides(spark))
+    """All lines of all pairs of files, as the data source reads them side by side."""
+    out = None
+    for d in pairs_of_files(spark, sf_dir):
+        lines = aligned.aligned_files(spark, d["source_file"], d["target_file"]).lines()
+        lines = lines.select(F.lit(d["corpus_name"]).alias("corpus_name"), F.lit(d["target_language"]).alias("target_language"), "line_no", "source_raw", "target_raw")
+        out = lines if out is None else out.union(lines)
+    return out
 
 
 @query
 def moses_misaligned(spark, sf_dir):
-    return moses.misalignment(*zip_sides(spark))
+    """The lengths of each source beside the targets of all language pairs of its corpus."""
+    found, rows = pairs_of_files(spark, sf_dir), []
+    for a in found:
+        for b in (d for d in found if d["corpus_name"] == a["corpus_name"]):
+            lengths = aligned.aligned_files(spark, a["source_file"], b["target_file"]).lengths
+            rows.append((a["corpus_name"], a["target_language"], b["target_language"], *lengths, lengths[0] == lengths[1]))
+    return spark.createDataFrame(rows, "corpus_name string, source_of string, target_language string, source_lines bigint, target_lines bigint, aligned boolean")
 
 
 @query
@@ -151,14 +168,17 @@ def filter_same(spark, sf_dir):
 
 @query
 def import_pair_rules(spark, sf_dir):
-    pairs = fx.literal(spark, fx.PAIRS, "source string, target string")
-    clean = pairs.select("i", text.normalize_whitespace("source").alias("s"), text.normalize_whitespace("target").alias("t"))
-    return clean.select("i", quality.is_valid_pair(F.col("s"), F.col("t")).alias("valid"))
+    pairs = fx.literal(spark, fx.PAIRS, "source string, target string").select(F.lit("lit").alias("target_lang"), F.col("i").cast("bigint").alias("line_no"), "source", "target")
+    lines = fx.parallel_lines(spark, sf_dir).select("target_lang", "line_no", "source_raw", "target_raw").union(pairs)
+    clean = lines.select("target_lang", "line_no", text.normalize_whitespace("source_raw").alias("s"), text.normalize_whitespace("target_raw").alias("t"))
+    return clean.select("target_lang", "line_no", quality.is_valid_pair(F.col("s"), F.col("t")).alias("valid"))
 
 
 @query
 def cleanup_pair_rules(spark, sf_dir):
-    return fx.literal(spark, fx.STORED, "source string, target string").select("i", quality.is_invalid_stored_pair(F.col("source"), F.col("target")).alias("invalid"))
+    pairs = fx.literal(spark, fx.STORED, "source string, target string").select(F.lit("lit").alias("source_lang"), F.lit("lit").alias("target_lang"), F.col("i").cast("bigint").alias("line_no"), "source", "target")
+    lines = fx.unfiltered(spark, sf_dir).select("source_lang", "target_lang", "line_no", "source_text", "translated_text").union(pairs)
+    return lines.select("source_lang", "target_lang", "line_no", quality.is_invalid_stored_pair(F.col("source_text"), F.col("translated_text")).alias("invalid"))
 
 
 # The phrase table.
@@ -198,18 +218,21 @@ def merge_duplicates(spark, sf_dir):
     return pt.merge_duplicates(fx.imported(spark, sf_dir).withColumn("frequency", F.lit(2)))
 
 
-def legacy(spark: SparkSession) -> DataFrame:
-    return fx.literal(spark, fx.LEGACY, "source_text string, translated_text string, source_lang string, target_lang string")
+def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of an older form: no frequency, a row for each occurrence, language codes in several spellings."""
+    spelt = lambda c: F.when(F.length("translated_text") % 3 == 0, F.upper(c)).when(F.length("translated_text") % 3 == 1, F.concat(c, F.lit("-at"))).otherwise(F.col(c)).alias(c)
+    own = fx.imported(spark, sf_dir).select("source_text", "translated_text", spelt("source_lang"), spelt("target_lang"))
+    return own.union(fx.literal(spark, fx.LEGACY, "source_text string, translated_text string, source_lang string, target_lang string").drop("i"))
 
 
 @query
 def legacy_frequency(spark, sf_dir):
-    return pt.merge_duplicates(legacy(spark))
+    return pt.merge_duplicates(legacy(spark, sf_dir))
 
 
 @query
 def normalize_stored_langs(spark, sf_dir):
-    return pt.normalize_languages(legacy(spark))
+    return pt.normalize_languages(legacy(spark, sf_dir))
 
 
 @query
@@ -250,10 +273,13 @@ def has_pair(spark, sf_dir):
 
 @query
 def import_progress(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages")
-    manifest = pages.select(text.import_key(F.col("url"), F.col("url"), F.lit("en"), F.lit("de")).alias("import_key"), F.col("page_id").alias("processed_lines"), (F.col("page_id") % 2 == 0).alias("completed"))
-    asked = pages.select(text.import_key(F.col("url"), F.col("url"), F.lit("en"), F.lit("de")).alias("import_key")).distinct()
-    return manifest.join(asked, "import_key", "left_semi")
+    """Progress of imports asked for by key: of every page's two files, of which only some have been imported."""
+    key = lambda target: text.import_key(F.col("url"), F.col("url"), F.lit("en"), F.lit(target)).alias("import_key")
+    pages = fx.table(spark, sf_dir, "pages").where("url is not null")
+    progress = pages.where("page_id % 3 <> 0").groupBy(key("de")).agg(F.max("page_id").alias("processed_lines"), F.min(F.col("page_id") % 2 == 0).alias("completed"))
+    asked = pages.select(key("de")).union(pages.select(key("fr"))).distinct()
+    found = asked.join(progress, "import_key", "left")
+    return found.select("import_key", "processed_lines", "completed", F.col("processed_lines").isNotNull().alias("found"))
 
 
 @query
@@ -295,30 +321,38 @@ def ngram_candidates(spark, sf_dir):
     return segment_words(spark, sf_dir).select("id", F.col("pos").alias("seg"), F.explode(tr.ngram_candidates(F.col("words"))).alias("c")).select("id", "seg", "c.*")
 
 
-def small_segments(spark: SparkSession) -> DataFrame:
-    return fx.literal(spark, fx.INPUTS, "text string").select("i", F.lit("en").alias("source_lang"), F.lit("pt_BR").alias("target_lang"), "text", F.lit("").alias("delimiter"), text.words(F.col("text")).alias("words"))
+def small_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's sentences and the literal inputs, to be translated with the small table."""
+    rows = segment_words(spark, sf_dir)
+    return rows.select("id", F.col("pos").alias("seg"), F.lit("en").alias("source_lang"), F.lit("pt_BR").alias("target_lang"), "text", F.lit("").alias("delimiter"), "words")
+
+
+def small_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.match_trace(small_segments(spark, sf_dir), ["id", "seg"], tr.lookup_table(fx.small_table(spark, sf_dir)))
 
 
 @query
 def best_match_at_pos(spark, sf_dir):
-    return tr.match_trace(small_segments(spark), ["i"], tr.lookup_table(fx.small_table(spark)))
+    return small_trace(spark, sf_dir)
 
 
 @query
 def match_type(spark, sf_dir):
-    trace = tr.match_trace(small_segments(spark), ["i"], tr.lookup_table(fx.small_table(spark)))
-    totals = small_segments(spark).select("i", F.size("words").alias("total"))
-    return trace.join(totals, "i").select("i", "pos", "len", tr.match_type(F.col("pos"), F.col("len"), F.col("total"), F.col("variant")).alias("match_type"))
+    totals = small_segments(spark, sf_dir).select("id", "seg", F.size("words").alias("total"))
+    return small_trace(spark, sf_dir).join(totals, ["id", "seg"]).select("id", "seg", "pos", "len", tr.match_type(F.col("pos"), F.col("len"), F.col("total"), F.col("variant")).alias("match_type"))
 
 
 @query
 def translate_segments(spark, sf_dir):
-    return tr.translate_segments(small_segments(spark).drop("words"), ["i"], fx.small_table(spark)).drop("text", "delimiter")
+    return tr.translate_segments(small_segments(spark, sf_dir).drop("words"), ["id", "seg"], fx.small_table(spark, sf_dir)).drop("text", "delimiter")
 
 
 @query
 def translate_literals(spark, sf_dir):
-    return tr.translate(small_segments(spark).drop("words", "delimiter"), fx.small_table(spark), ["i"])
+    """Whole texts of the benchmark beside the literal inputs, lines and all."""
+    lit = fx.literal(spark, fx.INPUTS, "text string").select((-F.col("i") - 1).cast("bigint").alias("id"), "text")
+    rows = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").union(lit)
+    return tr.translate(rows.select("id", "text", F.lit("en").alias("source_lang"), F.lit("pt").alias("target_lang")), fx.small_table(spark, sf_dir), ["id"])
 
 
 @query
