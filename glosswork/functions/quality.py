@@ -52,16 +52,41 @@ def repeated_token(times: int) -> str:
     return CI + rf"{L}(\w+){R}(?:\s+\1{R}){{{times - 1},}}"
 
 
+#: What a text must have for a pattern to match at all: a mark of ``MARKS``, a word of ``WORDS`` in any case, or capitals.  Prose mostly has none.
+MARKS = r"[<&:{#}\[\];(>=|%$@_/\\]"
+WORDS = ["www", "pid", "process", "authorization", "bearer", "oauth", "api", "token", "tool", "unit"]
+ODD_CASE = "[ſİı\u212a]"  # their lower case is not what a pattern takes them for
+NEEDS = {"markup": "m", "style": "m", "url": "mw", "code": "m", "variable": "mc", "pid": "w", "auth": "w", "tooltip": "w", "path": "m", "email": "m", "catalog": "w"}
+
+
 class Side(NamedTuple):
-    """One text of a pair with its UTF-16 shape and its form for lookup, each to be computed once by whoever has many rules to ask."""
+    """One text of a pair with its UTF-16 shape, its form for lookup, and what it has of what patterns need (a string of the letters of
+    ``NEEDS``), each to be computed once by whoever has many rules to ask."""
 
     text: Column
     shape: Column
     norm: Column
+    has: Column
+
+
+def has_of(x: Column) -> Column:
+    lower = F.lower(x)
+    words = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in WORDS])
+    flag = lambda test, letter: F.when(test, letter).otherwise("")
+    return F.concat(flag(x.rlike(MARKS), "m"), flag(words | x.rlike(ODD_CASE), "w"), flag(x.rlike("[A-Z]{3}"), "c"))
 
 
 def side(x: Column) -> Side:
-    return Side(x, units(x), normalize_for_lookup(x))
+    return Side(x, units(x), normalize_for_lookup(x), has_of(x))
+
+
+def pattern_rule(name: str, pattern: str):
+    """``pattern`` on the texts that have what it needs."""
+    def rule(s: Side) -> Column:
+        may = reduce(lambda a, b: a | b, [F.contains(s.has, F.lit(letter)) for letter in NEEDS[name]])
+        return may & s.text.rlike(pattern)
+
+    return rule
 
 
 def either(rule, source: Side, target: Side) -> Column:
@@ -86,7 +111,7 @@ def same_text(source: Side, target: Side) -> Column:
 
 
 def symbol_count(s: Side) -> Column:
-    return F.length(F.regexp_replace(s.shape, rf"[\p{{L}}\p{{N}}\t-\r\x20\x85\p{{Z}}]", ""))
+    return F.length(F.regexp_replace(s.shape, rf"[\p{{L}}\p{{N}}\t-\r\x20\x85\p{{Z}}]+", ""))
 
 
 def no_letters(s: Side) -> Column:
@@ -113,8 +138,7 @@ def strange(s: Side) -> Column:
 def import_rules(source: Side, target: Side) -> dict[str, Column]:
     """Reasons to reject a cleaned raw pair, in the order in which they are looked at."""
     rules = {"empty": either(lambda s: s.text == "", source, target), "length": either(bad_length, source, target), "same": same_text(source, target)}
-    rules |= {name: either(of_text(matches(pattern)), source, target) for name, pattern in TECHNICAL.items()}
-    rules["email"] = either(lambda s: F.contains(s.text, F.lit("@")) & s.text.rlike(EMAIL), source, target)
+    rules |= {name: either(pattern_rule(name, pattern), source, target) for name, pattern in TECHNICAL.items()}
     return rules | {"symbols": either(too_many_symbols, source, target), "strange": either(strange, source, target)}
 
 
@@ -135,7 +159,7 @@ def cleanup_rules(source: Side, target: Side) -> dict[str, Column]:
     """Reasons to delete a stored pair."""
     rules = {"blank": either(lambda s: trim_all(s.text) == "", source, target), "same": same_text(source, target),
              "length": either(lambda s: F.length(s.shape) > STORED_LONGEST, source, target), "control": either(of_text(control_noise), source, target)}
-    rules |= {name: either(of_text(matches(pattern)), source, target) for name, pattern in STORED_JUNK.items()}
+    rules |= {name: either(pattern_rule(name, pattern), source, target) for name, pattern in STORED_JUNK.items()}
     return rules | {"symbols": either(too_many_stored_symbols, source, target), "broken": either(broken, source, target)}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.lang import lookup_variants, normalize_language
-from glosswork.functions.quality import Side, cleanup_rules, first_reason, import_rules, is_invalid_stored_pair, side
+from glosswork.functions.quality import Side, cleanup_rules, first_reason, has_of, import_rules, is_invalid_stored_pair, side
 from glosswork.functions.text import normalize_for_lookup, normalize_whitespace, units
 from glosswork.operators.numbering import number_rows
 
@@ -35,10 +35,12 @@ def judged_lines(raw_pairs: DataFrame) -> DataFrame:
     clean = raw_pairs.select(F.explode(F.array(clean)).alias("c")).select("c.*")
     shaped = F.struct(
         *clean.columns, normalize_for_lookup("source_clean").alias("source_text"), normalize_for_lookup("translated_text").alias("target_norm"),
-        units(F.col("source_clean")).alias("source_shape"), units(F.col("translated_text")).alias("target_shape"))
+        units(F.col("source_clean")).alias("source_shape"), units(F.col("translated_text")).alias("target_shape"),
+        has_of(F.col("source_clean")).alias("source_has"), has_of(F.col("translated_text")).alias("target_has"))
     shaped = clean.select(F.explode(F.array(shaped)).alias("c")).select("c.*")
-    source, target = Side(F.col("source_clean"), F.col("source_shape"), F.col("source_text")), Side(F.col("translated_text"), F.col("target_shape"), F.col("target_norm"))
-    return shaped.withColumn("reason", first_reason(import_rules(source, target))).drop("target_norm", "source_shape", "target_shape")
+    source = Side(F.col("source_clean"), F.col("source_shape"), F.col("source_text"), F.col("source_has"))
+    target = Side(F.col("translated_text"), F.col("target_shape"), F.col("target_norm"), F.col("target_has"))
+    return shaped.withColumn("reason", first_reason(import_rules(source, target))).drop("target_norm", "source_shape", "target_shape", "source_has", "target_has")
 
 
 def import_pairs(raw_pairs: DataFrame) -> DataFrame:
@@ -57,6 +59,13 @@ def with_ids(counted: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     return number_rows(counted, keys, name="id", start=start).select("id", *KEY, "frequency")
 
 
+def unnumbered(pairs: DataFrame) -> DataFrame:
+    """The phrase table of imported pairs for ranking alone: what ids would follow stands in their place, and nothing is sorted or numbered."""
+    counted = count_pairs(pairs)
+    order = F.struct("source_lang", "target_lang", "first_line", "source_text", "translated_text")
+    return counted.select(order.alias("id"), *KEY, "frequency")
+
+
 def build(pairs: DataFrame) -> DataFrame:
     """The phrase table of imported pairs; ids by language pair, then first line."""
     return with_ids(count_pairs(pairs), ["source_lang", "target_lang", "first_line"])

@@ -205,7 +205,7 @@ def best_translation(spark, sf_dir):
 @query
 def find_translation(spark, sf_dir):
     wanted = fx.segments(spark, sf_dir).where("lang = 'en'").select(F.col("seg").alias("text"))
-    return pt.find_translations(pt.build(fx.imported(spark, sf_dir)), wanted, "en", "de")
+    return pt.find_translations(pt.unnumbered(fx.imported(spark, sf_dir)), wanted, "en", "de")
 
 
 @query
@@ -357,11 +357,11 @@ def translate_literals(spark, sf_dir):
 
 @query
 def match_trace(spark, sf_dir):
-    table = pt.build(fx.imported(spark, sf_dir))
+    table = pt.unnumbered(fx.imported(spark, sf_dir))
     worded = fx.inputs(spark, sf_dir).withColumn("words", text.words(F.col("text")))
     return tr.match_trace(worded, ["id", "turn", "target_lang"], tr.lookup_table(table))
 
 
 @query
 def translate_text(spark, sf_dir):
-    return tr.translate(fx.inputs(spark, sf_dir), pt.build(fx.imported(spark, sf_dir)), ["id", "turn", "target_lang"])
+    return tr.translate(fx.inputs(spark, sf_dir), pt.unnumbered(fx.imported(spark, sf_dir)), ["id", "turn", "target_lang"])
