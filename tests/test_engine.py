@@ -107,3 +107,24 @@ def test_translation_examples(spark):
     assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
     empty = tr.translate(inputs, phrase_table(spark).limit(0), ["i"]).where("match_type <> 'none'").count()
     assert empty == 0
+
+
+def test_patterns_are_asked_of_all_texts_that_they_match(spark):
+    rng = random.Random(7)
+    words = ["PID", "pİd", "proceſs", "id", "to\u212aen", "token", "tool", "tip", "TOOLTIP", "OAuth", "apı", "API-Key", "Bearer", "Authorization:", "unit", "synonyms", "www.x", "WWW.", "ftp://a", "x://", "ABC", "_A_", "%1", "${a}",
+             "@x@", "a/b", "../", "c:\\", "me@host.org", "<b", "&amp;", "#fff", ".a", "{", "color:", "if", "(", ";", "->", "==", "||", "[[", "word", "ſ", "é", "amount in units (real)", "process  id 5", "token = abcdef123456"]
+    texts = [*words, *[" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(600)]]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    for rules in (quality.TECHNICAL, quality.STORED_JUNK):
+        columns = [F.expr("1")] + [(quality.pattern_rule(n, p)(quality.side(F.col("x"))) != F.col("x").rlike(p)).alias(n) for n, p in rules.items()]
+        wrong = rows.select("x", *columns[1:]).where(" or ".join(rules))
+        assert wrong.count() == 0, wrong.first()
+
+
+def test_private_use_characters_and_many_lines_come_back(spark):
+    own = ["a\ue000b 3.14 Mr. X. End", "\ue001\ue002\ue003 x. y\ue000", "\ue001\ue003. z"]
+    assert ["".join(s["text"] + s["delimiter"] for s in g) for g in column(spark, own, tr.sentence_segments)] == ["a\ue000b 3.14 Mr. X.End", "\ue001\ue002\ue003 x.y\ue000", "\ue001\ue003.z"]
+    text_ = "\r\n".join(f"  the file {i}\t" if i % 3 else " \t" for i in range(3000))
+    inputs = spark.createDataFrame([(1, text_, "en", "pt"), (2, "", "en", "pt"), (3, " \n\n", "en", "pt"), (4, None, "en", "pt")], "i int, text string, source_lang string, target_lang string")
+    got = {r["i"]: r["translation"] for r in tr.translate(inputs, phrase_table(spark), ["i"]).collect()}
+    assert got == {1: "\r\n".join(f"  the arquivo {i}\t" if i % 3 else " \t" for i in range(3000)), 2: "", 3: " \n\n", 4: ""}
