@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import lang, quality, text
 from glosswork.operators import phrase_table as pt
+from glosswork.operators import prefixes
 from glosswork.operators import translate as tr
+from glosswork.operators.lookup import Lookup
 from glosswork.operators.numbering import number_rows
 from tests import spec
 
@@ -128,3 +130,44 @@ def test_private_use_characters_and_many_lines_come_back(spark):
     inputs = spark.createDataFrame([(1, text_, "en", "pt"), (2, "", "en", "pt"), (3, " \n\n", "en", "pt"), (4, None, "en", "pt")], "i int, text string, source_lang string, target_lang string")
     got = {r["i"]: r["translation"] for r in tr.translate(inputs, phrase_table(spark), ["i"]).collect()}
     assert got == {1: "\r\n".join(f"  the arquivo {i}\t" if i % 3 else " \t" for i in range(3000)), 2: "", 3: " \n\n", 4: ""}
+
+
+def test_filter_of_prefixes_changes_no_row(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["the", "a", "please", "open", "file", "big", "tool", "é", "of", "x"]
+    say = lambda least, most: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(least, most)))
+    phrases = sorted({say(1, 5) for _ in range(80)} | {say(7, 15) for _ in range(40)})
+    texts = [say(0, 20) for _ in range(300)] + [" ".join(rng.choice(phrases) for _ in range(3)) for _ in range(200)]
+    rows = [(s, t, p, f"{s} {p}") for p in phrases for s, t in (("en", "de"), ("en", "fr"), ("de", "en")) if rng.random() < 0.6]
+    best = spark.createDataFrame(rows, "source_lang string, target_lang string, candidate string, translation string")
+    said = [(i, rng.choice(["en", "de", "xx"]), t, x.split()) for i, x in enumerate(texts) for t in ("de", "fr", "en")]
+    segments = spark.createDataFrame(said, "i int, source_lang string, target_lang string, words array<string>")
+
+    def trace(lookup):
+        return sorted(map(tuple, tr.match_trace(segments, ["i", "target_lang"], lookup).collect()))
+
+    plain = Lookup(spark, [{"rows": len(rows), "longest": 14}], table=best)
+    assert plain.filters() is None
+    want = trace(plain)
+    assert any(r[3] > 8 for r in want) and any(r[4] == 1 for r in want)
+    whole = tr.measured(best)
+    assert whole.filters() and trace(whole) == want
+    parts = [{"rows": 1, "longest": 14, "bits": bits, "filter": prefixes.phrase_filter(best.where(cond), bits)} for bits, cond in ((1 << 13, "length(candidate) > 9"), (1 << 10, "length(candidate) <= 9"))]
+    assert trace(Lookup(spark, parts, table=best)) == want
+    full = [{"rows": 1, "longest": 14, "bits": 64, "filter": prefixes.phrase_filter(best, 64)}]  # a filter that says yes to nearly all
+    assert trace(Lookup(spark, full, table=best)) == want
+    own = segments.select("i", "source_lang", "words").distinct()
+    few = tr.stored_candidates(own, ["i", "source_lang"], 12, whole.filters()).count()
+    assert few * 5 < own.select(F.explode(tr.ngram_candidates(F.col("words")))).count()
+    monkeypatch.setattr(prefixes, "MOST_ROWS", 10)
+    assert tr.measured(best).filters() is None and prefixes.filter_bits(0) == 0
+
+
+def test_a_phrase_of_the_filter_is_never_refused(spark):
+    words = ["a", "b", "c", "d", "e"]
+    phrases = [" ".join(words[(i // 5**k) % 5] for k in range(1 + i % 9)) for i in range(500)]
+    best = spark.createDataFrame([("en", p) for p in phrases], "source_lang string, candidate string")
+    test = prefixes.known([(prefixes.phrase_filter(best, prefixes.filter_bits(500)), prefixes.filter_bits(500))])
+    assert best.where(~test(prefixes.head_key(F.col("source_lang"), F.lit(0), F.col("candidate")))).count() == 0
+    others = best.select("source_lang", F.concat("candidate", F.lit(" z")).alias("candidate"))
+    assert others.where(test(prefixes.head_key(F.col("source_lang"), F.lit(0), F.col("candidate")))).count() < 50
