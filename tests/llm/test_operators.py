@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from glosswork.llm import ann_partitions, bpe_chunks, exact_dedup, html_extract, line_runs, minhash, mixing, quality, sanitize, url_filter
 from glosswork.llm._common import build_filter, components
@@ -231,9 +232,12 @@ def test_raking_matches_plain_loops(spark):
     want = plain_rake(cells, wants)
     got = mixing.rake(frame, given)
     assert all(abs(r.raked - want[r.source, r.lang, r.topic]) < 1e-3 for r in got.itertuples())
-    spread = mixing.rake_distributed(spark.createDataFrame(frame), given, rounds=30).toPandas()
+    spread = mixing.rake_distributed(spark.createDataFrame(frame), given, rounds=12).toPandas()
     assert all(abs(r.raked - want[r.source, r.lang, r.topic]) < 1 for r in spread.itertuples())
     kept = mixing.rake(frame, {}, keep=0.75)
+    by_joins = mixing.rake_distributed(spark.createDataFrame(frame), {}, keep=0.75, rounds=8).toPandas()
+    plainly = {(r.source, r.lang, r.topic): r.raked for r in mixing.rake(frame, {}, keep=0.75).itertuples()}
+    assert all(abs(r.raked - plainly[r.source, r.lang, r.topic]) < 1 for r in by_joins.itertuples())
     assert (kept["raked"] <= kept["tokens"]).all() and abs(kept["raked"].sum() - 0.75 * total) < 0.02 * total
     assert np.allclose(mixing.filled(np.array([4.0, 1, 1, 0]), np.array([1.0, 10, 10, 5]), 9.0), [1, 4, 4, 0])
 
@@ -247,6 +251,77 @@ def test_topics_tell_vocabularies_apart():
     assert len({(i % 4, t) for i, t in enumerate(got)}) == 4
 
 
+@pytest.mark.parametrize("wants, keep", [({"source": {"a": 9, "b": 1, "c": 1, None: 0.5}}, 0.75), ({"source": {"a": 1}}, 0.9), ({}, 1.0), ({}, None)])
+def test_targets_as_tables_are_those_on_the_driver(spark, wants, keep):
+    have = {"a": 10, "b": 1000, "c": 30, "d": 7, mixing.NONE: 400}
+    cells = spark.createDataFrame([(v, "x", "1", n) for v, n in have.items()], "source string, lang string, topic string, tokens long")
+    sums = pd.DataFrame({"value": list(have), "have": list(have.values())})
+    want = dict(mixing.margin_targets(sums, "source", wants, 0.9, keep)[["value", "want"]].itertuples(index=False, name=None))
+    got = {r["source"]: r["want"] for r in mixing.wanted(cells, "source", wants, 0.9, keep).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-6 for v in want)
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    """EM over the cluster equals plain EM over all counts, however the rows lie."""
+    own = [sentences(80 + i, 1, 40)[0].split() for i in range(3)]
+    rng = random.Random(81)
+    texts = [" ".join(rng.choice(own[i % 3]) for _ in range(60)) for i in range(300)] + ["", None]
+    counts = mixing.word_counts([t or "" for t in texts])
+    packed = mixing.packed_counts(counts)
+    assert (mixing.unpacked(packed) == counts).all()
+    hashes = [rng.randrange(-(1 << 63), 1 << 63) for _ in texts]
+    rows = spark.createDataFrame(list(zip(hashes, packed, strict=True)), "h long, counts binary")
+    got = mixing.learn_topics(rows, start_docs=30)
+    again = mixing.learn_topics(rows.repartition(7), start_docs=30)
+    assert (got.prior == again.prior).all() and (got.words == again.words).all()
+    full, first = counts[counts.sum(axis=1) > 0], [i for i in sorted(range(len(texts)), key=lambda i: hashes[i]) if texts[i]][:30]
+    model = mixing.fit_topics(counts[first])
+    for _ in range(mixing.EM_ROUNDS):
+        units = [[round(mixing.SHARE * x) for x in row] for row in model.shares(full)]
+        docs = [sum(u[t] for u in units) / mixing.SHARE for t in range(len(model.prior))]
+        words = [[sum(u[t] * n for u, n in zip(units, column, strict=True)) / mixing.SHARE for column in full.T] for t in range(len(model.prior))]
+        before, model = model, mixing.estimated(np.array(docs), np.array(words))
+        if np.abs(np.exp(model.prior) - np.exp(before.prior)).sum() < mixing.EM_MOVED:
+            break
+    order = sorted(range(len(model.prior)), key=lambda t: (-model.prior[t], t))
+    assert np.allclose(got.words, model.words[order], atol=1e-8) and np.allclose(got.prior, model.prior[order], atol=1e-8)
+    assert mixing.learn_topics(rows.limit(0)) is None
+    assert mixing.learn_topics(spark.createDataFrame([(1 << 62, packed[0])] * 200, rows.schema), start_docs=30) is not None
+
+
+def test_mixing_by_plain_computation(spark):
+    """Topics, tokens, targets, raking and draws of the whole query, by loops."""
+    texts = ODD + sentences(90, 150, 20) + [s * 30 for s in sentences(91, 20, 20)] + ["word " * 4_000_000]
+    docs = documents(spark, texts)
+    rows = {r["doc_id"]: r for r in mixing.sampled_rows(docs).collect()}
+    counts = mixing.word_counts([t or "" for t in texts])
+    hashes = [r["h"] for r in docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h")).collect()]
+    model = mixing.learn_topics(spark.createDataFrame(list(zip(hashes, mixing.packed_counts(counts), strict=True)), "h long, counts binary"))
+    cells, place = Counter(), {}
+    for r in docs.select("doc_id", "source", "lang").collect():
+        i = r["doc_id"]
+        topic = f"topic {model.topics(counts[i:i + 1])[0]}" if counts[i].any() else "none"
+        place[i] = (r["source"] or mixing.NONE, r["lang"] or mixing.NONE, topic)
+        assert rows[i]["topic"] == topic and rows[i]["tokens"] == max(1, len((texts[i] or "").split()))
+        cells[place[i]] += rows[i]["tokens"]
+    raked, wants = {cell: float(n) for cell, n in cells.items()}, []
+    for m in range(3):
+        have = Counter()
+        for cell, n in cells.items():
+            have[cell[m]] += n
+        wants.append(dict(zip(have, mixing.filled(np.array([n**0.9 for n in have.values()]), np.array([float(n) for n in have.values()]), 0.75 * sum(have.values())), strict=True)))
+    for _ in range(mixing.ROUNDS):
+        for m in range(3):
+            have = Counter()
+            for cell, x in raked.items():
+                have[cell[m]] += x
+            raked = {cell: min(float(cells[cell]), x * wants[m][cell[m]] / have[cell[m]] if have[cell[m]] else 0.0) for cell, x in raked.items()}
+    for i, r in rows.items():
+        assert abs(r["prob"] - raked[place[i]] / cells[place[i]]) < 1e-4
+    draws = {r["doc_id"]: r["d"] for r in docs.select("doc_id", mixing.draw(F.col("doc_id"), F.coalesce("text", F.lit("")), 17).alias("d")).collect()}
+    assert all(r["kept"] == (draws[i] < r["prob"]) for i, r in rows.items()) and len(rows) == len(texts)
+
+
 def test_mixing_meets_targets(spark):
     docs = documents(spark, ODD + sentences(10, 400, 20) + [s * 30 for s in sentences(11, 20, 20)]).withColumnRenamed("digest", "_lang")
     targets = {"source": {"s0": 3, "s1": 1, "s2": 1, None: 1}}
