@@ -188,6 +188,35 @@ def test_sparse_sites_shrink_toward_their_prior(spark):
     assert got["new", "q"]["host_rate"] > 0.1 and got["bad", "tiny"]["site_rate"] < 0.9 and len(got) == 5
 
 
+def test_shrinking_by_plain_loops(spark):
+    """Posteriors of many uneven sites, null ones included, against the formulas over dictionaries."""
+    rng, rows = random.Random(64), []
+    for host in [None, "", *(f"h{i}" for i in range(20))]:
+        rate = rng.random()
+        for path in [None, *(f"p{i}" for i in range(rng.randrange(1, 5)))]:
+            n = rng.choice([1, 2, 10, 500])
+            rows.append((host, path, float(sum(rng.random() < rate for _ in range(n))), n))
+
+    def strength(sites, overall):  # sites: (good, documents, the rate they are held against)
+        n, chance = sum(x for _, x, _ in sites), overall * (1 - overall)
+        spread = sum(x * (g / x - r) ** 2 for g, x, r in sites)
+        between = (spread - (len(sites) - 1) * chance) / (n - sum(x * x for _, x, _ in sites) / n)
+        return max(1.0, chance / between - 1) if between > 0 else 1e6
+
+    overall, hosts = sum(r[2] for r in rows) / sum(r[3] for r in rows), {}
+    for host, _, good, n in rows:
+        g, x = hosts.get(host, (0.0, 0))
+        hosts[host] = (g + good, x + n)
+    k = strength([(g, x, overall) for g, x in hosts.values()], overall)
+    host_rate = {h: (g + k * overall) / (x + k) for h, (g, x) in hosts.items()}
+    k = strength([(g, n, host_rate[h]) for h, _, g, n in rows], overall)
+    got = {(r["host"], r["path"]): r for r in quality.shrink(spark.createDataFrame(rows, "host string, path string, good double, n long")).collect()}
+    assert len(got) == len(rows)
+    for host, path, good, n in rows:
+        r = got[host, path]
+        assert abs(r["host_rate"] - host_rate[host]) < 1e-9 and abs(r["site_rate"] - (good + k * host_rate[host]) / (n + k)) < 1e-9
+
+
 def test_site_evidence_turns_decisions(spark):
     """Documents of one text are kept at a good site and rejected at a bad one."""
     plain = [f"{s.capitalize()}." for s in sentences(61, 150, 80)]
@@ -232,10 +261,10 @@ def test_raking_matches_plain_loops(spark):
     want = plain_rake(cells, wants)
     got = mixing.rake(frame, given)
     assert all(abs(r.raked - want[r.source, r.lang, r.topic]) < 1e-3 for r in got.itertuples())
-    spread = mixing.rake_distributed(spark.createDataFrame(frame), given, rounds=12).toPandas()
+    spread = mixing.rake_distributed(spark.createDataFrame(frame), given, rounds=30).toPandas()
     assert all(abs(r.raked - want[r.source, r.lang, r.topic]) < 1 for r in spread.itertuples())
     kept = mixing.rake(frame, {}, keep=0.75)
-    by_joins = mixing.rake_distributed(spark.createDataFrame(frame), {}, keep=0.75, rounds=8).toPandas()
+    by_joins = mixing.rake_distributed(spark.createDataFrame(frame), {}, keep=0.75, rounds=12).toPandas()
     plainly = {(r.source, r.lang, r.topic): r.raked for r in mixing.rake(frame, {}, keep=0.75).itertuples()}
     assert all(abs(r.raked - plainly[r.source, r.lang, r.topic]) < 1 for r in by_joins.itertuples())
     assert (kept["raked"] <= kept["tokens"]).all() and abs(kept["raked"].sum() - 0.75 * total) < 0.02 * total
