@@ -16,7 +16,6 @@ from glosswork.functions.text import trim_all
 from glosswork.sources.aligned import aligned_files
 
 MIN_SIZE, MAX_RATIO = 8, 10.0
-FIRST_LINE_BYTES = 1024
 ENVIRONMENT = "GLOSSWORK_DATASETS_PATH"
 
 
@@ -77,9 +76,12 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     if not rows:
         return spark.createDataFrame([], schema)
     files = spark.createDataFrame(sorted(rows), "file_path string, file_name string, size long")
-    heads = spark.read.format("binaryFile").load([r[0] for r in rows])
-    first = F.substring_index(F.decode(F.substring(F.col("content"), 1, FIRST_LINE_BYTES), "UTF-8"), "\n", 1)
-    return files.join(heads.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), first.alias("first_line")), "file_name").select("file_path", "file_name", "size", "first_line")
+    # Whole lines as they are, of any length and any bytes; only a file's first block is looked at.
+    lines = spark.read.option("lineSep", "\n").text([r[0] for r in rows]).where("_metadata.file_block_start = 0")
+    coded = F.replace(F.element_at(F.split("_metadata.file_path", "/"), -1), F.lit("+"), F.lit("%2B"))  # a URI's path, where a plus is itself
+    named = lines.select(F.url_decode(coded).alias("file_name"), "value", F.monotonically_increasing_id().alias("nth"))
+    heads = named.groupBy("file_name").agg(F.min_by("value", "nth").alias("first_line"))
+    return files.join(heads, "file_name", "left").select("file_path", "file_name", "size", "first_line")
 
 
 def scan(spark: SparkSession, directory: str) -> DataFrame:

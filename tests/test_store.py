@@ -4,6 +4,7 @@ import random
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from glosswork import cli
 from glosswork.operators import lookup
@@ -38,6 +39,16 @@ def test_read_lines_over_many_blocks(spark, tmp_path):
     assert len(got) == 3000 and got[7] == "line 7\rstill" and all(got[i] == f"line {i}" for i in range(3000) if i != 7)
 
 
+def test_first_lines_of_any_length_and_bytes(spark, tmp_path):
+    """A sign of two bytes stands where the first 1,024 bytes end, bytes are no UTF-8, a line begins with many blanks."""
+    lines = {"cut": ("x" * 1023 + "é").encode(), "bad": b"\xff\xfe ok", "late": b" " * 5000 + b"x", "blank": b" " * 5000, "two words": b"one two", "a%20b+é": b"three"}
+    for name, first in lines.items():
+        (tmp_path / name).write_bytes(first + b"\nsecond\n")
+    (tmp_path / "empty").write_bytes(b"")
+    got = {r["file_name"]: r["ok"] for r in moses.list_files(spark, str(tmp_path)).select("file_name", moses.is_readable(F.col("size"), F.col("first_line")).alias("ok")).collect()}
+    assert got == {"cut": True, "bad": True, "late": True, "blank": False, "two words": True, "a%20b+é": True, "empty": False}
+
+
 def test_scan(spark, tmp_path, pair):
     write(tmp_path / "Half.en-de.en", ["only one side"])
     (tmp_path / "Tiny.en-fr.en").write_text("x")
