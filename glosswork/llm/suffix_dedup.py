@@ -31,6 +31,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,12 @@ def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(held, dtype=np.uint8) if held is not None else np.zeros(0, dtype=np.uint8), offsets
 
 
+def elements(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs (null: empty) the row of each element, and the elements' fields."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return np.repeat(np.arange(len(column)), sizes), [field.to_numpy() for field in column.flatten().flatten()]
+
+
 def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """The parts of ``data`` as one binary column."""
     ends = np.cumsum(size)
@@ -161,11 +168,7 @@ def suffix_order(codes: np.ndarray, words: np.ndarray, wanted: np.ndarray, lengt
     rises = (codes < ahead) & (codes > 0)  # smaller than its successor
     stops = np.where(rises | (codes == 0), np.arange(n), n - 1)
     stop = np.minimum.accumulate(stops[::-1])[::-1]
-    marks = np.zeros(n + 1, dtype=np.int32)
-    need = np.flatnonzero(wanted)
-    np.add.at(marks, need, 1)
-    np.add.at(marks, stop[need] + 1, -1)
-    made = np.cumsum(marks[:-1]) > 0
+    made = np.cumsum(wanted - np.bincount(stop[wanted] + 1, minlength=n + 1)[:n]) > 0
     direct = sort_directly(np.flatnonzero(made & rises), words, length)
     induced = made & ~rises & (codes > 0)
     bounds = np.searchsorted(codes[direct], np.arange(258))
@@ -225,20 +228,18 @@ def judge_block(texts: list[bytes], least: np.ndarray, length: int) -> np.ndarra
     codes = data.astype(np.int16) + 1
     codes[start + size] = 0
     words = words_at(data)
-    marks = np.zeros(len(data) + 1, dtype=np.int32)
-    np.add.at(marks, start, 1)
-    np.add.at(marks, start + size - length + 1, -1)
-    strings = np.cumsum(marks[:-1]) > 0
+    owner_of = np.repeat(np.arange(len(texts)), size + 1)
+    strings = np.arange(len(data)) <= (start + size - length)[owner_of]
     order = suffix_order(codes, words, strings, length)
     order = order[strings[order]]
     fresh = common_prefixes(order, words, length) < length
     groups = np.flatnonzero(fresh)
-    piece = np.searchsorted(start, order, "right") - 1
+    piece = owner_of[order]
     least_of = np.repeat(np.minimum.reduceat(least[piece], groups), np.diff(np.append(groups, len(order))))
     gone = np.sort(order[least_of < least[piece]])
     bits = np.zeros(len(texts), dtype=np.int64)
     if len(gone):
-        owner = np.searchsorted(start, gone, "right") - 1
+        owner = owner_of[gone]
         head = np.flatnonzero(np.diff(owner, prepend=-1))
         bits[owner[head]] = np.bitwise_or.reduceat(np.int64(1) << (gone - start[owner]), head)
     return bits
@@ -317,15 +318,17 @@ def cut_joined(texts: DataFrame, keys: DataFrame, length: int) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for doc_id, digest, text, own in zip(batch["doc_id"], batch["hash"], batch["text"], batch["own"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                out = pd.DataFrame(list(own)).assign(doc_id=doc_id, hash=digest)
-                out["piece"] = [raw[a:a + n + length - 1] for a, n in zip(out["at"], out["strings"], strict=True)]
-                yield out[["doc_id", "hash", "at", "strings", "key", "piece"]]
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = binary_column(batch.column(2))
+            doc, (at, strings, key) = elements(batch.column(3))
+            for a in range(0, len(doc), 20_000):
+                own = slice(a, a + 20_000)
+                columns = [ids[doc[own]], hashes[doc[own]], at[own], strings[own], key[own]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), slices(data, offsets[doc[own]] + at[own], strings[own] + length - 1)], names=["doc_id", "hash", "at", "strings", "key", "piece"])
 
     found = texts.mapInArrow(places, CUT).join(keys, "key", "left_semi")
     found = save(found.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("at", "strings", "key")).alias("own")), "suffix-places")
-    return texts.join(found, ["doc_id", "hash"]).select("doc_id", "hash", "text", "own").mapInPandas(cut, f"{CUT}, piece binary")
+    return texts.join(found, ["doc_id", "hash"]).select("doc_id", "hash", "text", "own").mapInArrow(cut, f"{CUT}, piece binary")
 
 
 def judge(distinct: DataFrame, length: int) -> DataFrame:
@@ -341,13 +344,13 @@ def judge(distinct: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             held.append(batch)
-            size += int(batch["piece"].str.len().sum())
+            size += sum(map(len, batch["piece"]))
             if size > BLOCK_BYTES:  # a block ends where a key does
                 rows = pd.concat(held, ignore_index=True)
                 done = int(np.searchsorted(rows["key"].to_numpy(), rows["key"].iloc[-1]))
                 yield from flush(rows.iloc[:done].reset_index(drop=True))
                 held = [rows.iloc[done:].reset_index(drop=True)]
-                size = int(held[0]["piece"].str.len().sum())
+                size = sum(map(len, held[0]["piece"]))
         if held:
             yield from flush(pd.concat(held, ignore_index=True))
 
@@ -388,18 +391,14 @@ def covered(cuts: DataFrame, length: int, most_pieces: int) -> DataFrame:
     return out
 
 
-def removed_mask(size: int, cover, length: int) -> np.ndarray:
-    """Which of ``size`` bytes the strings of ``cover`` cover."""
-    marks = np.zeros(size + 1, dtype=np.int32)
-    if len(cover):
-        at = np.array([c["at"] for c in cover], dtype=np.int64)
-        bits = np.array([c["bits"] for c in cover], dtype=np.int64)
-        strings = max(c["strings"] for c in cover)
-        for i in range(strings):
-            start = at[(bits >> i) & 1 == 1] + i
-            np.add.at(marks, start, 1)
-            np.add.at(marks, start + length, -1)
-    return np.cumsum(marks[:-1]) > 0
+def removed_mask(size: int, at: np.ndarray, strings: np.ndarray, bits: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``size`` bytes are covered by the strings that the pieces' bits mark, of pieces that begin at ``at``."""
+    starts = np.zeros(size, dtype=bool)
+    for i in range(int(strings.max()) if len(strings) else 0):
+        starts[at[(bits >> i) & 1 == 1] + i] = True
+    ends = np.zeros(size, dtype=bool)
+    ends[length:] = starts[:max(0, size - length)]
+    return np.cumsum(starts.view(np.int8) - ends.view(np.int8), dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most_pieces: int = MOST_PIECES, with_spans: bool = True) -> DataFrame:
@@ -412,18 +411,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most_pieces: int = MOS
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["cover"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                gone = removed_mask(len(raw), own if own is not None else [], length)
-                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes() if len(edge) else raw
-                row = (doc_id, len(raw), len(raw) - len(kept), len(edge) // 2, hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept, [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]) if with_spans else row)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.replace("array<struct<start:long,end:long>>", "x").split(", ")])
+            data, offsets = binary_column(batch.column(1))
+            data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+            doc, (at, strings, bits) = elements(batch.column(2))
+            gone = removed_mask(len(data), offsets[doc] + at, strings, bits, length)
+            # A run ends with its document.
+            edge = np.zeros(len(data) + 1, dtype=bool)
+            edge[offsets] = True
+            starts, ends = gone & (edge[:-1] | ~np.append(False, gone[:-1])), gone & (edge[1:] | ~np.append(gone[1:], False))
+            spans, lost = (np.append(0, np.cumsum(x))[offsets] for x in (starts, gone))
+            kept, at_kept = data[~gone].tobytes(), offsets - lost
+            digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(at_kept[:-1], at_kept[1:])]
+            out = [batch.column(0), *(pa.array(np.diff(x)) for x in (offsets, lost, spans)), pa.array(digests, pa.string())]
+            if with_spans:
+                out.append(pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(at_kept.astype(np.int32).tobytes()), pa.py_buffer(kept)]))
+                base = np.repeat(offsets[:-1], np.diff(spans))
+                places = [pa.array(np.flatnonzero(starts) - base), pa.array(np.flatnonzero(ends) + 1 - base)]
+                out.append(pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pa.StructArray.from_arrays(places, ["start", "end"])))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][:len(out)])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start:long,end:long>>" if with_spans else "")
-    rows = texts.join(cover, ["doc_id", "hash"], "left").select("doc_id", "text", "cover").mapInPandas(cut, schema)
+    rows = texts.join(cover, ["doc_id", "hash"], "left").select("doc_id", "text", "cover").mapInArrow(cut, schema)
     return null_again(save(rows, "suffix-kept"), "doc_id")
 
 

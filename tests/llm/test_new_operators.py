@@ -6,6 +6,7 @@ import re
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glosswork.llm import fill_middle, filter_audit, suffix_dedup
@@ -106,6 +107,18 @@ def test_judged_blocks_match_brute_force(length):
         assert suffix_dedup.judge_block(texts, least, length).tolist() == want
 
 
+def test_cover_of_many_documents_is_one_mask():
+    """Lists of pieces of a batch, a null one and a sliced column among them, mark the same bytes as piece by piece."""
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("strings", pa.int32()), ("bits", pa.int64())]))
+    column = pa.array([[(0, 1, 1)], None, [(2, 3, 5), (9, 62, 1 << 61)], [], [(0, 2, 3)]], kind).slice(1)
+    doc, (at, strings, bits) = suffix_dedup.elements(column)
+    assert doc.tolist() == [1, 1, 3] and at.tolist() == [2, 9, 0]
+    offsets = np.array([0, 100, 200, 300])
+    mask = suffix_dedup.removed_mask(400, offsets[doc] + at, strings, bits, 8)
+    assert np.flatnonzero(mask).tolist() == [*range(102, 112), *range(170, 178), *range(300, 309)]
+    assert not len(suffix_dedup.removed_mask(0, at[:0], strings[:0], bits[:0], 8))
+
+
 def test_two_stage_order_is_the_order_of_suffixes():
     for seed in range(80):
         rng = random.Random(seed)
