@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,21 @@ from ._common import BROADCAST_ROWS, build_filter, id_or_last, null_again, save
 MIN_LINES, MIN_WORDS = 3, 10
 
 
-def line_key(line: str) -> tuple[int, int]:
-    raw = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The two words of each line's hash."""
+    raw = b"".join([hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for line in lines])
+    words = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+    return words[:, 0].copy(), words[:, 1].copy()
+
+
+def hit_runs(hit: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of the documents that lie at ``offsets`` the hit ones: (place, document, place behind the run of hits), places over all documents."""
+    n = len(hit)
+    barrier = np.append(~hit, True)
+    barrier[offsets] = True
+    stop = np.minimum.accumulate(np.where(barrier, np.arange(n + 1), n)[::-1])[::-1]
+    at = np.flatnonzero(hit)
+    return at, np.searchsorted(offsets, at, "right") - 1, stop[at + 1]
 
 
 def text_key(text: str) -> bytes:
@@ -59,31 +72,33 @@ def line_sequence(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            found: dict[int, int] = {}
-            for text in batch["text"]:
-                for _, line in lines_of(text):
-                    key = line_key(line)[0]
-                    found[key] = found.get(key, 0) + 1
-            yield pd.DataFrame({"key": list(found.keys()), "n": list(found.values())}, dtype="int64")
+            key, n = np.unique(line_keys([line for text in batch["text"] for _, line in lines_of(text)])[0], return_counts=True)
+            yield pd.DataFrame({"key": key, "n": n.astype(np.int64)})
 
     counts = texts.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     repeated = spark.sparkContext.broadcast(build_filter(save(counts.where("n > 1").select("key"), "line-repeated")))
 
     def mark(batches):
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = lines_of(text)
-                keys = [line_key(line) for _, line in own]
-                hit = repeated.value.test(np.array([k for k, _ in keys], dtype=np.int64).view(np.uint64))
-                at = np.flatnonzero(hit)
-                ends = np.repeat(at[np.append(np.flatnonzero(np.diff(at) > 1), len(at) - 1)] + 1, np.diff(np.append(np.flatnonzero(np.diff(at, prepend=-2) > 1), len(at)))) if len(at) else at
-                marks = [(int(i), int(end), own[i][0], *keys[i], len(own[i][1].split())) for i, end in zip(at, ends, strict=True)]
-                out.append((doc_id, text_key(text), text.count("\n") + 1 if text else 0, len(own), marks))
-            yield pd.DataFrame(out, columns=["doc_id", "digest", "n_lines", "n_full", "marks"])
+            texts = batch.column(1).to_pylist()
+            own = [lines_of(text) for text in texts]
+            lines = [line for found in own for _, line in found]
+            numbers = np.array([i for found in own for i, _ in found], dtype=np.int32)
+            n_full = np.array([len(found) for found in own], dtype=np.int64)
+            offsets = np.append(0, np.cumsum(n_full))
+            h1, h2 = line_keys(lines)
+            at, doc, stop = hit_runs(repeated.value.test(h1.view(np.uint64)), offsets)
+            first = offsets[doc]
+            words = np.array([len(lines[i].split()) for i in at], dtype=np.int32)
+            fields = [pa.array(x) for x in ((at - first).astype(np.int32), (stop - first).astype(np.int32), numbers[at], h1[at], h2[at], words)]
+            marks = pa.StructArray.from_arrays(fields, ["at", "stop", "number", "h1", "h2", "words"])
+            n_lines = pa.array([text.count("\n") + 1 if text else 0 for text in texts], pa.int64())
+            columns = [batch.column(0), pa.array([text_key(text) for text in texts], pa.binary()), n_lines, pa.array(n_full),
+                       pa.ListArray.from_arrays(pa.array(np.searchsorted(at, offsets).astype(np.int32)), marks)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_lines", "n_full", "marks"])
 
     mark_type = "array<struct<at:int,stop:int,number:int,h1:long,h2:long,words:int>>"
-    marked = texts.mapInPandas(mark, f"doc_id long, digest binary, n_lines long, n_full long, marks {mark_type}")
+    marked = texts.mapInArrow(mark, f"doc_id long, digest binary, n_lines long, n_full long, marks {mark_type}")
     marked = marked.groupBy("doc_id", "digest").agg(*[F.min(c).alias(c) for c in ("n_lines", "n_full", "marks")])
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = marked.repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")

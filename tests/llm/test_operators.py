@@ -425,6 +425,20 @@ def brute_longest(texts):
     return out
 
 
+def test_runs_of_repeated_lines_end_with_their_documents():
+    """Marked for a whole batch at once: documents without lines or hits among them, none at all too."""
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        offsets = np.append(0, np.cumsum(rng.integers(0, 5, rng.integers(0, 6))))
+        hit = rng.random(offsets[-1]) < 0.6
+        want = []
+        for d, (first, last) in enumerate(zip(offsets, offsets[1:])):
+            for i in np.flatnonzero(hit[first:last]) + first:
+                want.append((i, d, next((j for j in range(i, last) if not hit[j]), last)))
+        assert list(zip(*line_runs.hit_runs(hit, offsets), strict=True)) == want
+    assert [len(x) for x in line_runs.line_keys([])] == [0, 0]
+
+
 def test_line_runs_match_brute_force(spark):
     rng = random.Random(13)
     lines = sentences(14, 12, 3) + sentences(15, 6, 14) + ["", "  "]
