@@ -201,9 +201,18 @@ def build_filter(keys: DataFrame, max_bits: int = MAX_FILTER_BITS) -> KeyFilter:
     return KeyFilter(words)
 
 
+def file_count(rows: int) -> int:
+    """Files of about 100,000 rows, at least 8."""
+    return max(8, rows // 100_000)
+
+
 def packed(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` of at most ``rows`` counted rows in files of about 100,000 rows, at least 8."""
-    return df.coalesce(max(8, rows // 100_000))
+    """``df`` of at most ``rows`` counted rows in :func:`file_count` files.
+
+    Not for a ``df`` that passes Python without a shuffle after it: a coalesced task reads many partitions, and what each of them
+    queued for Python, a page of 16 MiB at least, is held until the task ends.  Such rows are dealt out by ``repartition``.
+    """
+    return df.coalesce(file_count(rows))
 
 
 def components(edges: DataFrame) -> DataFrame:

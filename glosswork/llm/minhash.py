@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_rows
-from ._common import build_filter, components, mix64, save
+from ._common import build_filter, components, file_count, mix64, save
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -424,7 +424,8 @@ def near_links(reps: DataFrame, docs: DataFrame, least: float = SIMILARITY, k: i
     members = save(buckets.join(crowded, "bucket"), "near-members", most)
     sets = shingle_sets(docs, save(members.select("doc_id").distinct(), "near-ids", most))
     spokes = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    stars = save(verify(save(likely(spokes, marks), "near-likely", most), sets, least), "near-stars")
+    pairs = save(likely(spokes, marks).repartition(file_count(most)), "near-likely")  # not coalesced, see packed
+    stars = save(verify(pairs, sets, least), "near-stars")
     classes = save(components(stars), "near-so-far", most).withColumnRenamed("id", "doc_id")
     known = members.join(classes, "doc_id", "left").select("bucket", "band", "doc_id", "a", F.coalesce("class_id", "doc_id").alias("class_id"))
     first = save(known.where("doc_id = a").select("bucket", F.col("class_id").alias("first_class")).distinct(), "near-first", most)

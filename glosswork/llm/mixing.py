@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ EM_ROUNDS, EM_MOVED = 10, 1e-3  # rounds over all documents, at most, until the
 SHARE = 1 << 16
 COUNT = np.dtype([("word", "<u2"), ("n", "<u4")])
 NONE = "\0none"
+CELLS = pa.schema([*((name, pa.string()) for name in MARGINS), ("tokens", pa.int64()), ("raked", pa.float64())])
 
 
 def word_counts(texts: list[str]) -> np.ndarray:
@@ -293,7 +295,8 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, temper: float =
     n = cells.count()
     if n <= MAX_DRIVER_CELLS:
         got = rake(cells.toPandas(), targets or {}, temper, keep)
-        raked = docs.sparkSession.createDataFrame(list(got.itertuples(index=False, name=None)), "source string, lang string, topic string, tokens long, raked double")
+        # As Arrow: rows of tuples would start Python workers of another kind on every executor, which stay.
+        raked = docs.sparkSession.createDataFrame(pa.Table.from_pandas(got, CELLS, preserve_index=False))
     else:
         raked = rake_distributed(cells, targets or {}, temper, keep)
     weights = raked.select(*MARGINS, (F.col("raked") / F.col("tokens")).alias("weight"))

@@ -8,10 +8,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 
 import corpus_pipeline
 from glosswork.llm._common import work_dir
-from glosswork.llm import bpe_chunks, mixing, quality
+from glosswork.llm import _common, bpe_chunks, minhash, mixing, quality
 
 from .test_operators import brute_classes, sentences
 
@@ -89,6 +90,21 @@ def test_every_stage_against_plain_computations(spark, tmp_path):
         assert last.loc[i, "ids_sha256"] == hashlib.sha256(np.array(own, dtype="<u4").tobytes()).hexdigest() and last.loc[i, "n_tokens"] == len(own)
 
 
+def test_python_rows_are_not_held_by_coalesced_tasks(spark, tmp_path, monkeypatch):
+    """A coalesced task would hold what each of its many partitions queued for Python; nor are Python workers started for rows of tuples."""
+    plans, lists = [], []
+    packed, parallelize = _common.packed, SparkContext.parallelize
+    monkeypatch.setattr(_common, "packed", lambda df, rows: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or packed(df, rows))
+    monkeypatch.setattr(SparkContext, "parallelize", lambda self, *a, **b: lists.append(a) or parallelize(self, *a, **b))
+    said = sentences(83, 30, 60)
+    rows = [(i, f"{t} more" if i % 2 else t, "en", "s", 0) for i, t in enumerate([*said, *said])]
+    docs = spark.read.parquet(f"{write_tables(spark, tmp_path, rows, [])}/documents.parquet")
+    lists.clear()
+    assert len(minhash.keep_one_each(docs).collect()) == 30 and plans
+    assert not [p for p in plans if re.search("EvalPython|MapIn", p)]
+    assert mixing.keep_sampled(docs).count() and not lists
+
+
 def test_empty_tables_pass_through(spark, tmp_path):
     folder = write_tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
